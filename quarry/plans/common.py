@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 # Token class used inside the oracle SQL (same as quarry.functions.text).
 SQL_TOKENS = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
@@ -18,7 +18,7 @@ def sql_tokens(x: str) -> str:
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """documents as retrievable nodes: node_id, text, source (plays file_name)."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text", "source")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text", "source"))
 
 
 def bench_queries(spark: SparkSession, sf: str) -> DataFrame:
