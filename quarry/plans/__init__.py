@@ -11,6 +11,7 @@ import importlib
 
 MODULES = [
     "quarry.plans.sparse",
+    "quarry.plans.dense_plans",
 ]
 
 
