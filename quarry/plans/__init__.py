@@ -12,6 +12,7 @@ import importlib
 MODULES = [
     "quarry.plans.sparse",
     "quarry.plans.dense_plans",
+    "quarry.plans.hybrid_plans",
 ]
 
 

@@ -80,7 +80,13 @@ _TF = f"""
   tf AS (SELECT node_id, term, count(*) AS tf FROM p GROUP BY node_id, term)"""
 
 
-def _bm25_sql(k: int | None, stop: list[str] | None = None, plus_one: bool = True) -> str:
+_BENCH_Q = "SELECT item_id AS query_id, text FROM benchmark"
+_DOCS = "SELECT doc_id AS node_id, text FROM documents"
+
+
+def bm25_sql(k: int | None, stop: list[str] | None = None, plus_one: bool = True,
+             queries_sql: str = _BENCH_Q, docs_sql: str = _DOCS) -> str:
+    """DuckDB BM25 over ``queries_sql`` (query_id, text) and ``docs_sql`` (node_id, text)."""
     sw = ""
     qsw = ""
     if stop:
@@ -90,12 +96,12 @@ def _bm25_sql(k: int | None, stop: list[str] | None = None, plus_one: bool = Tru
     toks = sw or sql_tokens("text")
     factor = "2.5::DOUBLE" if plus_one else "1.0::DOUBLE"
     scored = f"""
-WITH d AS (SELECT doc_id AS node_id, {toks} AS toks FROM documents),
+WITH d AS (SELECT node_id, {toks} AS toks FROM ({docs_sql})),
   st AS (SELECT count(*)::DOUBLE AS n_docs, avg(len(toks))::DOUBLE AS avgdl FROM d),
   p AS (SELECT node_id, len(toks) AS dl, unnest(toks) AS term FROM d),
   tf AS (SELECT node_id, dl, term, count(*) AS tf FROM p GROUP BY node_id, dl, term),
   dfr AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-  q AS (SELECT item_id AS query_id, unnest({sql_tokens('text')}) AS term FROM benchmark),
+  q AS (SELECT query_id, unnest({sql_tokens('text')}) AS term FROM ({queries_sql})),
   qt AS (SELECT query_id, term, count(*) AS qtf FROM q{qsw} GROUP BY query_id, term),
   s AS (
     SELECT qt.query_id, tf.node_id,
@@ -113,6 +119,9 @@ SELECT query_id, node_id, round(score, 6) AS score, rank FROM (
   FROM s WHERE score > 0) WHERE rank <= {k}"""
 
 
+_bm25_sql = bm25_sql
+
+
 BM25_TOPK_SQL = _bm25_sql(5)
 
 ORACLE = {
