@@ -13,6 +13,7 @@ MODULES = [
     "quarry.plans.sparse",
     "quarry.plans.dense_plans",
     "quarry.plans.hybrid_plans",
+    "quarry.plans.tree_plans",
 ]
 
 

@@ -85,7 +85,7 @@ _DOCS = "SELECT doc_id AS node_id, text FROM documents"
 
 
 def bm25_sql(k: int | None, stop: list[str] | None = None, plus_one: bool = True,
-             queries_sql: str = _BENCH_Q, docs_sql: str = _DOCS) -> str:
+             queries_sql: str = _BENCH_Q, docs_sql: str = _DOCS, rounded: bool = True) -> str:
     """DuckDB BM25 over ``queries_sql`` (query_id, text) and ``docs_sql`` (node_id, text)."""
     sw = ""
     qsw = ""
@@ -112,8 +112,9 @@ WITH d AS (SELECT node_id, {toks} AS toks FROM ({docs_sql})),
     GROUP BY qt.query_id, tf.node_id)"""
     if k is None:
         return scored + "\nSELECT query_id, node_id, round(score, 6) AS score FROM s WHERE score > 0"
+    out_score = "round(score, 6)" if rounded else "score"
     return scored + f"""
-SELECT query_id, node_id, round(score, 6) AS score, rank FROM (
+SELECT query_id, node_id, {out_score} AS score, rank FROM (
   SELECT query_id, node_id, score,
          row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS rank
   FROM s WHERE score > 0) WHERE rank <= {k}"""
