@@ -9,6 +9,7 @@ All groups are (query, parent) groups of a bounded hit list.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +58,12 @@ def automerge(hits: DataFrame, nodes: DataFrame, depth: int = 3, threshold: floa
 
     Output: (query_id, node_id, score, rank).
     """
-    cur = with_parents(hits, nodes)
+    # Each pass reads its input twice (kept rows and merge groups); the hit
+    # list is bounded (k per query), so it is cached between passes instead
+    # of re-running retrieval once per reference.
+    cur = with_parents(hits, nodes).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(depth - 1):
-        cur = merge_once(cur, nodes, threshold)
+        cur = merge_once(cur, nodes, threshold).persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy("query_id").orderBy(*score_order())
     return cur.drop("parent_id").withColumn("rank", F.row_number().over(w))
 

@@ -14,6 +14,7 @@ MODULES = [
     "quarry.plans.dense_plans",
     "quarry.plans.hybrid_plans",
     "quarry.plans.tree_plans",
+    "quarry.plans.eval_plans",
 ]
 
 
