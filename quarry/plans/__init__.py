@@ -15,6 +15,7 @@ MODULES = [
     "quarry.plans.hybrid_plans",
     "quarry.plans.tree_plans",
     "quarry.plans.eval_plans",
+    "quarry.plans.ingest_plans",
 ]
 
 

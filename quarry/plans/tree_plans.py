@@ -88,7 +88,7 @@ def automerge_diff(spark: SparkSession, sf: str):
 _SIZES = chunking.TREE_SIZES
 
 
-def _fixed_sql(size: int, overlap: int) -> str:
+def fixed_chunks_sql(size: int, overlap: int, src: str = "SELECT doc_id, text FROM documents") -> str:
     stride = size - overlap
     return f"""
 SELECT concat_ws('/', doc_id, chunk_no) AS node_id, doc_id, chunk_no, text,
@@ -99,7 +99,7 @@ SELECT concat_ws('/', doc_id, chunk_no) AS node_id, doc_id, chunk_no, text,
           SELECT doc_id, toks,
                  CASE WHEN len(toks) = 0 THEN 0
                       ELSE 1 + greatest(0, ceil((len(toks) - {size}) / {stride}))::BIGINT END AS nchunks
-          FROM (SELECT doc_id, {sql_tokens('text')} AS toks FROM documents)) WHERE nchunks > 0))"""
+          FROM (SELECT doc_id, {sql_tokens('text')} AS toks FROM ({src}))) WHERE nchunks > 0))"""
 
 
 def _path(level: int, upto: int) -> str:
@@ -145,8 +145,8 @@ SELECT query_id, node_id, score,
        row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS rank FROM h2"""
 
 ORACLE = {
-    "chunk_fixed": _fixed_sql(*chunking.INGEST_CHUNK),
-    "chunk_fixed_1024": _fixed_sql(*chunking.DEFAULT_CHUNK),
+    "chunk_fixed": fixed_chunks_sql(*chunking.INGEST_CHUNK),
+    "chunk_fixed_1024": fixed_chunks_sql(*chunking.DEFAULT_CHUNK),
     "hier_nodes": TREE_FULL_SQL,
     "hier_leaf_root_counts": f"""
 WITH tree AS ({TREE_SQL})
