@@ -17,6 +17,7 @@ MODULES = [
     "quarry.plans.eval_plans",
     "quarry.plans.ingest_plans",
     "quarry.plans.stream_plans",
+    "quarry.plans.route_plans",
 ]
 
 
