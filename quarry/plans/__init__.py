@@ -18,6 +18,7 @@ MODULES = [
     "quarry.plans.ingest_plans",
     "quarry.plans.stream_plans",
     "quarry.plans.route_plans",
+    "quarry.plans.structured_plans",
 ]
 
 
