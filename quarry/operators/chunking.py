@@ -109,6 +109,85 @@ def chunk_tree(
     return out.withColumn("n_tokens", F.size(F.split("text", " ")))
 
 
+# Sentence end: after . ! ? followed by whitespace, or at a line break.
+SENTENCE_SPLIT = r"(?<=[.!?])\s+|\n+"
+
+
+def chunk_sentences(
+    docs: DataFrame,
+    size: int = INGEST_CHUNK[0],
+    overlap: int = INGEST_CHUNK[1],
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """T2(b): greedy sentence packing.
+
+    Sentences are packed while the chunk stays within ``size`` tokens; the
+    next chunk starts with the trailing whole sentences of the previous one
+    whose tokens sum to at most ``overlap``.  A sentence longer than ``size``
+    is first cut into ``size``-token pieces.  One ``aggregate`` fold per
+    document row: no shuffle, no Python.
+    Output: (node_id, doc_id, chunk_no, text, n_tokens).
+    """
+    sents = F.filter(
+        F.transform(F.split(F.col(text_col), SENTENCE_SPLIT), lambda s: tokenize(s)),
+        lambda t: F.size(t) > 0,
+    )
+    pieces = F.flatten(
+        F.transform(
+            sents,
+            lambda t: F.transform(
+                F.sequence(F.lit(0), F.ceil(F.size(t) / F.lit(size)).cast("int") - 1),
+                lambda i: F.slice(t, i * size + 1, F.lit(size)),
+            ),
+        )
+    )
+    empty_s = F.array().cast("array<string>")
+    empty_i = F.array().cast("array<int>")
+    init = F.struct(
+        F.array().cast("array<array<string>>").alias("done"), empty_s.alias("cur"), empty_i.alias("lens")
+    )
+
+    def step(acc, p):
+        n = F.size(p)
+        fits = F.size(acc["cur"]) + n <= F.lit(size)
+        tail = F.aggregate(
+            F.reverse(acc["lens"]),
+            F.struct(F.lit(0).alias("sum"), F.lit(0).alias("cnt"), F.lit(False).alias("stop")),
+            lambda s, x: F.when(
+                (~s["stop"]) & (s["sum"] + x <= F.lit(overlap)),
+                F.struct((s["sum"] + x).alias("sum"), (s["cnt"] + 1).alias("cnt"), F.lit(False).alias("stop")),
+            ).otherwise(F.struct(s["sum"].alias("sum"), s["cnt"].alias("cnt"), F.lit(True).alias("stop"))),
+        )
+        ovl_tok = tail["sum"]
+        keep_ovl = (ovl_tok > 0) & (ovl_tok + n <= F.lit(size))
+        ovl_words = F.slice(acc["cur"], F.size(acc["cur"]) - ovl_tok + 1, ovl_tok)
+        ovl_lens = F.slice(acc["lens"], F.size(acc["lens"]) - tail["cnt"] + 1, tail["cnt"])
+        started = F.struct(
+            F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
+            F.when(keep_ovl, F.concat(ovl_words, p)).otherwise(p).alias("cur"),
+            F.when(keep_ovl, F.concat(ovl_lens, F.array(n))).otherwise(F.array(n)).alias("lens"),
+        )
+        grown = F.struct(
+            acc["done"].alias("done"), F.concat(acc["cur"], p).alias("cur"), F.concat(acc["lens"], F.array(n)).alias("lens")
+        )
+        return F.when(fits, grown).otherwise(started)
+
+    packed = F.aggregate(
+        pieces, init, step,
+        lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]),
+    )
+    out = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.posexplode_outer(F.transform(packed, lambda c: F.array_join(c, " "))).alias("chunk_no", "text"),
+    ).filter(F.col("text").isNotNull())
+    return out.select(
+        F.concat_ws("/", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("node_id"),
+        "doc_id", "chunk_no", "text", F.size(F.split("text", " ")).alias("n_tokens"),
+    )
+
+
 def leaf_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes that are nobody's parent (left anti join on parent_id)."""
     parents = nodes.select(F.col("parent_id").alias("node_id")).filter(F.col("node_id").isNotNull())

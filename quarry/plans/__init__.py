@@ -19,6 +19,7 @@ MODULES = [
     "quarry.plans.stream_plans",
     "quarry.plans.route_plans",
     "quarry.plans.structured_plans",
+    "quarry.plans.source_plans",
 ]
 
 
