@@ -84,9 +84,9 @@ def upsert(
     cls = classify(incoming, state)
     todo = cls.filter(F.col("status") != "unchanged")
     delta = chunker(todo.select("doc_id", "text"))
-    kept = chunks.join(todo.select("doc_id"), "doc_id", "left_anti")
+    kept = chunks.join(todo.select("doc_id"), "doc_id", "left_anti").select(*chunks.columns)
     new_chunks = kept.unionByName(delta)
-    new_state = state.join(todo.select("doc_id"), "doc_id", "left_anti").unionByName(
+    new_state = state.join(todo.select("doc_id"), "doc_id", "left_anti").select(*state.columns).unionByName(
         todo.select("doc_id", "doc_hash", *[c for c in state.columns if c not in ("doc_id", "doc_hash")])
     )
     return new_chunks, new_state, delta

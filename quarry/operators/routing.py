@@ -83,14 +83,13 @@ def route_by_similarity(queries: DataFrame, targets: DataFrame, text: str = "tex
         "query_id", "target_id", (F.col("dot") / (F.col("qn") * F.col("tn"))).alias("sim")
     )
     best = top_k(sim, ["query_id"], [F.round("sim", 9).desc(), F.col("target_id").asc()], 1, "_r").drop("_r")
-    first = targets.agg(F.min("target_id").alias("_first"))
+    first = targets.agg(F.min("target_id")).first()[0]  # declared target list
     routed = (
         queries.select("query_id")
         .join(best, "query_id", "left")
-        .crossJoin(F.broadcast(first))  # exactly one row
         .select(
             "query_id",
-            F.coalesce("target_id", "_first").alias("target_id"),
+            F.coalesce("target_id", F.lit(first)).alias("target_id"),
             F.coalesce("sim", F.lit(0.0)).alias("sim"),
         )
     )

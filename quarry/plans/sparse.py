@@ -43,7 +43,8 @@ def bm25_corpus_stats(spark: SparkSession, sf: str):
 def bm25_idf(spark: SparkSession, sf: str):
     docs = corpus(spark, sf)
     dfreq = bm25.doc_freq(bm25.term_freq(docs))
-    out = dfreq.crossJoin(F.broadcast(bm25.corpus_stats(docs))).select("term", bm25.idf_expr().alias("idf"))
+    n_docs = float(bm25.corpus_stats(docs).first()["n_docs"])
+    out = dfreq.select("term", bm25.idf_expr(F.lit(n_docs)).alias("idf"))
     return round6(out, "idf")
 
 
