@@ -26,17 +26,21 @@ def _with_meta(df: DataFrame) -> DataFrame:
 def read_text_dir(spark: SparkSession, path: str, exclude: Sequence[str] = (), recursive: bool = False) -> DataFrame:
     """Every text file of a directory; ``exclude`` lists file paths
     (or names) to skip.  The document id is the file name (P1)."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    df = _with_meta(reader.text(path))
+    df = _with_meta(reader.text(path, wholetext=True))
     if exclude:
-        ex = list(exclude)
-        names = [e.rsplit("/", 1)[-1] for e in ex]
-        df = df.filter(~(F.col("file_path").isin(ex) | F.col("file_name").isin(names)))
+        # by path, not substring: the file path equals the entry or ends with "/<entry>"
+        path_col = F.regexp_replace(F.col("file_path"), "^file:(//)?", "")
+        cond = F.lit(False)
+        for e in exclude:
+            e = e[5:] if e.startswith("file:") else e
+            cond = cond | (path_col == F.lit(e)) | path_col.endswith("/" + e.lstrip("/"))
+        df = df.filter(~cond)
     return df.withColumn("doc_id", F.col("file_name"))
 
 
 def read_text_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """S3: an explicit list of files."""
-    return _with_meta(spark.read.option("wholetext", True).text(list(paths))).withColumn("doc_id", F.col("file_name"))
+    return _with_meta(spark.read.text(list(paths), wholetext=True)).withColumn("doc_id", F.col("file_name"))
