@@ -8,10 +8,12 @@
    product per group and only k per query and group leave the task; a final
    per-query top-k picks the result.
 
-Skew: a cell may hold a large share of the corpus.  Each cell is cut into
-``ceil(size / slice_rows)`` slices by a hash of the node id (the cell sizes
-are one row per cell), and queries probing the cell are replicated to each
-slice, so no group holds more than ``slice_rows`` corpus vectors.
+Skew: a cell may hold a large share of the corpus, or be probed by a large
+share of the queries.  Each cell's vectors are cut into
+``ceil(size / slice_rows)`` slices by a hash of the node id and its probing
+queries likewise (the slice counts are one row per cell); every (corpus
+slice, query slice) pair of a cell is one group, so no group holds more than
+``slice_rows`` rows of either side.
 """
 
 from __future__ import annotations
@@ -82,16 +84,29 @@ def ivf_topk(
     c = corpus.select(F.col(node_id).cast("long").alias("node_id"), F.col(vec).alias("nv"))
     assigned = _nearest_cells(c.withColumnRenamed("nv", vec), "node_id", vec, cells, 1).withColumnRenamed("id", "node_id")
     c = c.join(assigned, "node_id")
-    sizes = c.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # one row per cell
-    sizes = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(slice_rows))).cast("int").alias("nslice"))
-    sizes = F.broadcast(sizes)
-    cx = c.join(sizes, "cell").withColumn("slice", F.pmod(F.xxhash64("node_id"), F.col("nslice")).cast("int"))
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("qv"))
     probes = _nearest_cells(q.withColumnRenamed("qv", vec), "query_id", vec, cells, nprobe).withColumnRenamed("id", "query_id")
+    # Slice counts per cell for both sides (one row per cell, broadcast).  A
+    # group (cell, corpus slice, query slice) holds at most ``slice_rows``
+    # rows of each side, however skewed the cells are.
+    csz = c.groupBy("cell").agg(F.count(F.lit(1)).alias("nc"))
+    qsz = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
+    sizes = csz.join(qsz, "cell", "left").select(
+        "cell",
+        F.greatest(F.lit(1), F.ceil(F.col("nc") / F.lit(slice_rows))).cast("int").alias("ncs"),
+        F.greatest(F.lit(1), F.ceil(F.coalesce("nq", F.lit(0)) / F.lit(slice_rows))).cast("int").alias("nqs"),
+    )
+    sizes = F.broadcast(sizes)
+    cx = (
+        c.join(sizes, "cell")
+        .withColumn("cslice", F.pmod(F.xxhash64("node_id"), F.col("ncs")).cast("int"))
+        .withColumn("qslice", F.explode(F.sequence(F.lit(0), F.col("nqs") - 1)))
+    )
     qx = (
         q.join(probes, "query_id")
         .join(sizes, "cell")
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("nslice") - 1)))
+        .withColumn("qslice", F.pmod(F.xxhash64("query_id"), F.col("nqs")).cast("int"))
+        .withColumn("cslice", F.explode(F.sequence(F.lit(0), F.col("ncs") - 1)))
     )
 
     def score(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,9 +115,10 @@ def ivf_topk(
             cpdf["node_id"].to_numpy(np.int64), None, _matrix(cpdf["nv"]), k, exclude_self,
         )
 
+    keys = ["cell", "cslice", "qslice"]
     cands = (
-        qx.select("cell", "slice", "query_id", "qv").groupBy("cell", "slice")
-        .cogroup(cx.select("cell", "slice", "node_id", "nv").groupBy("cell", "slice"))
+        qx.select(*keys, "query_id", "qv").groupBy(*keys)
+        .cogroup(cx.select(*keys, "node_id", "nv").groupBy(*keys))
         .applyInPandas(score, CAND_SCHEMA)
     )
     return top_k(cands, ["query_id"], score_order(), k)

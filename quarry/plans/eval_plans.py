@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from quarry.sources.tables import spread, table
 def _sparse_eval(spark, sf):
     q = bench_queries(spark, sf)
     docs = corpus(spark, sf)
-    hits = bm25.bm25_topk(q, docs, k=5)
+    # the hit list (k per query) feeds several metrics: materialise it once
+    hits = bm25.bm25_topk(q, docs, k=5).persist(StorageLevel.MEMORY_AND_DISK)
     return q, docs, hits, evaluate.hit_rate_mrr(q, hits, evaluate.judge_containment(hits, q, docs))
 
 
@@ -82,7 +84,7 @@ def eval_relevancy(spark: SparkSession, sf: str):
 
 def _per_query(spark, sf):
     q, docs, hits, retrieval = _sparse_eval(spark, sf)
-    texts = hits.join(docs.select("node_id", "text"), "node_id")
+    texts = hits.join(docs.select("node_id", "text"), "node_id").persist(StorageLevel.MEMORY_AND_DISK)
     ctx = texts.groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("context"))
     faith = ctx.join(q, "query_id").select(
         "query_id", evaluate.groundedness(F.col("text"), F.col("context")).alias("faithfulness_score")
