@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +111,8 @@ def run_routes(
 
     The loop is over the declared branch names (a handful), not over data.
     """
+    # every branch filters the same decisions (one row per query): compute once
+    routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for name, fn in branches.items():
         part = fn(routed.filter(F.col(route_col) == name)).withColumn(route_col, F.lit(name))

@@ -21,6 +21,11 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text", "source"))
 
 
+def doc_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """documents for late text lookup by node_id (no spreading: a join, not CPU work)."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text", "source")
+
+
 def bench_queries(spark: SparkSession, sf: str) -> DataFrame:
     """benchmark passages as the query table: query_id, text."""
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")

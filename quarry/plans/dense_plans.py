@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import snippet
 from quarry.operators import bm25, dense
 from quarry.plans.sparse import BM25_TOPK_SQL
-from quarry.plans.common import as_bigint, bench_queries, corpus, round6, vectors
+from quarry.plans.common import as_bigint, bench_queries, corpus, doc_texts, round6, vectors
 from quarry.sources.tables import spread, table
 
 SIM_CUTOFF = 0.30  # fixed value of the reference post-processor
@@ -55,9 +55,8 @@ def similarity_cutoff(spark: SparkSession, sf: str):
 
 def snippets(spark: SparkSession, sf: str):
     """Display snippets (200/300/500 characters) of the BM25 hits."""
-    docs = corpus(spark, sf)
-    hits = bm25.bm25_topk(bench_queries(spark, sf), docs, k=5)
-    out = bm25.attach_nodes(hits, docs, cols=("text",)).select(
+    hits = bm25.bm25_topk(bench_queries(spark, sf), corpus(spark, sf), k=5)
+    out = bm25.attach_nodes(hits, doc_texts(spark, sf), cols=("text",)).select(
         "query_id", "node_id", "rank",
         snippet("text", 200).alias("snip200"),
         snippet("text", 300).alias("snip300"),

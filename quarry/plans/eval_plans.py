@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import bm25, dense, evaluate
-from quarry.plans.common import bench_queries, corpus, round6, sql_tokens, vectors
+from quarry.plans.common import bench_queries, corpus, doc_texts, round6, sql_tokens, vectors
 from quarry.plans.dense_plans import _topk_sql
 from quarry.plans.sparse import BM25_TOPK_SQL
 from quarry.sources.tables import spread, table
@@ -24,17 +24,24 @@ from quarry.sources.tables import spread, table
 def _sparse_eval(spark, sf):
     q = bench_queries(spark, sf)
     docs = corpus(spark, sf)
-    # the hit list (k per query) feeds several metrics: materialise it once
-    hits = bm25.bm25_topk(q, docs, k=5).persist(StorageLevel.MEMORY_AND_DISK)
-    return q, docs, hits, evaluate.hit_rate_mrr(q, hits, evaluate.judge_containment(hits, q, docs))
+    # the hit list (k per query) feeds several metrics: materialise it once,
+    # with the hit texts (late lookup on node_id, no spreading shuffle)
+    hits = bm25.bm25_topk(q, docs, k=5)
+    texts = (
+        hits.join(doc_texts(spark, sf), "node_id")
+        .join(q.select("query_id", F.col("text").alias("qtext")), "query_id")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    judged = texts.select("query_id", "node_id", F.col("text").contains(F.col("qtext")).alias("relevant"))
+    return q, texts, evaluate.hit_rate_mrr(q, texts.select("query_id", "node_id", "rank"), judged)
 
 
 def eval_hit_rate(spark: SparkSession, sf: str):
-    return _sparse_eval(spark, sf)[3].select("query_id", "hit_rate")
+    return _sparse_eval(spark, sf)[2].select("query_id", "hit_rate")
 
 
 def eval_mrr(spark: SparkSession, sf: str):
-    return round6(_sparse_eval(spark, sf)[3].select("query_id", "mrr"), "mrr")
+    return round6(_sparse_eval(spark, sf)[2].select("query_id", "mrr"), "mrr")
 
 
 def eval_dense_hit_mrr(spark: SparkSession, sf: str):
@@ -83,14 +90,14 @@ def eval_relevancy(spark: SparkSession, sf: str):
 
 
 def _per_query(spark, sf):
-    q, docs, hits, retrieval = _sparse_eval(spark, sf)
-    texts = hits.join(docs.select("node_id", "text"), "node_id").persist(StorageLevel.MEMORY_AND_DISK)
+    q, texts, retrieval = _sparse_eval(spark, sf)
     ctx = texts.groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("context"))
     faith = ctx.join(q, "query_id").select(
         "query_id", evaluate.groundedness(F.col("text"), F.col("context")).alias("faithfulness_score")
     )
-    top1 = texts.filter(F.col("rank") == 1).select("query_id", F.col("text").alias("answer"))
-    pairs = top1.join(q.select("query_id", F.col("text").alias("question")), "query_id")
+    pairs = texts.filter(F.col("rank") == 1).select(
+        "query_id", F.col("text").alias("answer"), F.col("qtext").alias("question")
+    )
     relev = evaluate.term_cosine(pairs, ["query_id"], "question", "answer")
     return evaluate.per_query(retrieval, faith, relev)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
 from quarry.operators import bm25
-from quarry.plans.common import as_bigint, bench_queries, corpus, round6, sql_tokens
+from quarry.plans.common import as_bigint, bench_queries, corpus, doc_texts, round6, sql_tokens
 
 # Lucene's classic English stop set, used by the library BM25 variant.
 # Fixed values, in their usual order.
@@ -59,9 +59,8 @@ def bm25_topk(spark: SparkSession, sf: str, k: int = 5):
 
 
 def bm25_hits_with_text(spark: SparkSession, sf: str):
-    docs = corpus(spark, sf)
-    hits = bm25.bm25_topk(bench_queries(spark, sf), docs, k=5)
-    out = bm25.attach_nodes(hits, docs, cols=("source", "text"))
+    hits = bm25.bm25_topk(bench_queries(spark, sf), corpus(spark, sf), k=5)
+    out = bm25.attach_nodes(hits, doc_texts(spark, sf), cols=("source", "text"))
     return as_bigint(round6(out, "score"), "rank")
 
 
