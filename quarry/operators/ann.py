@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.dense import CAND_SCHEMA, _candidates, _matrix
-from quarry.operators.topk import score_order, top_k
+from quarry.operators.topk import rank_by_score
 
 SLICE_ROWS = 50_000
 
@@ -121,7 +121,7 @@ def ivf_topk(
         .cogroup(cx.select(*keys, "node_id", "nv").groupBy(*keys))
         .applyInPandas(score, CAND_SCHEMA)
     )
-    return top_k(cands, ["query_id"], score_order(), k)
+    return rank_by_score(cands, ["query_id"], k)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.topk import score_order, top_k
+from quarry.operators.topk import rank_by_score
 
 # Query matrices up to this many bytes (float64) are broadcast.
 BROADCAST_MAX_BYTES = 256 * 1024 * 1024
@@ -130,7 +130,7 @@ def dense_topk(
         cands = _broadcast_scores(spark, q, c, k, exclude_self, bool(match))
     else:
         cands = _blocked_scores(q, c, nq, k, exclude_self, bool(match), block_rows)
-    return top_k(cands, ["query_id"], score_order(), k)
+    return rank_by_score(cands, ["query_id"], k)
 
 
 def _broadcast_scores(spark, q, c, k, exclude_self, has_key):

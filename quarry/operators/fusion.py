@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import split_lines_clean, tokenize
-from quarry.operators.topk import score_order, top_k
+from quarry.operators.topk import rank_by_score, top_k
 
 # Fixed values of the reference fusion: RRF constant, rank origin 0.
 RRF_K = 60
@@ -66,8 +66,7 @@ def rrf(
     equal content merges and is represented by its smallest node id.
     Output: (query_id, node_id, fused, rank).
     """
-    w = Window.partitionBy(*list_cols).orderBy(*score_order())
-    ranked = hits.withColumn("_r", F.row_number().over(w) - F.lit(1))
+    ranked = rank_by_score(hits, list(list_cols), rank_col="_r").withColumn("_r", F.col("_r") - F.lit(1))
     fused = ranked.groupBy(query_col, identity).agg(
         F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("_r"))).alias("fused"),
         F.min("node_id").alias("_rep"),
@@ -78,7 +77,7 @@ def rrf(
         fused = fused.drop("_rep")
     if top is None:
         return fused
-    return top_k(fused, [query_col], score_order("fused"), top)
+    return rank_by_score(fused, [query_col], top, score="fused")
 
 
 def token_overlap(query_text: Column, node_text: Column) -> Column:
@@ -107,5 +106,6 @@ def rerank(
     scored = cands.join(q, "query_id").join(n, "node_id").withColumn(
         "rerank_score", scorer(F.col("_qtext"), F.col("_ntext"))
     )
-    order = [F.round("rerank_score", 9).desc(), F.round(score_col, 9).desc(), F.col("node_id").asc()]
-    return top_k(scored.drop("_qtext", "_ntext", "rank"), ["query_id"], order, top_n)
+    return rank_by_score(
+        scored.drop("_qtext", "_ntext", "rank"), ["query_id"], top_n, score="rerank_score", extra_scores=(score_col,)
+    )

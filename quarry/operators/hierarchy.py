@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.topk import score_order
+from quarry.operators.topk import rank_by_score
 
 # Fixed value: merge when retrieved/total children is strictly above this.
 MERGE_RATIO = 0.5
@@ -64,8 +64,7 @@ def automerge(hits: DataFrame, nodes: DataFrame, depth: int = 3, threshold: floa
     cur = with_parents(hits, nodes).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(depth - 1):
         cur = merge_once(cur, nodes, threshold).persist(StorageLevel.MEMORY_AND_DISK)
-    w = Window.partitionBy("query_id").orderBy(*score_order())
-    return cur.drop("parent_id").withColumn("rank", F.row_number().over(w))
+    return rank_by_score(cur.drop("parent_id"), ["query_id"])
 
 
 def fill_gaps(hits: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -89,8 +88,7 @@ def fill_gaps(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     ).join(pos, ["doc_id", "level", "seq"]).select("query_id", "node_id", "score")
     ins = ins.join(b.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
     out = b.select("query_id", "node_id", "score").unionByName(ins)
-    w2 = Window.partitionBy("query_id").orderBy(*score_order())
-    return out.withColumn("rank", F.row_number().over(w2))
+    return rank_by_score(out, ["query_id"])
 
 
 def diff_lists(base: DataFrame, merged: DataFrame) -> DataFrame:

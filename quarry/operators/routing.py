@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import identifier_like, tokenize
 from quarry.operators import dense
-from quarry.operators.topk import top_k
+from quarry.operators.topk import rank_by_score
 
 # Target descriptions of the reference examples, in listed order.
 ENGINE_TARGETS = [
@@ -83,7 +83,7 @@ def route_by_similarity(queries: DataFrame, targets: DataFrame, text: str = "tex
     sim = dot.join(qn, "query_id").join(F.broadcast(tn), "target_id").select(
         "query_id", "target_id", (F.col("dot") / (F.col("qn") * F.col("tn"))).alias("sim")
     )
-    best = top_k(sim, ["query_id"], [F.round("sim", 9).desc(), F.col("target_id").asc()], 1, "_r").drop("_r")
+    best = rank_by_score(sim, ["query_id"], 1, score="sim", node="target_id", rank_col="_r").drop("_r")
     first = targets.agg(F.min("target_id")).first()[0]  # declared target list
     routed = (
         queries.select("query_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.operators import bm25
-from quarry.operators.topk import score_order, top_k
+from quarry.operators.topk import rank_by_score
 
 
 def create_table(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str, name: str | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def value_topk(questions: DataFrame, values: DataFrame, k: int = 3) -> DataFrame
     """Q3: best ``k`` values per question and table (BM25 over the value texts)."""
     scores = bm25.bm25_scores(questions, values.select("node_id", "text")).filter(F.col("score") > 0)
     with_table = scores.join(values.select("node_id", "table_name", "text"), "node_id")
-    return top_k(with_table, ["query_id", "table_name"], score_order(), k)
+    return rank_by_score(with_table, ["query_id", "table_name"], k)
 
 
 def schema_topk(questions: DataFrame, catalog: DataFrame, k: int = 2) -> DataFrame:

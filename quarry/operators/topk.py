@@ -47,3 +47,35 @@ def score_order(score: str = "score", node: str = "node_id") -> list[Column]:
     engines) and ties go to the smaller node id.
     """
     return [F.round(F.col(score), 9).desc(), F.col(node).asc()]
+
+
+def rank_by_score(
+    df: DataFrame,
+    partition_by: Sequence[str],
+    k: int | None = None,
+    *,
+    score: str = "score",
+    node: str = "node_id",
+    rank_col: str = "rank",
+    extra_scores: Sequence[str] = (),
+) -> DataFrame:
+    """Number rows best-first per group (and keep the first ``k``).
+
+    Order: score rounded to 9 decimals descending (then each of
+    ``extra_scores`` the same way), ties to the smaller ``node``.  The
+    rounded keys are computed once per row as columns: a sort on the
+    ``round`` expression itself would re-evaluate it (decimal arithmetic)
+    on every comparison.
+    """
+    keys = [score, *extra_scores]
+    tmp = df
+    order = []
+    for i, s in enumerate(keys):
+        tmp = tmp.withColumn(f"_r9_{i}", F.round(F.col(s), 9))
+        order.append(F.col(f"_r9_{i}").desc())
+    order.append(F.col(node).asc())
+    w = Window.partitionBy(*partition_by).orderBy(*order)
+    out = tmp.withColumn(rank_col, F.row_number().over(w))
+    if k is not None:
+        out = out.filter(F.col(rank_col) <= k)
+    return out.drop(*[f"_r9_{i}" for i in range(len(keys))])

@@ -87,7 +87,9 @@ class StreamIngest:
 
     # --------------------------------------------------------------- write side
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        newest = top_k(batch, ["doc_id"], [F.col("modified_at").desc(), F.sha2("text", 256).desc()], 1, "_n").drop("_n")
+        newest = top_k(
+            batch.withColumn("_h", F.sha2("text", 256)), ["doc_id"], [F.col("modified_at").desc(), F.col("_h").desc()], 1, "_n"
+        ).drop("_n", "_h")
         reg = self.registry(before_batch=batch_id).select("doc_id", F.col("modified_at").alias("_reg_ts"))
         accepted = (
             newest.join(reg, "doc_id", "left")
