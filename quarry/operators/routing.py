@@ -102,6 +102,15 @@ def route_by_rule(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.withColumn("route", F.when(identifier_like(F.col(text)), F.lit("keyword")).otherwise(F.lit("dense")))
 
 
+def route_from_decisions(queries: DataFrame, decisions: DataFrame, text: str = "text") -> DataFrame:
+    """R4 with an external decisions table (query_id, route), e.g. written by
+    an offline model job; queries without a decision fall back to the rule."""
+    ruled = route_by_rule(queries, text).withColumnRenamed("route", "_rule")
+    return ruled.join(decisions.select("query_id", F.col("route").alias("_dec")), "query_id", "left").select(
+        *queries.columns, F.coalesce("_dec", "_rule").alias("route")
+    )
+
+
 def run_routes(
     routed: DataFrame,
     branches: Mapping[str, Callable[[DataFrame], DataFrame]],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import snippet
 from quarry.operators import bm25, dense
+from quarry.operators.retrievers import metadata_filter
 from quarry.plans.sparse import BM25_TOPK_SQL
 from quarry.plans.common import as_bigint, bench_queries, corpus, doc_texts, round6, vectors
 from quarry.sources.tables import spread, table
@@ -42,7 +43,7 @@ def labelled_vectors(spark, sf):
 
 def dense_topk_filtered(spark: SparkSession, sf: str, k: int = 5):
     """P5: metadata equality filters (AND) applied before scoring."""
-    nodes = labelled_vectors(spark, sf).filter((F.col("quality") == 1) & (F.col("toxic") == 0))
+    nodes = metadata_filter(labelled_vectors(spark, sf), {"quality": 1, "toxic": 0})
     hits = dense.dense_topk(_vec_queries(spark, sf), spread(nodes), k, exclude_self=True)
     return as_bigint(round6(hits, "score"), "rank")
 
