@@ -53,9 +53,13 @@ def with_parents(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return hits.select("query_id", "node_id", "score").join(nodes.select("node_id", "parent_id"), "node_id")
 
 
-def automerge(hits: DataFrame, nodes: DataFrame, depth: int = 3, threshold: float = MERGE_RATIO) -> DataFrame:
+def automerge(
+    hits: DataFrame, nodes: DataFrame, depth: int = 3, threshold: float = MERGE_RATIO, fill: bool = False
+) -> DataFrame:
     """H3: all merge passes of a ``depth``-tier tree, then best-first ranks.
 
+    With ``fill`` each pass first inserts one-node gaps (H4) and then merges,
+    the order the library retriever uses; the default merges only.
     Output: (query_id, node_id, score, rank).
     """
     # Each pass reads its input twice (kept rows and merge groups); the hit
@@ -63,6 +67,8 @@ def automerge(hits: DataFrame, nodes: DataFrame, depth: int = 3, threshold: floa
     # of re-running retrieval once per reference.
     cur = with_parents(hits, nodes).persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(depth - 1):
+        if fill:
+            cur = with_parents(fill_gaps(rank_by_score(cur, ["query_id"]), nodes), nodes)
         cur = merge_once(cur, nodes, threshold).persist(StorageLevel.MEMORY_AND_DISK)
     return rank_by_score(cur.drop("parent_id"), ["query_id"])
 

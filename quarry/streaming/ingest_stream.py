@@ -71,12 +71,51 @@ class StreamIngest:
 
     # ---------------------------------------------------------------- read side
     def registry(self, before_batch: int | None = None) -> DataFrame:
-        """Newest registry entry per document (optionally only from earlier batches)."""
+        """Newest registry entry per document (optionally only from earlier batches).
+
+        Reads the latest compacted snapshot (if any) plus the batch
+        partitions written after it, so the read stays bounded by the
+        snapshot size plus recent batches.
+        """
+        snap_batch, snap = self._latest_snapshot(before_batch)
         log = ingest.load_or_empty(self.spark, self.registry_path, REGISTRY_SCHEMA)
+        if snap is not None:
+            log = log.filter(F.col("batch_id") > snap_batch).unionByName(snap)
         if before_batch is not None:
             log = log.filter(F.col("batch_id") < before_batch)
         return top_k(log, ["doc_id"], [F.col("modified_at").desc(), F.col("batch_id").desc()], 1, "_n").drop("_n")
 
+    def _snapshots(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/registry_snapshot")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return []
+        out = []
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if name.startswith("upto=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out.append(int(name[5:]))
+        return sorted(out)
+
+    def _latest_snapshot(self, before_batch: int | None):
+        snaps = [b for b in self._snapshots() if before_batch is None or b < before_batch]
+        if not snaps:
+            return None, None
+        b = snaps[-1]
+        return b, self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{self.root}/registry_snapshot/upto={b}")
+
+    def compact(self) -> int | None:
+        """Write the current registry (newest entry per document) as a snapshot
+        covering every batch so far; later reads start from it.  The
+        snapshot is complete only once its ``_SUCCESS`` marker exists."""
+        log = ingest.load_or_empty(self.spark, self.registry_path, REGISTRY_SCHEMA)
+        upto = log.agg(F.max("batch_id")).first()[0]
+        if upto is None:
+            return None
+        self.registry().write.mode("overwrite").parquet(f"{self.root}/registry_snapshot/upto={upto}")
+        return int(upto)
+
     def current_chunks(self) -> DataFrame:
         """Chunks of the current version of every document."""
         chunks = ingest.load_or_empty(self.spark, self.chunks_path, CHUNK_LOG_SCHEMA)

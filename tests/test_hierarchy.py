@@ -72,3 +72,11 @@ def test_chunk_sentences_invariants(spark):
     assert all(r["n_tokens"] <= 5 for r in rows)
     covered = set(" ".join(r["text"] for r in rows).split())
     assert covered == set(text.lower().replace(".", " ").replace("!", " ").split())
+
+
+def test_automerge_with_fill(spark):
+    # a and c retrieved, b filled in between -> p1 has 2 of 2 -> merged
+    h = hits(spark, [(1, "a", 0.8, 1), (1, "c", 0.6, 2)])
+    got = {r["node_id"]: r["score"] for r in hierarchy.automerge(h, nodes(spark), fill=True).collect()}
+    assert set(got) == {"p1", "c"}
+    assert got["p1"] == pytest.approx(0.75)

@@ -18,3 +18,20 @@ def test_stream_replaces_changed_and_ignores_late(spark, tmp_path):
     # re-running is a no-op: the checkpoint remembers processed files
     job.run(drop, files_per_batch=1)
     assert {r["doc_id"]: r["text"] for r in job.current_chunks().collect()} == got
+
+
+def test_replayed_batch_is_idempotent_and_compaction_keeps_state(spark, tmp_path):
+    root = str(tmp_path / "r")
+    job = StreamIngest(spark, root)
+    b0 = spark.createDataFrame([(1, dt.datetime(2026, 1, 1), "alpha"), (2, dt.datetime(2026, 1, 1), "beta")], INPUT_SCHEMA)
+    b1 = spark.createDataFrame([(1, dt.datetime(2026, 1, 3), "alpha two")], INPUT_SCHEMA)
+    job.process_batch(b0, 0)
+    job.process_batch(b1, 1)
+    job.process_batch(b1, 1)  # replay after a failure rewrites the same partition
+    state = {r["doc_id"]: r["text"] for r in job.current_chunks().collect()}
+    assert state == {1: "alpha two", 2: "beta"}
+    assert job.compact() == 1
+    late = spark.createDataFrame([(2, dt.datetime(2025, 1, 1), "beta old")], INPUT_SCHEMA)
+    job.process_batch(late, 2)
+    assert {r["doc_id"]: r["text"] for r in job.current_chunks().collect()} == state
+    assert {r["doc_id"] for r in job.registry().collect()} == {1, 2}
