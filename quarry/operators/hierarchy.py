@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.topk import rank_by_score
+from quarry.operators.topk import materialize, rank_by_score
 
 # Fixed value: merge when retrieved/total children is strictly above this.
 MERGE_RATIO = 0.5
@@ -65,7 +65,7 @@ def automerge(
     # Each pass reads its input twice (kept rows and merge groups); the hit
     # list is bounded (k per query), so it is cached between passes instead
     # of re-running retrieval once per reference.
-    cur = with_parents(hits, nodes).persist(StorageLevel.MEMORY_AND_DISK)
+    cur = materialize(with_parents(hits, nodes))
     for _ in range(depth - 1):
         if fill:
             cur = with_parents(fill_gaps(rank_by_score(cur, ["query_id"]), nodes), nodes)

@@ -11,13 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import identifier_like, tokenize
 from quarry.operators import dense
-from quarry.operators.topk import rank_by_score
+from quarry.operators.topk import materialize, rank_by_score
 
 # Target descriptions of the reference examples, in listed order.
 ENGINE_TARGETS = [
@@ -121,7 +120,7 @@ def run_routes(
     The loop is over the declared branch names (a handful), not over data.
     """
     # every branch filters the same decisions (one row per query): compute once
-    routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
+    routed = materialize(routed)
     out = None
     for name, fn in branches.items():
         part = fn(routed.filter(F.col(route_col) == name)).withColumn(route_col, F.lit(name))

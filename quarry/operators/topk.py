@@ -17,6 +17,21 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Persist ``df`` and compute it once, now.
+
+    A persisted but not yet computed DataFrame read by several stages that
+    AQE submits concurrently is computed once per reader; materialising it
+    first makes every reader hit the cache.  Blocks lost with an executor
+    are recomputed from lineage.
+    """
+    from pyspark import StorageLevel
+
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only behind a size check; otherwise leave the join to
     the planner (shuffle join, AQE skew splitting)."""

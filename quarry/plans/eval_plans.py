@@ -10,11 +10,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import bm25, dense, evaluate
+from quarry.operators.topk import materialize
 from quarry.plans.common import bench_queries, corpus, doc_texts, round6, sql_tokens, vectors
 from quarry.plans.dense_plans import _topk_sql
 from quarry.plans.sparse import BM25_TOPK_SQL
@@ -27,10 +27,8 @@ def _sparse_eval(spark, sf):
     # the hit list (k per query) feeds several metrics: materialise it once,
     # with the hit texts (late lookup on node_id, no spreading shuffle)
     hits = bm25.bm25_topk(q, docs, k=5)
-    texts = (
-        hits.join(doc_texts(spark, sf), "node_id")
-        .join(q.select("query_id", F.col("text").alias("qtext")), "query_id")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    texts = materialize(
+        hits.join(doc_texts(spark, sf), "node_id").join(q.select("query_id", F.col("text").alias("qtext")), "query_id")
     )
     judged = texts.select("query_id", "node_id", F.col("text").contains(F.col("qtext")).alias("relevant"))
     return q, texts, evaluate.hit_rate_mrr(q, texts.select("query_id", "node_id", "rank"), judged)

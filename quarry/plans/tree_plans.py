@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import bm25, chunking, hierarchy
+from quarry.operators.topk import materialize
 from quarry.plans.common import as_bigint, bench_queries, round6, sql_tokens
 from quarry.plans.sparse import bm25_sql
 from quarry.sources.tables import spread, table
@@ -29,7 +29,7 @@ def chunk_fixed_1024(spark: SparkSession, sf: str):
 def _tree(spark, sf):
     # The node table is read by the leaf filter, the child counts and every
     # merge pass: materialise it once (lost blocks recompute from lineage).
-    return chunking.chunk_tree(_docs(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    return materialize(chunking.chunk_tree(_docs(spark, sf)))
 
 
 def hier_nodes(spark: SparkSession, sf: str):
