@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,8 +129,3 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     inter = approx.select("query_id", "node_id").join(exact.select("query_id", "node_id"), ["query_id", "node_id"])
     per = inter.groupBy("query_id").agg((F.count(F.lit(1)) / F.lit(float(k))).alias("recall"))
     return exact.select("query_id").distinct().join(per, "query_id", "left").fillna(0.0, ["recall"])
-
-
-def vector_column(df: DataFrame, col: str) -> DataFrame:
-    """ML vector -> ARRAY<DOUBLE> (for featurizer output)."""
-    return df.withColumn(col, vector_to_array(F.col(col)))

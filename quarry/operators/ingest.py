@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
-from quarry.functions.text import SOURCE_TAG, category, content_hash, document_name, stable_doc_id
+from quarry.functions.text import SOURCE_TAG, category, document_name, stable_doc_id
 from quarry.operators import chunking
 
 DOC_STATE_SCHEMA = StructType(
@@ -139,9 +139,6 @@ def dedup_exact(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     )
 
 
-def empty_state(spark: SparkSession, schema: StructType = DOC_STATE_SCHEMA) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
 
 def load_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Read a stored state table if present, else start empty."""
@@ -156,7 +153,3 @@ def load_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFra
 def chunker_256(docs: DataFrame) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
     return chunking.chunk_fixed(docs, *chunking.INGEST_CHUNK, keep=keep)
-
-
-def with_content_hash(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumn("content_hash", content_hash(*cols))

@@ -32,11 +32,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only behind a size check; otherwise leave the join to
-    the planner (shuffle join, AQE skew splitting)."""
-    return F.broadcast(df) if fits(df, max_rows) else df
-
 
 def top_k(
     df: DataFrame,
@@ -55,14 +50,6 @@ def top_k(
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def score_order(score: str = "score", node: str = "node_id") -> list[Column]:
-    """Descending score with an explicit, engine-independent tie-break.
-
-    Scores are compared rounded to 9 decimals (summation order differs between
-    engines) and ties go to the smaller node id.
-    """
-    return [F.round(F.col(score), 9).desc(), F.col(node).asc()]
-
 
 def rank_by_score(
     df: DataFrame,

@@ -50,3 +50,34 @@ def test_route_from_decisions(spark):
     d = spark.createDataFrame([(2, "keyword")], "query_id long, route string")
     got = {r["query_id"]: r["route"] for r in routing.route_from_decisions(q, d).collect()}
     assert got == {1: "keyword", 2: "keyword"}
+
+
+def test_route_fixtures_from_reference_examples(spark):
+    # term-count cosine (no idf): "in" would weigh as much as "rag", so the
+    # first query avoids stop words shared with the other description
+    q = spark.createDataFrame([(1, "Retrieval-Augmented Generation with vector stores"),
+                               (2, "Concepts and syntax of Python data structures")], "query_id long, text string")
+    got = {r["query_id"]: r["name"] for r in routing.route_by_similarity(q, routing.targets_df(spark, routing.POINTERS)).collect()}
+    assert got == {1: "rag_retriever", 2: "python_retriever"}
+    kw = spark.createDataFrame([(1, "exact error codes and identifiers")], "query_id long, text string")
+    r = routing.route_by_similarity(kw, routing.targets_df(spark, routing.RETRIEVER_TARGETS)).first()
+    assert r["name"] == "keyword"
+
+
+def test_stable_ids_and_dedup_by_id(spark):
+    import datetime as dt
+
+    from quarry.operators import ingest
+
+    d = spark.createDataFrame([("a.txt", "1", dt.datetime(2026, 1, 1)), ("a.txt", "2", dt.datetime(2026, 1, 2)),
+                               (None, "3", dt.datetime(2026, 1, 1))], "file_name string, doc_id string, modified_at timestamp")
+    got = {r["doc_id"]: r["modified_at"].day for r in ingest.dedup_by_id(ingest.with_stable_ids(d)).collect()}
+    assert got == {"a.txt": 2, "3": 1}
+
+
+def test_cache_state_schema(spark, tmp_path):
+    from quarry.operators import ingest
+
+    p = str(tmp_path / "cache")
+    spark.createDataFrame([("h", "t", 0, "x")], ingest.CACHE_SCHEMA).write.parquet(p)
+    assert ingest.load_or_empty(spark, p, ingest.CACHE_SCHEMA).count() == 1
