@@ -58,6 +58,12 @@ def bm25_topk(spark: SparkSession, sf: str, k: int = 5):
     return as_bigint(round6(hits, "score"), "rank")
 
 
+def bm25_topk_pruned(spark: SparkSession, sf: str, k: int = 5):
+    """B6 with exact MaxScore-style pruning (same rows as ``bm25_topk``)."""
+    hits = bm25.bm25_topk_pruned(bench_queries(spark, sf), corpus(spark, sf), k=k)
+    return as_bigint(round6(hits, "score"), "rank")
+
+
 def bm25_hits_with_text(spark: SparkSession, sf: str):
     hits = bm25.bm25_topk(bench_queries(spark, sf), corpus(spark, sf), k=5)
     out = bm25.attach_nodes(hits, doc_texts(spark, sf), cols=("source", "text"))
@@ -140,6 +146,7 @@ WITH {_TF},
 SELECT term, round(ln(1 + (st.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM dfr CROSS JOIN st""",
     "bm25_scores": _bm25_sql(None),
     "bm25_topk": BM25_TOPK_SQL,
+    "bm25_topk_pruned": BM25_TOPK_SQL,
     "bm25_hits_with_text": f"""
 WITH h AS ({BM25_TOPK_SQL})
 SELECT h.node_id, h.query_id, h.score, h.rank, d.source, d.text
@@ -155,6 +162,7 @@ QUERIES = {
     "bm25_idf": bm25_idf,
     "bm25_scores": bm25_scores,
     "bm25_topk": bm25_topk,
+    "bm25_topk_pruned": bm25_topk_pruned,
     "bm25_hits_with_text": bm25_hits_with_text,
     "bm25_stopwords_topk": bm25_stopwords_topk,
 }
