@@ -9,7 +9,6 @@ All groups are (query, parent) groups of a bounded hit list.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +38,35 @@ def merge_ratio(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def merge_once(hits: DataFrame, nodes: DataFrame, threshold: float = MERGE_RATIO) -> DataFrame:
-    """H2: one merge pass -> (query_id, node_id, score, parent_id)."""
-    merged = merge_ratio(hits, nodes).filter(F.col("ratio") > threshold)
-    kept = hits.join(merged.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_anti")
-    parents = merged.select("query_id", F.col("parent_id").alias("node_id"), F.col("mean_score").alias("score")).join(
-        nodes.select("node_id", "parent_id"), "node_id"
+def node_info(nodes: DataFrame) -> DataFrame:
+    """(node_id, parent_id, pn): every node with its parent's total child count."""
+    cc = child_counts(nodes).withColumnRenamed("n_children", "pn")
+    return nodes.select("node_id", "parent_id").join(cc, "parent_id", "left")
+
+
+def merge_once(hits: DataFrame, info: DataFrame, threshold: float = MERGE_RATIO) -> DataFrame:
+    """H2: one merge pass -> (query_id, node_id, score, parent_id, pn).
+
+    ``hits`` carries (query_id, node_id, score, parent_id, pn).  One window
+    over (query, parent) counts and averages the retrieved siblings, so the
+    kept rows need no anti join; the first row of a merged group becomes the
+    parent, whose own parent comes from ``info`` (one lookup join).
+    """
+    w = Window.partitionBy("query_id", "parent_id")
+    h = (
+        hits.withColumn("_n", F.count(F.lit(1)).over(w))
+        .withColumn("_m", F.avg("score").over(w))
+        .withColumn("_first", F.row_number().over(w.orderBy("node_id")) == 1)
+        .withColumn("_merge", F.coalesce(F.col("parent_id").isNotNull() & (F.col("_n") / F.col("pn") > F.lit(threshold)), F.lit(False)))
+    )
+    kept = h.filter(~F.col("_merge")).select("query_id", "node_id", "score", "parent_id", "pn")
+    ups = (
+        h.filter(F.col("_merge") & F.col("_first"))
+        .select("query_id", F.col("parent_id").alias("node_id"), F.col("_m").alias("score"))
+        .join(info, "node_id")
+        .select("query_id", "node_id", "score", "parent_id", "pn")
     )
-    return kept.select("query_id", "node_id", "score", "parent_id").unionByName(parents)
+    return kept.unionByName(ups)
 
 
 def with_parents(hits: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -62,15 +82,15 @@ def automerge(
     the order the library retriever uses; the default merges only.
     Output: (query_id, node_id, score, rank).
     """
-    # Each pass reads its input twice (kept rows and merge groups); the hit
-    # list is bounded (k per query), so it is cached between passes instead
-    # of re-running retrieval once per reference.
-    cur = materialize(with_parents(hits, nodes))
+    info = materialize(node_info(nodes))
+    # The hit list is bounded (k per query); it is materialised once so the
+    # retrieval behind it is not re-run by each reader.
+    cur = materialize(hits.select("query_id", "node_id", "score").join(info, "node_id"))
     for _ in range(depth - 1):
         if fill:
-            cur = with_parents(fill_gaps(rank_by_score(cur, ["query_id"]), nodes), nodes)
-        cur = merge_once(cur, nodes, threshold).persist(StorageLevel.MEMORY_AND_DISK)
-    return rank_by_score(cur.drop("parent_id"), ["query_id"])
+            cur = fill_gaps(rank_by_score(cur, ["query_id"]), nodes).select("query_id", "node_id", "score").join(info, "node_id")
+        cur = merge_once(cur, info, threshold)
+    return rank_by_score(cur.drop("parent_id", "pn"), ["query_id"])
 
 
 def fill_gaps(hits: DataFrame, nodes: DataFrame) -> DataFrame:

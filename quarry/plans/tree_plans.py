@@ -60,8 +60,9 @@ def automerge_ratio(spark: SparkSession, sf: str):
 
 def automerge_once(spark: SparkSession, sf: str):
     nodes = _tree(spark, sf)
-    hits = hierarchy.with_parents(_leaf_hits(spark, sf, nodes), nodes)
-    return round6(hierarchy.merge_once(hits, nodes), "score")
+    info = hierarchy.node_info(nodes)
+    hits = _leaf_hits(spark, sf, nodes).select("query_id", "node_id", "score").join(info, "node_id")
+    return round6(hierarchy.merge_once(hits, info).drop("pn"), "score")
 
 
 def automerge_full(spark: SparkSession, sf: str):
