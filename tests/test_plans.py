@@ -36,3 +36,14 @@ def test_dense_scoring_is_batched(spark):
     assert "MapInPandas" in p  # Arrow batches, one matrix product per batch
     assert "BroadcastNestedLoopJoin" not in p  # no all-pairs join
     assert not any(n in p for n in PY_NODES)
+
+
+def test_no_cross_joins_or_row_udfs_in_any_registered_query(spark):
+    import __spark_entry__ as entry
+
+    bad = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython")
+    for name, fn in entry.queries().items():
+        if name in ("stream_ingest", "collection_roundtrip"):  # run writes while planning
+            continue
+        p = plan(fn(spark, SF0001))
+        assert not [b for b in bad if b in p], name
