@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.operators import bm25
-from quarry.operators.topk import rank_by_score
+from quarry.operators.topk import fits, rank_by_score
+
+CATALOG_BROADCAST_MAX = 100_000
 
 
 def create_table(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str, name: str | None = None) -> DataFrame:
@@ -78,7 +80,9 @@ def schema_topk(questions: DataFrame, catalog: DataFrame, k: int = 2) -> DataFra
 def sql_context(tables: DataFrame, values: DataFrame, catalog: DataFrame) -> DataFrame:
     """Q4: per question the chosen tables' schema text plus matched values,
     as one sorted, newline-joined context string (bounded: k tables + k values)."""
-    t = tables.join(F.broadcast(catalog.select("table_name", "context_str")), "table_name").select(
+    cat = catalog.select("table_name", "context_str")
+    cat = F.broadcast(cat) if fits(cat, CATALOG_BROADCAST_MAX) else cat  # one row per table
+    t = tables.join(cat, "table_name").select(
         "query_id", F.col("context_str").alias("line")
     )
     v = values.join(tables.select("query_id", "table_name"), ["query_id", "table_name"]).select(
