@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
 from quarry.operators import bm25
 from quarry.operators.topk import fits, rank_by_score
@@ -51,7 +51,13 @@ def value_index(df: DataFrame, table_name: str, columns: Sequence[str]) -> DataF
 
     Output: (table_name, column_name, value, text = "col: val", node_id).
     """
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
+    def as_value(c: str):
+        # Python truthiness (P8): numeric zero is dropped like null and ""
+        if isinstance(df.schema[c].dataType, NumericType):
+            return F.when(F.col(c) != 0, F.col(c).cast("string")).alias(c)
+        return F.col(c).cast("string").alias(c)
+
+    long = df.select(*[as_value(c) for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
     )
     vals = long.filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()

@@ -48,3 +48,9 @@ def test_catalog_and_schema_retrieval(spark):
 def test_udf_registration(spark):
     spark.udf.register("add_ints", lambda a, b: a + b, "long")
     assert spark.sql("SELECT add_ints(2, 3) AS s").first()["s"] == 5
+
+
+def test_value_index_drops_falsy_values(spark):
+    df = spark.createDataFrame([("a", 0), ("", 2), (None, 2), ("0", None)], "s string, n int")
+    got = sorted((r["column_name"], r["value"]) for r in structured.value_index(df, "t", ["s", "n"]).collect())
+    assert got == [("n", "2"), ("s", "0"), ("s", "a")]
