@@ -126,7 +126,7 @@ def chunk_sentences(
     Sentences are packed while the chunk stays within ``size`` tokens; the
     next chunk starts with the trailing whole sentences of the previous one
     whose tokens sum to at most ``overlap``.  A sentence longer than ``size``
-    is first cut into ``size``-token pieces.  One ``aggregate`` fold per
+    is first cut into overlapping ``size``-token windows (T2a).  One ``aggregate`` fold per
     document row: no shuffle, no Python.
     Output: (node_id, doc_id, chunk_no, text, n_tokens).
     """
@@ -134,12 +134,14 @@ def chunk_sentences(
         F.transform(F.split(F.col(text_col), SENTENCE_SPLIT), lambda s: tokenize(s)),
         lambda t: F.size(t) > 0,
     )
+    # a sentence longer than ``size`` is cut by the fixed-window rule
+    stride = size - overlap
     pieces = F.flatten(
         F.transform(
             sents,
             lambda t: F.transform(
-                F.sequence(F.lit(0), F.ceil(F.size(t) / F.lit(size)).cast("int") - 1),
-                lambda i: F.slice(t, i * size + 1, F.lit(size)),
+                F.sequence(F.lit(0), n_windows(F.size(t), size, overlap) - 1),
+                lambda i: F.slice(t, i * stride + 1, F.lit(size)),
             ),
         )
     )
