@@ -80,3 +80,50 @@ def test_automerge_with_fill(spark):
     got = {r["node_id"]: r["score"] for r in hierarchy.automerge(h, nodes(spark), fill=True).collect()}
     assert set(got) == {"p1", "c"}
     assert got["p1"] == pytest.approx(0.75)
+
+
+def _py_pack(text, size, overlap):
+    """Plain-Python transcription of the packing rule (differential oracle)."""
+    import math
+    import re
+
+    stride = size - overlap
+    sents = [re.findall(r"\w+", s.lower()) for s in re.split(r"(?<=[.!?])\s+|\n+", text)]
+    pieces = []
+    for t in sents:
+        if not t:
+            continue
+        n = 1 + max(0, math.ceil((len(t) - size) / stride))
+        pieces += [t[i * stride:i * stride + size] for i in range(n)]
+    done, cur, lens = [], [], []
+    for p in pieces:
+        if len(cur) + len(p) <= size:
+            cur, lens = cur + p, lens + [len(p)]
+            continue
+        s = c = 0
+        for x in reversed(lens):
+            if s + x > overlap:
+                break
+            s, c = s + x, c + 1
+        if cur:
+            done.append(cur)
+        if s > 0 and s + len(p) <= size:
+            cur, lens = cur[len(cur) - s:] + p, lens[len(lens) - c:] + [len(p)]
+        else:
+            cur, lens = p, [len(p)]
+    if cur:
+        done.append(cur)
+    return [" ".join(c) for c in done]
+
+
+def test_chunk_sentences_matches_python_transcription(spark):
+    from conftest import SF0001
+
+    d = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text")
+    rows = d.collect()
+    got = {}
+    for r in chunking.chunk_sentences(d, 64, 12).collect():
+        got.setdefault(r["doc_id"], []).append((r["chunk_no"], r["text"]))
+    for r in rows:
+        exp = _py_pack(r["text"], 64, 12)
+        assert [t for _, t in sorted(got.get(r["doc_id"], []))] == exp, r["doc_id"]
