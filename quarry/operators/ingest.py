@@ -86,9 +86,15 @@ def upsert(
     delta = chunker(todo.select("doc_id", "text"))
     kept = chunks.join(todo.select("doc_id"), "doc_id", "left_anti").select(*chunks.columns)
     new_chunks = kept.unionByName(delta)
-    new_state = state.join(todo.select("doc_id"), "doc_id", "left_anti").select(*state.columns).unionByName(
-        todo.select("doc_id", "doc_hash", *[c for c in state.columns if c not in ("doc_id", "doc_hash")])
+    # new registry rows carry the incoming values of the state's columns
+    # (null where the input has no such column, e.g. no modification time)
+    fresh = todo.select(
+        *[
+            (F.col(f.name) if f.name in todo.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in state.schema.fields
+        ]
     )
+    new_state = state.join(todo.select("doc_id"), "doc_id", "left_anti").select(*state.columns).unionByName(fresh)
     return new_chunks, new_state, delta
 
 

@@ -50,3 +50,14 @@ def test_enrich_and_dedup(spark):
 def test_load_or_empty(spark, tmp_path):
     df = ingest.load_or_empty(spark, str(tmp_path / "missing"), ingest.DOC_STATE_SCHEMA)
     assert df.count() == 0 and df.schema == ingest.DOC_STATE_SCHEMA
+
+
+def test_upsert_keeps_state_columns(spark):
+    import datetime as dt
+
+    state = spark.createDataFrame([(1, "x", dt.datetime(2026, 1, 1))], "doc_id long, doc_hash string, modified_at timestamp")
+    chunks0 = ingest.chunker_256(spark.createDataFrame([(1, "old")], "doc_id long, text string"))
+    inc = spark.createDataFrame([(1, "new", dt.datetime(2026, 2, 1)), (2, "other", None)], "doc_id long, text string, modified_at timestamp")
+    _, new_state, _ = ingest.upsert(chunks0, state, inc, ingest.chunker_256)
+    got = {r["doc_id"]: r["modified_at"] for r in new_state.collect()}
+    assert got == {1: dt.datetime(2026, 2, 1), 2: None}
