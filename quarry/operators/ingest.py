@@ -16,6 +16,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 
 from quarry.functions.text import SOURCE_TAG, category, document_name, stable_doc_id
 from quarry.operators import chunking
+from quarry.operators.topk import top_k
 
 DOC_STATE_SCHEMA = StructType(
     [
@@ -81,7 +82,12 @@ def upsert(
     only the chunks of processed documents (empty for an unchanged input);
     indexes are built from the full table, never from the delta (S12).
     """
-    cls = classify(incoming, state)
+    # in-run de-duplication by id (I5): the newest row per document wins,
+    # equal times resolved by content hash so the choice is deterministic
+    order = [F.col("modified_at").desc_nulls_last()] if "modified_at" in incoming.columns else []
+    inc = incoming.withColumn("_h", F.sha2(F.col("text"), 256))
+    inc = top_k(inc, ["doc_id"], [*order, F.col("_h").desc()], 1, "_n").drop("_n", "_h")
+    cls = classify(inc, state)
     todo = cls.filter(F.col("status") != "unchanged")
     delta = chunker(todo.select("doc_id", "text"))
     kept = chunks.join(todo.select("doc_id"), "doc_id", "left_anti").select(*chunks.columns)
@@ -127,8 +133,6 @@ def cached_transform(
 
 def dedup_by_id(docs: DataFrame, order_col: str = "modified_at") -> DataFrame:
     """I5 (by id): the newest row per document id."""
-    from quarry.operators.topk import top_k
-
     return top_k(docs, ["doc_id"], [F.col(order_col).desc_nulls_last()], 1, "_n").drop("_n")
 
 

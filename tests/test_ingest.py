@@ -61,3 +61,14 @@ def test_upsert_keeps_state_columns(spark):
     _, new_state, _ = ingest.upsert(chunks0, state, inc, ingest.chunker_256)
     got = {r["doc_id"]: r["modified_at"] for r in new_state.collect()}
     assert got == {1: dt.datetime(2026, 2, 1), 2: None}
+
+
+def test_upsert_dedups_incoming_by_id(spark):
+    import datetime as dt
+
+    state = spark.createDataFrame([], "doc_id long, doc_hash string")
+    chunks0 = ingest.chunker_256(spark.createDataFrame([], "doc_id long, text string"))
+    inc = spark.createDataFrame([(1, "older", dt.datetime(2026, 1, 1)), (1, "newer", dt.datetime(2026, 1, 2))],
+                                "doc_id long, text string, modified_at timestamp")
+    chunks, _, _ = ingest.upsert(chunks0, state, inc, ingest.chunker_256)
+    assert [r["text"] for r in chunks.collect()] == ["newer"]
