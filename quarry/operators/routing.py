@@ -132,13 +132,13 @@ def run_routes(
     return out
 
 
-def pointer_hop1(queries: DataFrame, pointers: DataFrame) -> DataFrame:
+def first_hop(queries: DataFrame, pointers: DataFrame) -> DataFrame:
     """R2: best pointer per query (k = 1) -> (query_id, index_id, score)."""
     hits = dense.dense_topk(queries, pointers.withColumnRenamed("index_id", "node_id"), 1)
     return hits.select("query_id", F.col("node_id").alias("index_id"), "score")
 
 
-def pointer_hop2(queries: DataFrame, hop1: DataFrame, collections: DataFrame, k: int = 2,
+def second_hop(queries: DataFrame, hop1: DataFrame, collections: DataFrame, k: int = 2,
                  collection_col: str = "collection", exclude_self: bool = False) -> DataFrame:
     """Dereference the chosen pointer and search only that collection.
 

@@ -28,15 +28,15 @@ def _vec_queries(spark, sf):
     return vectors(spark, sf).select(F.col("node_id").alias("query_id"), "embedding")
 
 
-def pointer_hop1(spark: SparkSession, sf: str):
-    return round6(routing.pointer_hop1(_vec_queries(spark, sf), _pointers(spark, sf)), "score")
+def pointer_first_hop(spark: SparkSession, sf: str):
+    return round6(routing.first_hop(_vec_queries(spark, sf), _pointers(spark, sf)), "score")
 
 
-def pointer_hop2_topk(spark: SparkSession, sf: str):
+def pointer_second_hop_topk(spark: SparkSession, sf: str):
     q = _vec_queries(spark, sf)
-    hop1 = routing.pointer_hop1(q, _pointers(spark, sf))
+    hop1 = routing.first_hop(q, _pointers(spark, sf))
     coll = spread(vectors(spark, sf).withColumnRenamed("label", "collection"))
-    hits = routing.pointer_hop2(q, hop1, coll, k=2, exclude_self=True)
+    hits = routing.second_hop(q, hop1, coll, k=2, exclude_self=True)
     return as_bigint(round6(hits, "score"), "rank")
 
 
@@ -137,8 +137,8 @@ _RULE = "regexp_matches(b.text, '[A-Za-z]+-[0-9]+|[0-9]+')"
 _ENGINE = _route_sql(routing.ENGINE_TARGETS)
 
 ORACLE = {
-    "pointer_hop1": f"SELECT query_id, index_id, round(score, 6) AS score FROM ({_HOP1})",
-    "pointer_hop2_topk": _HOP2,
+    "pointer_first_hop": f"SELECT query_id, index_id, round(score, 6) AS score FROM ({_HOP1})",
+    "pointer_second_hop_topk": _HOP2,
     "route_keyword_vs_dense": f"""
 SELECT query_id, 'keyword' AS route, node_id, score, rank
 FROM ({bm25_sql(5, queries_sql=f"SELECT item_id AS query_id, text FROM benchmark b WHERE {_RULE}")})
@@ -154,8 +154,8 @@ FROM ({_text_dense_sql(2, f"b.item_id IN (SELECT query_id FROM ({_ENGINE}) WHERE
 }
 
 QUERIES = {
-    "pointer_hop1": pointer_hop1,
-    "pointer_hop2_topk": pointer_hop2_topk,
+    "pointer_first_hop": pointer_first_hop,
+    "pointer_second_hop_topk": pointer_second_hop_topk,
     "route_keyword_vs_dense": route_keyword_vs_dense,
     "route_by_description": route_by_description,
     "tool_lookup": tool_lookup,

@@ -25,4 +25,4 @@ def test_unknown_pointer_raises(spark):
     hop1 = spark.createDataFrame([(1, 99)], "query_id long, index_id long")
     coll = spark.createDataFrame([(5, [1.0, 0.0], 1)], "node_id long, embedding array<double>, collection long")
     with pytest.raises(KeyError):
-        routing.pointer_hop2(q, hop1, coll)
+        routing.second_hop(q, hop1, coll)
