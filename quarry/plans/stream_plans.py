@@ -38,7 +38,7 @@ def _drop_files(spark, sf, drop):
             "doc_id", ts(T_STALE).alias("modified_at"), F.concat("text", F.lit("\nstale")).alias("text")
         ),
     ]
-    for i, a in enumerate(arrivals):
+    for a in arrivals:
         # one file per arrival; the source picks files up in arrival order
         a.coalesce(1).write.mode("append").parquet(drop)
 
