@@ -118,9 +118,9 @@ levels AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed),
-final_level AS (SELECT min_by(level, cap / weight) AS lambda FROM levels WHERE cap > level * weight),
+final_level AS (SELECT min_by(level, cap / weight) AS final FROM levels WHERE cap > level * weight),
 targets AS (
-  SELECT source, source_size, CASE WHEN cap > level * weight THEN least(cap, (SELECT lambda FROM final_level) * weight) ELSE cap END AS target
+  SELECT source, source_size, CASE WHEN cap > level * weight THEN least(cap, (SELECT final FROM final_level) * weight) ELSE cap END AS target
   FROM levels),
 plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
