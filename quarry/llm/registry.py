@@ -10,6 +10,7 @@ import importlib
 
 MODULES = [
     "quarry.llm.mixing",
+    "quarry.llm.secrets",
 ]
 
 
