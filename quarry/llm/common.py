@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +43,31 @@ def words_of(text: str | None) -> list[bytes]:
 def in_chunks(rows: list, size: int) -> Iterator[list]:
     for i in range(0, len(rows), size):
         yield rows[i : i + size]
+
+
+_ARROW_TYPES = {"long": "int64", "int": "int32", "double": "float64", "string": "string", "binary": "binary", "boolean": "bool_"}
+
+
+def arrow_schema(ddl: str):
+    """pyarrow schema of 'name type, name type'; types as in ``_ARROW_TYPES`` or array<one of them>."""
+    import pyarrow as pa
+
+    def arrow_type(t: str):
+        return pa.list_(arrow_type(t[6:-1])) if t.startswith("array<") else getattr(pa, _ARROW_TYPES[t])()
+
+    return pa.schema([(name, arrow_type(t)) for name, t in (field.split() for field in ddl.split(", "))])
+
+
+def map_rows(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[list[tuple]]], ddl: str) -> DataFrame:
+    """``mapInArrow`` with plain Python values: ``fn`` gets the partition's batches as
+    {column: list} and yields lists of row tuples of the schema ``ddl``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = arrow_schema(ddl)
+        for rows in fn(b.to_pydict() for b in batches):
+            columns = zip(*rows) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return df.mapInArrow(run, ddl)

@@ -11,6 +11,7 @@ import importlib
 MODULES = [
     "quarry.llm.mixing",
     "quarry.llm.secrets",
+    "quarry.llm.lm_score",
 ]
 
 
