@@ -12,6 +12,7 @@ MODULES = [
     "quarry.llm.mixing",
     "quarry.llm.secrets",
     "quarry.llm.lm_score",
+    "quarry.llm.lang_id",
 ]
 
 
