@@ -43,7 +43,8 @@ def test_labels_of_held_out_rows_change_nothing(spark):
 def test_edge_rows(spark):
     docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text", "lang")
     model = lang_id.train(docs)
-    rows = [(1, None, "a"), (2, "", "a"), (3, "42 !!", "a"), (4, "the of and that", "a"), (4, "the of and that", "a"), (None, "der die das und " * 100_000, None)]
+    german = docs.where("lang = 'de' and length(text) > 500").first().text
+    rows = [(1, None, "a"), (2, "", "a"), (3, "42 !!", "a"), (4, "the of and that", "a"), (4, "the of and that", "a"), (None, german * 300, None)]
     out = lang_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model)
     assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
     got = out.collect()
