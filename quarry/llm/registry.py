@@ -13,6 +13,7 @@ MODULES = [
     "quarry.llm.secrets",
     "quarry.llm.lm_score",
     "quarry.llm.lang_id",
+    "quarry.llm.chat_format",
 ]
 
 
