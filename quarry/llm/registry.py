@@ -14,6 +14,7 @@ MODULES = [
     "quarry.llm.lm_score",
     "quarry.llm.lang_id",
     "quarry.llm.chat_format",
+    "quarry.llm.topk_search",
 ]
 
 
