@@ -15,6 +15,7 @@ MODULES = [
     "quarry.llm.lang_id",
     "quarry.llm.chat_format",
     "quarry.llm.topk_search",
+    "quarry.llm.decontaminate",
 ]
 
 
