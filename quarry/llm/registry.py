@@ -16,6 +16,7 @@ MODULES = [
     "quarry.llm.chat_format",
     "quarry.llm.topk_search",
     "quarry.llm.decontaminate",
+    "quarry.llm.licenses",
 ]
 
 
