@@ -148,6 +148,19 @@ def word_scores(words: DataFrame, scores: dict[str, float], n: int, v: int) -> D
     return map_rows(words, run, "word string, c long, base double, model double")
 
 
+def most_frequent(words: DataFrame, head: int) -> DataFrame:
+    """The words at or above the lowest count that at most ``head`` words reach; counts are told
+    apart to a sixteenth of a power of two, so only a short histogram comes to the driver."""
+    level = F.floor(F.log2(F.col("c")) * 16)
+    least, n = None, 0
+    for r in words.where("c > 0").groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        n += r.n
+        if n > head:
+            break
+        least = r.level
+    return words.where(F.col("c") > 0).where(level >= least) if least is not None else words.limit(0)
+
+
 def score(docs: DataFrame, tokenizer: str = TOKENIZER, folds: int = 5, fold: int = 1, head: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
@@ -163,7 +176,7 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, folds: int = 5, fold: int
     pieces, end = piece_scores(counted, model, n_train)
     words = stored(word_scores(counted, pieces, n, v), "lm-word-scores")
     base_end = math.log10((n_train + SMOOTHING) / (n + SMOOTHING * (v + 1)))
-    frequent = words.orderBy(F.desc("c"), "word").limit(head).collect()
+    frequent = most_frequent(words, head).collect()
     table = spark.sparkContext.broadcast({r.word.encode(): (r.c > 0, r.base, r.model) for r in frequent})  # ``head`` rows
 
     def add_up(batches: Iterator[dict]) -> Iterator[list]:
