@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import work_path
@@ -71,3 +73,25 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[l
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return df.mapInArrow(run, ddl)
+
+
+def text_key(data: bytes) -> int:
+    """With the id, names a text: rows of one id and different texts stay apart."""
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, packed): compressed texts."""
+
+    def run(batches: Iterator[dict]) -> Iterator[list]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            data = [(t or "").encode() for t in b["text"]]
+            yield [(i, text_key(d), packer.compress(d)) for i, d in zip(b["doc_id"], data)]
+
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, text_key long, packed binary")
+
+
+def same_text(other: str) -> Column:
+    """Join condition between (doc_id, text_key) and ({other}_id, {other}_key)."""
+    return F.col("doc_id").eqNullSafe(F.col(f"{other}_id")) & (F.col("text_key") == F.col(f"{other}_key"))

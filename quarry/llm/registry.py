@@ -17,6 +17,7 @@ MODULES = [
     "quarry.llm.topk_search",
     "quarry.llm.decontaminate",
     "quarry.llm.licenses",
+    "quarry.llm.suffix_dedup",
 ]
 
 
