@@ -18,6 +18,7 @@ MODULES = [
     "quarry.llm.decontaminate",
     "quarry.llm.licenses",
     "quarry.llm.suffix_dedup",
+    "quarry.llm.ngram_join",
 ]
 
 
