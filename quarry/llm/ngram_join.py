@@ -40,12 +40,13 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, map_rows, packed, same_text, stored, text_key, words_of
+from quarry.llm.common import WORD, documents, map_rows, packed, same_text, stored, text_key, words_of
 from quarry.llm.components import components
 
 SKETCH_BITS = 18
@@ -227,7 +228,8 @@ def open_pairs(lists: DataFrame, compared: DataFrame, groups: DataFrame, least:
 
 
 def join(docs: DataFrame, n: int = 4, least: int = 85) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id) per row of ``docs``."""
+    """(doc_id, text_key, n_shingles, component_id, component) per row of ``docs``; ``component``
+    numbers the components in this run and is null for empty sets."""
     rows = stored(read_sets(docs, n, least), "ngram-sets")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("one")
     by_set = rows.where("n > 0").groupBy("set_key").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -251,12 +253,32 @@ def join(docs: DataFrame, n: int = 4, least: int = 85) -> DataFrame:
 
     named = classes.select("node", "set_key", F.col("one.doc_id").alias("smallest")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    answers = named.join(least_id, "component").select("set_key", "component_id")
+    answers = named.join(least_id, "component").select("set_key", "component_id", "component")
     return rows.select("doc_id", "text_key", "set_key", F.col("n").alias("n_shingles")).join(answers, "set_key", "left").select(
-        "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component"
     )
 
 
+def one_of_each(docs: DataFrame, n: int = 4, least: int = 85) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id's, then the smallest text key's.
+    Rows with empty sets all stay."""
+    found = join(docs, n, least)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("one")
+    kept = found.where("component is not null").groupBy("component").agg(first).select("one.doc_id", "one.text_key")
+    alone = found.where("component is null").select("doc_id", "text_key").distinct()
+    names = kept.unionByName(alone).select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"))
+
+    @F.pandas_udf("long")
+    def key_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_key((t if isinstance(t, str) else "").encode()) for t in texts], dtype="int64")
+
+    named = docs.withColumn("text_key", key_of("text"))
+    met = named.join(names, same_text("k"), "left_semi")
+    same = Window.partitionBy("doc_id", "text_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    return met.withColumn("_again", F.row_number().over(same)).where((F.col("_again") == 1) | empty).select(*docs.columns)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir, "text")).select("doc_id", "n_shingles", "component_id")
 
