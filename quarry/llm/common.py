@@ -8,6 +8,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.session import work_path
 from quarry.sources.tables import table
@@ -51,11 +52,15 @@ _ARROW_TYPES = {"long": "int64", "int": "int32", "double": "float64", "string":
 
 
 def arrow_schema(ddl: str):
-    """pyarrow schema of 'name type, name type'; types as in ``_ARROW_TYPES`` or array<one of them>."""
+    """pyarrow schema of 'name type, name type'; types as in ``_ARROW_TYPES``, arrays and flat structs of them."""
     import pyarrow as pa
 
     def arrow_type(t: str):
-        return pa.list_(arrow_type(t[6:-1])) if t.startswith("array<") else getattr(pa, _ARROW_TYPES[t])()
+        if t.startswith("array<"):
+            return pa.list_(arrow_type(t[6:-1]))
+        if t.startswith("struct<"):
+            return pa.struct([(name, arrow_type(kind)) for name, kind in (f.split(":") for f in t[7:-1].split(","))])
+        return getattr(pa, _ARROW_TYPES[t])()
 
     return pa.schema([(name, arrow_type(t)) for name, t in (field.split() for field in ddl.split(", "))])
 
@@ -75,6 +80,30 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[l
     return df.mapInArrow(run, ddl)
 
 
+def add_columns(df: DataFrame, source: str, start: Callable[[], Callable[[list], list[tuple]]], ddl: str) -> DataFrame:
+    """``df`` with the columns of ``ddl`` added (or replaced), computed from column ``source``.
+
+    ``start()`` runs once per task and gives a function from a batch's values to one
+    tuple per row.  The other columns pass through as Arrow data.
+    """
+    names = [field.split()[0] for field in ddl.split(", ")]
+    df = df.select(*[c for c in df.columns if c not in names or c == source])
+    at, kept = df.columns.index(source), [i for i, c in enumerate(df.columns) if c not in names]
+    schema = StructType([df.schema.fields[i] for i in kept] + StructType.fromDDL(ddl).fields)
+
+    def run(batches):
+        import pyarrow as pa
+
+        answer, added = start(), arrow_schema(ddl)
+        for b in batches:
+            rows = answer(b.column(at).to_pylist())
+            columns = zip(*rows) if rows else [()] * len(added)
+            new = [pa.array(c, f.type) for c, f in zip(columns, added)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *new], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def text_key(data: bytes) -> int:
     """With the id, names a text: rows of one id and different texts stay apart."""
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)

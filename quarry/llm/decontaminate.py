@@ -33,12 +33,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, map_rows, stored
+from quarry.llm.common import add_columns, documents, map_rows, stored
 from quarry.sources.tables import table
 
 MASKS = ("1110111", "11011011", "1111011", "110101011")
@@ -50,7 +49,7 @@ BLOCK_TOKENS = 250_000
 #: Tokens of texts hashed at once, and hits verified at once.
 BATCH_TOKENS, BATCH_HITS = 1 << 20, 1 << 18
 FILTER_BITS = 22
-LEAKS = "array<struct<item_id:bigint,start:int,length:int,matched:int,passage_tokens:int>>"
+LEAKS = "array<struct<item_id:long,start:int,length:int,matched:int,passage_tokens:int>>"
 
 _OTHER = bytes(c for c in range(128) if not chr(c).isalnum())
 _BLANKED = bytes.maketrans(_OTHER, b" " * len(_OTHER))
@@ -197,24 +196,21 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_
     """``docs`` with an array column ``leaks``: one entry per benchmark item found in the text."""
     parts = stored(passages(benchmark), "benchmark-passages")
     blocks = -(-(parts.agg(F.sum(F.size("numbers"))).first()[0] or 0) // block_tokens)
-    found = [F.array().cast(LEAKS)]
+    docs = docs.withColumn("leaks", F.array().cast(LEAKS))
     for i in range(blocks):
         rows = parts.where(F.pmod(F.xxhash64("numbers"), F.lit(blocks)) == i).collect()  # at most about block_tokens numbers
         sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, np.array(r.numbers, np.int64).view(np.uint64)) for r in rows])
-        found.append(leak_finder(sent)(F.col(text)))
-    return docs.withColumn("leaks", F.concat(*found))
+        docs = add_columns(docs, text, finder(sent), f"_found {LEAKS}").withColumn("leaks", F.concat("leaks", "_found")).drop("_found")
+    return docs
 
 
-def leak_finder(sent):
-    @F.pandas_udf(LEAKS)
-    def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def finder(sent):
+    def start():
         seeds, numbers_of = Seeds(sent.value), TokenNumbers()
         names = ("item_id", "start", "length", "matched", "passage_tokens")
-        for s in texts:
-            rows = find_leaks([t if isinstance(t, str) else None for t in s], seeds, numbers_of)
-            yield pd.Series([[dict(zip(names, r)) for r in leak] for leak in rows], dtype=object)
+        return lambda texts: [([dict(zip(names, r)) for r in leaks],) for leaks in find_leaks(texts, seeds, numbers_of)]
 
-    return leaks
+    return start
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, documents, map_rows
+from quarry.llm.common import add_columns, crc_mod, documents, map_rows
 
 BITS = 15
 SLOTS = 1 << BITS
@@ -218,12 +218,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` added."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # slots * labels numbers
 
-    @F.pandas_udf("lang_pred string, score double")
-    def apply(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in texts:
-            yield pd.DataFrame([sent.value.predict(t if isinstance(t, str) else None) for t in s], columns=["lang_pred", "score"])
+    def start():
+        model = sent.value
+        return lambda texts: [model.predict(t) for t in texts]
 
-    return docs.withColumn("_p", apply(F.col(text))).withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    return add_columns(docs, text, start, "lang_pred string, score double")
 
 
 def held_out(id_column: str = "doc_id") -> Column:

@@ -22,14 +22,11 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, documents, stored
+from quarry.llm.common import WORD, add_columns, documents, stored
 
 # Short public notices by SPDX identifier.
 TEMPLATES = {
@@ -103,20 +100,18 @@ def detect(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least_
     names = [r.name for r in rows]
     sent = spark.sparkContext.broadcast((names, np.stack([unit(r.bag, idf) for r in rows]), idf))  # templates * SLOTS numbers
 
-    @F.pandas_udf("license string, score double")
-    def best(bags: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in bags:
-            yield pd.DataFrame([best_template(*sent.value, b) for b in s], columns=["license", "score"])
+    def start():
+        return lambda rows: [best_template(*sent.value, bags) for bags in rows]
 
-    hit = F.col("_best.score") >= least_score
+    hit = F.col("_score") >= least_score
     basename = F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/]*)$", 1)
     mostly = 2 * F.aggregate("notice_words", F.lit(0), lambda a, x: a + x) >= F.col("words")
     return (
-        files.withColumn("_best", F.when(F.size("notices") > 0, best("notices")))
-        .withColumn("license", F.when(hit, F.col("_best.license")))
-        .withColumn("score", F.when(hit, F.col("_best.score")).otherwise(F.lit(0.0)))
+        add_columns(files, "notices", start, "_license string, _score double")
+        .withColumn("license", F.when(hit, F.col("_license")))
+        .withColumn("score", F.when(hit, F.col("_score")).otherwise(F.lit(0.0)))
         .withColumn("is_license_file", F.col("license").isNotNull() & (basename.rlike(LICENCE_FILE) | mostly))
-        .drop("_best")
+        .drop("_license", "_score")
     )
 
 

@@ -40,13 +40,12 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, documents, map_rows, packed, same_text, stored, text_key, words_of
+from quarry.llm.common import WORD, add_columns, documents, map_rows, packed, same_text, stored, text_key, words_of
 from quarry.llm.components import components
 
 SKETCH_BITS = 18
@@ -268,12 +267,10 @@ def one_of_each(docs: DataFrame, n: int = 4, least: int = 85) -> DataFrame:
     alone = found.where("component is null").select("doc_id", "text_key").distinct()
     names = kept.unionByName(alone).select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"))
 
-    @F.pandas_udf("long")
-    def key_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_key((t if isinstance(t, str) else "").encode()) for t in texts], dtype="int64")
+    def start():
+        return lambda texts: [(text_key((t or "").encode()),) for t in texts]
 
-    named = docs.withColumn("text_key", key_of("text"))
-    met = named.join(names, same_text("k"), "left_semi")
+    met = add_columns(docs, "text", start, "text_key long").join(names, same_text("k"), "left_semi")
     same = Window.partitionBy("doc_id", "text_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
     empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
     return met.withColumn("_again", F.row_number().over(same)).where((F.col("_again") == 1) | empty).select(*docs.columns)
