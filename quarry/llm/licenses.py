@@ -132,7 +132,8 @@ def inherit(found: DataFrame) -> DataFrame:
     first = F.min(F.struct(-F.round("score", 9), F.col("path"), F.col("license")))
     by_dir = found.where("is_license_file").groupBy(F.col("_dir").alias("dir")).agg(first.alias("f")).select("dir", F.col("f.license").alias("from_license"))
     folders = found.select("_dir").distinct().select("_dir", F.explode(ancestors(F.col("_dir"))).alias("a")).select("_dir", "a.depth", "a.dir")
-    nearest = folders.join(by_dir, "dir").groupBy("_dir").agg(F.max_by(F.struct("dir", "from_license"), "depth").alias("near"))
+    # stored, so that both sides of the join are plain exchanges and Spark can split a directory of many files
+    nearest = stored(folders.join(by_dir, "dir").groupBy("_dir").agg(F.max_by(F.struct("dir", "from_license"), "depth").alias("near")), "licence-nearest")
     own = F.col("license").isNotNull()
     return (
         found.join(nearest, "_dir", "left")
