@@ -12,8 +12,8 @@ Skew: a cell may hold a large share of the corpus, or be probed by a large
 share of the queries.  Each cell's vectors are cut into
 ``ceil(size / slice_rows)`` slices by a hash of the node id and its probing
 queries likewise (the slice counts are one row per cell); every (corpus
-slice, query slice) pair of a cell is one group, so no group holds more than
-``slice_rows`` rows of either side.
+slice, query slice) pair of a cell is one group of about ``slice_rows`` rows of
+either side.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.dense import CAND_SCHEMA, _candidates, _matrix
+from quarry.operators.dense import _matrix, id_type, score_batch
 from quarry.operators.topk import rank_by_score
 
 SLICE_ROWS = 50_000
@@ -46,25 +46,25 @@ def train_cells(corpus: DataFrame, n_cells: int = 16, seed: int = 42, vec: str =
 
 
 def _nearest_cells(df: DataFrame, id_col: str, vec: str, cells: DataFrame, n: int) -> DataFrame:
-    """(id, cell) for the ``n`` nearest cells (cosine) of every row; cells are broadcast (n_cells rows)."""
+    """(id, vec, cell): every row with each of its ``n`` nearest cells (cosine), the vector
+    carried along; cells are broadcast (``n_cells`` rows, a parameter)."""
     cent = cells.toPandas()
-    C = _matrix(cent["centroid"])
-    cell_ids = cent["cell"].to_numpy(np.int64)
-    bc = df.sparkSession.sparkContext.broadcast((cell_ids, C))
+    sent = df.sparkSession.sparkContext.broadcast((cent["cell"].to_numpy(np.int64), _matrix(cent["centroid"])))
 
     def assign(batches):
-        ids_, M = bc.value
+        ids, M = sent.value
         for b in batches:
-            V = _matrix(b[vec])
-            if len(V) == 0:
+            if not len(b):
                 continue
-            S = V @ M.T
+            S = _matrix(b["vec"]) @ M.T
             S[np.isnan(S)] = -np.inf
             k = min(n, S.shape[1])
             idx = np.argsort(-S, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(np.int64), k), "cell": ids_[idx].ravel()})
+            at = np.repeat(np.arange(len(b)), k)
+            yield pd.DataFrame({"id": b["id"].to_numpy(object)[at], "vec": b["vec"].to_numpy(object)[at], "cell": ids[idx].ravel()})
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec)).mapInPandas(assign, "id long, cell long")
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec")).filter(F.col("vec").isNotNull())
+    return rows.mapInPandas(assign, f"id {id_type(rows, 'id')}, vec {id_type(rows, 'vec')}, cell long")
 
 
 def ivf_topk(
@@ -81,45 +81,39 @@ def ivf_topk(
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Approximate cosine top-k -> (query_id, node_id, score, rank); scores are exact."""
-    c = corpus.select(F.col(node_id).cast("long").alias("node_id"), F.col(vec).alias("nv"))
-    assigned = _nearest_cells(c.withColumnRenamed("nv", vec), "node_id", vec, cells, 1).withColumnRenamed("id", "node_id")
-    c = c.join(assigned, "node_id")
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("qv"))
-    probes = _nearest_cells(q.withColumnRenamed("qv", vec), "query_id", vec, cells, nprobe).withColumnRenamed("id", "query_id")
-    # Slice counts per cell for both sides (one row per cell, broadcast).  A
-    # group (cell, corpus slice, query slice) holds at most ``slice_rows``
-    # rows of each side, however skewed the cells are.
+    c = _nearest_cells(corpus, node_id, vec, cells, 1).select(F.col("id").alias("node_id"), F.col("vec").alias("nv"), "cell")
+    q = _nearest_cells(queries, query_id, vec, cells, nprobe).select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), "cell")
+    # Slice counts per cell for both sides (one row per cell).  A group (cell,
+    # corpus slice, query slice) holds about ``slice_rows`` rows of each side,
+    # however skewed the cells are.
     csz = c.groupBy("cell").agg(F.count(F.lit(1)).alias("nc"))
-    qsz = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
+    qsz = q.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
     sizes = csz.join(qsz, "cell", "left").select(
         "cell",
         F.greatest(F.lit(1), F.ceil(F.col("nc") / F.lit(slice_rows))).cast("int").alias("ncs"),
         F.greatest(F.lit(1), F.ceil(F.coalesce("nq", F.lit(0)) / F.lit(slice_rows))).cast("int").alias("nqs"),
     )
-    sizes = F.broadcast(sizes)
     cx = (
         c.join(sizes, "cell")
         .withColumn("cslice", F.pmod(F.xxhash64("node_id"), F.col("ncs")).cast("int"))
         .withColumn("qslice", F.explode(F.sequence(F.lit(0), F.col("nqs") - 1)))
     )
     qx = (
-        q.join(probes, "query_id")
-        .join(sizes, "cell")
+        q.join(sizes, "cell")
         .withColumn("qslice", F.pmod(F.xxhash64("query_id"), F.col("nqs")).cast("int"))
         .withColumn("cslice", F.explode(F.sequence(F.lit(0), F.col("ncs") - 1)))
     )
 
     def score(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        return _candidates(
-            qpdf["query_id"].to_numpy(np.int64), None, _matrix(qpdf["qv"]),
-            cpdf["node_id"].to_numpy(np.int64), None, _matrix(cpdf["nv"]), k, exclude_self,
-        )
+        ids = qpdf["query_id"].to_numpy(object)
+        top = score_batch(ids, _matrix(qpdf["qv"]), np.arange(len(ids)), cpdf["node_id"].to_numpy(object), _matrix(cpdf["nv"]), k, exclude_self)
+        return pd.DataFrame({"query_id": ids[top["q"].to_numpy(np.int64)], "node_id": top["node_id"].to_numpy(object), "score": top["score"].to_numpy(float)})
 
     keys = ["cell", "cslice", "qslice"]
     cands = (
         qx.select(*keys, "query_id", "qv").groupBy(*keys)
         .cogroup(cx.select(*keys, "node_id", "nv").groupBy(*keys))
-        .applyInPandas(score, CAND_SCHEMA)
+        .applyInPandas(score, f"query_id {id_type(q, 'query_id')}, node_id {id_type(c, 'node_id')}, score double")
     )
     return rank_by_score(cands, ["query_id"], k)
 

@@ -76,7 +76,9 @@ def chunk_tree(
     Node at level L (0 = root) with sequence number s covers tokens
     [s * size_L, (s + 1) * size_L).  Its parent at level L-1 has sequence
     s * size_L div size_{L-1}.  Ids spell the path: "<doc>/<root>/<mid>/<leaf>".
-    Output: (node_id, parent_id, doc_id, level, seq, text, n_tokens).
+    Whether a node is a leaf, and how many children its parent has, are known
+    when it is cut and come with it, so no later join has to find out.
+    Output: (node_id, parent_id, doc_id, level, seq, text, n_tokens, is_leaf, siblings).
     """
     sizes = list(sizes)
     toks = docs.select(F.col(id_col).alias("doc_id"), tokenize(text_col).alias("_t")).withColumn("_n", F.size("_t"))
@@ -87,6 +89,12 @@ def chunk_tree(
             parts.append(F.floor(s * F.lit(sizes[lvl]) / F.lit(sizes[j])).cast("string"))
         return F.concat_ws("/", *parts)
 
+    def siblings(s: Column, lvl: int) -> Column:
+        """Children of the parent: the cuts of what its span holds."""
+        parent = F.floor(s * F.lit(sizes[lvl]) / F.lit(sizes[lvl - 1]))
+        held = F.least(F.lit(sizes[lvl - 1]), F.col("_n") - parent * F.lit(sizes[lvl - 1]))
+        return F.ceil(held / F.lit(sizes[lvl])).cast("bigint")
+
     def level_nodes(lvl: int, size: int):
         def make(s: Column) -> Column:
             return F.struct(
@@ -95,6 +103,7 @@ def chunk_tree(
                 F.lit(lvl).alias("level"),
                 s.alias("seq"),
                 F.array_join(F.slice(F.col("_t"), s * size + 1, F.lit(size)), " ").alias("text"),
+                (siblings(s, lvl) if lvl > 0 else F.lit(None).cast("bigint")).alias("siblings"),
             )
 
         return F.transform(F.sequence(F.lit(0), F.ceil(F.col("_n") / F.lit(size)).cast("int") - 1), make)
@@ -104,9 +113,14 @@ def chunk_tree(
     out = (
         toks.select("doc_id", F.explode_outer(F.when(F.col("_n") > 0, F.concat(*per_level))).alias("n"))
         .filter(F.col("n").isNotNull())
-        .select("n.node_id", "n.parent_id", "doc_id", "n.level", "n.seq", "n.text")
+        .select("n.node_id", "n.parent_id", "doc_id", "n.level", "n.seq", "n.text", "n.siblings")
+    )
+    return out.select(
+        "node_id", "parent_id", "doc_id", "level", "seq", "text",
+        F.size(F.split("text", " ")).alias("n_tokens"),
+        (F.col("level") == len(sizes) - 1).alias("is_leaf"),
+        "siblings",
     )
-    return out.withColumn("n_tokens", F.size(F.split("text", " ")))
 
 
 # Sentence end: after . ! ? followed by whitespace, or at a line break.
@@ -191,7 +205,10 @@ def chunk_sentences(
 
 
 def leaf_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes that are nobody's parent (left anti join on parent_id)."""
+    """Nodes that are nobody's parent: by the ``is_leaf`` of the cut, else (tables
+    without it) by a left anti join on parent_id."""
+    if "is_leaf" in nodes.columns:
+        return nodes.filter("is_leaf")
     parents = nodes.select(F.col("parent_id").alias("node_id")).filter(F.col("node_id").isNotNull())
     return nodes.join(parents, "node_id", "left_anti")
 

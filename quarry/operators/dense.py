@@ -1,17 +1,14 @@
 """Dense retrieval: cosine similarity and exact top-k nearest nodes (V2, V3, V5).
 
-Exact top-k never materialises (query, node) pairs as rows.  Scores are
-computed block-wise with one numpy matrix product per Arrow batch inside the
-task; each task emits only its k best candidates (plus exact ties) per query,
-then a per-query ``row_number <= k`` (partial ``WindowGroupLimit`` before the
-exchange) picks the final list.
-
-* Query side within the broadcast bound (rows x dim x 8 bytes): the query
-  matrix is broadcast once and every corpus partition is scored where it
-  lies -- the corpus is never shuffled.
-* Beyond the bound: queries and corpus are cut into blocks, each corpus block
-  meets each query block in one ``cogroup`` group (block-matrix product);
-  every group holds at most ``block_rows`` rows of each side.
+Exact top-k never materialises (query, node) pairs as rows, and the corpus is
+never shuffled.  The queries go to the corpus in slices of a fixed number of
+bytes, by hash of their id; every task scores its vectors against the slice in
+numpy products and carries a running top k over its batches, so it emits k rows
+per query.  A per-query ``row_number <= k`` (partial ``WindowGroupLimit`` before
+the exchange) picks the final list.  One strategy serves all sizes: more queries
+mean more slices.
+
+Ids keep their types: long ids, chunk ids (``"12/3"``) and names all work.
 
 Exact all-pairs cost is O(|Q| * |C| * d) by definition; for unbounded query
 sets use the IVF operator in ``quarry.operators.ann``.
@@ -19,7 +16,7 @@ sets use the IVF operator in ``quarry.operators.ann``.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,12 +25,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators.topk import rank_by_score
 
-# Query matrices up to this many bytes (float64) are broadcast.
-BROADCAST_MAX_BYTES = 256 * 1024 * 1024
-# Rows per side and group in the blocked (cogroup) strategy.
-BLOCK_ROWS = 8192
-
-CAND_SCHEMA = "query_id long, node_id long, score double"
+# Bytes of query vectors (float64) that one slice brings to every task.
+SLICE_BYTES = 64 * 1024 * 1024
 # Upper bound on score-matrix cells held at once inside a task.
 MAX_CELLS = 4_000_000
 
@@ -68,30 +61,33 @@ def _matrix(series: pd.Series) -> np.ndarray:
         return np.where(n > 0, m / n, np.nan)
 
 
-def _candidates(qids, qkeys, Q, nids, nkeys, C, k, exclude_self):
-    """Best-k columns per row of Q @ C.T, keeping every exact tie at the k-th score."""
-    if len(qids) == 0 or len(nids) == 0:
-        return pd.DataFrame({"query_id": [], "node_id": [], "score": []}).astype(
-            {"query_id": "int64", "node_id": "int64", "score": "float64"}
-        )
-    # Score the query rows in slices so one score matrix stays near
-    # MAX_CELLS doubles whatever the batch and query-set sizes.
+def id_type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def best_rows(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows per query: score rounded to 9 decimals descending, then the smaller node."""
+    if found.empty:
+        return found
+    order = found.assign(_r=-found["score"].round(9)).sort_values(["q", "_r", "node_id"], kind="stable")
+    return order[order.groupby("q").cumcount() < k].drop(columns="_r")
+
+
+def score_batch(qids: np.ndarray, Q: np.ndarray, rows: np.ndarray, nids: np.ndarray, C: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """(q, node_id, score): at least the k best columns per query row of ``Q[rows] @ C.T``, ties included."""
+    out = [pd.DataFrame({"q": np.empty(0, np.int64), "node_id": nids[:0], "score": np.empty(0)})]
     step = max(1, MAX_CELLS // max(1, len(nids)))
-    out = []
-    for lo in range(0, len(qids), step):
-        hi = min(len(qids), lo + step)
-        S = Q[lo:hi] @ C.T
+    for lo in range(0, len(rows) if len(nids) else 0, step):
+        part = rows[lo : lo + step]
+        S = Q[part] @ C.T
         S[np.isnan(S)] = -np.inf
         if exclude_self:
-            S[qids[lo:hi, None] == nids[None, :]] = -np.inf
-        if qkeys is not None:
-            S[qkeys[lo:hi, None] != nkeys[None, :]] = -np.inf
+            S[qids[part][:, None] == nids[None, :]] = -np.inf
         kk = min(k, S.shape[1])
         kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
-        # margin covers scores that tie once rounded to 9 decimals
-        mask = (S >= (kth - 2e-9)[:, None]) & np.isfinite(S)
-        r, c = np.nonzero(mask)
-        out.append(pd.DataFrame({"query_id": qids[lo:hi][r], "node_id": nids[c], "score": S[r, c]}))
+        # the margin covers scores that tie once rounded to 9 decimals
+        r, c = np.nonzero((S >= (kth - 2e-9)[:, None]) & np.isfinite(S))
+        out.append(best_rows(pd.DataFrame({"q": part[r], "node_id": nids[c], "score": S[r, c]}), k))
     return pd.concat(out, ignore_index=True)
 
 
@@ -106,81 +102,51 @@ def dense_topk(
     node_vec: str = "embedding",
     exclude_self: bool = False,
     match: tuple[str, str] | None = None,
-    broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """V3: exact cosine top-k nodes per query -> (query_id, node_id, score, rank).
 
     ``exclude_self`` drops node == query (vector self-search); ``match``
     = (query column, node column) restricts each query to nodes whose column
-    equals its own (search inside the collection chosen per query, R3).
+    equals its own (search inside the collection chosen per query, R3): a task
+    scores the vectors of each collection against that collection's queries only.
+    Null and zero vectors are never hits; exactly k rows per query and task leave a task.
     """
-    qcols = [F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("qv")]
-    ncols = [F.col(node_id).cast("long").alias("node_id"), F.col(node_vec).alias("nv")]
-    if match:
-        qcols.append(F.col(match[0]).cast("string").alias("qkey"))
-        ncols.append(F.col(match[1]).cast("string").alias("nkey"))
-    q = queries.select(*qcols).filter(F.col("qv").isNotNull())
-    c = corpus.select(*ncols).filter(F.col("nv").isNotNull())
-    spark = queries.sparkSession
-
-    dim_row = q.select(F.max(F.size("qv")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    nq, dim = int(dim_row["n"] or 0), int(dim_row["d"] or 0)
-    if nq * max(dim, 1) * 8 <= broadcast_max_bytes:
-        cands = _broadcast_scores(spark, q, c, k, exclude_self, bool(match))
-    else:
-        cands = _blocked_scores(q, c, nq, k, exclude_self, bool(match), block_rows)
-    return rank_by_score(cands, ["query_id"], k)
-
-
-def _broadcast_scores(spark, q, c, k, exclude_self, has_key):
-    # The query side passed the byte bound checked by the caller.
+    qkey = F.col(match[0]).cast("string") if match else F.lit("")
+    nkey = F.col(match[1]).cast("string") if match else F.lit("")
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv"), qkey.alias("qkey")).filter(F.col("qv").isNotNull())
+    c = corpus.select(F.col(node_id).alias("node_id"), F.col(node_vec).alias("nv"), nkey.alias("nkey")).filter(F.col("nv").isNotNull())
+    volume = q.agg(F.sum(F.size("qv").cast("long") * 8 + 32)).first()[0] or 0
+    slices = max(1, -(-volume // slice_bytes))
+    found = None
+    for i in range(slices):
+        part = q if slices == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
+        hits = _score_slice(part, c, k, exclude_self)
+        found = hits if found is None else found.unionByName(hits)
+    return rank_by_score(found, ["query_id"], k)
+
+
+def _score_slice(q: DataFrame, c: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """k rows per task and query of one slice of queries (bounded by its byte size)."""
     pdf = q.toPandas()
-    payload = {
-        "ids": pdf["query_id"].to_numpy(np.int64),
-        "keys": pdf["qkey"].to_numpy(object) if has_key else None,
-        "Q": _matrix(pdf["qv"]),
-    }
-    bq = spark.sparkContext.broadcast(payload)
-
-    def score_partition(batches):
-        p = bq.value
-        for b in batches:
-            C = _matrix(b["nv"])
-            nk = b["nkey"].to_numpy(object) if has_key else None
-            yield _candidates(p["ids"], p["keys"], p["Q"], b["node_id"].to_numpy(np.int64), nk, C, k, exclude_self)
+    sent = q.sparkSession.sparkContext.broadcast((pdf["query_id"].to_numpy(object), pdf["qkey"].to_numpy(object), _matrix(pdf["qv"])))
 
-    return c.mapInPandas(score_partition, CAND_SCHEMA)
-
-
-def _blocked_scores(q, c, nq, k, exclude_self, has_key, block_rows):
-    nc = c.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    cb = max(1, math.ceil(nc / block_rows))
-    qx = q.withColumn("qblk", F.pmod(F.xxhash64("query_id"), F.lit(qb))).withColumn(
-        "cblk", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))
-    )
-    cx = c.withColumn("cblk", F.pmod(F.xxhash64("node_id"), F.lit(cb))).withColumn(
-        "qblk", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))
-    )
-
-    def score_block(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        return _candidates(
-            qpdf["query_id"].to_numpy(np.int64),
-            qpdf["qkey"].to_numpy(object) if has_key else None,
-            _matrix(qpdf["qv"]),
-            cpdf["node_id"].to_numpy(np.int64),
-            cpdf["nkey"].to_numpy(object) if has_key else None,
-            _matrix(cpdf["nv"]),
-            k,
-            exclude_self,
-        )
-
-    return (
-        qx.groupBy("qblk", "cblk")
-        .cogroup(cx.groupBy("qblk", "cblk"))
-        .applyInPandas(score_block, CAND_SCHEMA)
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, keys, Q = sent.value
+        rows_of = pd.Series(np.arange(len(ids))).groupby(pd.Series(keys, dtype=object)).indices if len(ids) else {}
+        top = None
+        for b in batches:
+            parts = [] if top is None else [top]
+            for key, at in b.groupby("nkey").indices.items():
+                if key in rows_of:
+                    nids = b["node_id"].to_numpy(object)[at]
+                    parts.append(score_batch(ids, Q, np.asarray(rows_of[key]), nids, _matrix(b["nv"].iloc[at]), k, exclude_self))
+            if parts:
+                top = best_rows(pd.concat(parts, ignore_index=True), k)
+        if top is not None and len(top):
+            yield pd.DataFrame({"query_id": ids[top["q"].to_numpy(np.int64)], "node_id": top["node_id"].to_numpy(object), "score": top["score"].to_numpy(float)})
+
+    return c.mapInPandas(run, f"query_id {id_type(q, 'query_id')}, node_id {id_type(c, 'node_id')}, score double")
 
 
 def centroids(vectors: DataFrame, key: str, vec: str = "embedding", out: str = "embedding") -> DataFrame:

@@ -40,6 +40,8 @@ def merge_ratio(hits: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def node_info(nodes: DataFrame) -> DataFrame:
     """(node_id, parent_id, pn): every node with its parent's total child count."""
+    if "siblings" in nodes.columns:  # known since the cut
+        return nodes.select("node_id", "parent_id", F.col("siblings").alias("pn"))
     cc = child_counts(nodes).withColumnRenamed("n_children", "pn")
     return nodes.select("node_id", "parent_id").join(cc, "parent_id", "left")
 
@@ -82,13 +84,22 @@ def automerge(
     the order the library retriever uses; the default merges only.
     Output: (query_id, node_id, score, rank).
     """
-    info = materialize(node_info(nodes))
     # The hit list is bounded (k per query); it is materialised once so the
     # retrieval behind it is not re-run by each reader.
-    cur = materialize(hits.select("query_id", "node_id", "score").join(info, "node_id"))
+    hits = materialize(hits.select("query_id", "node_id", "score"))
+    nodes = nodes.drop("text")
+    if "doc_id" in nodes.columns:
+        # merging stays inside documents: look up only the nodes of the hits' documents
+        docs = hits.select("node_id").join(nodes.select("node_id", "doc_id"), "node_id").select("doc_id").distinct()
+        nodes = nodes.join(docs, "doc_id", "left_semi")
+    nodes = materialize(nodes)
+    info = node_info(nodes)
+    cur = hits.join(info, "node_id")
     for _ in range(depth - 1):
         if fill:
-            cur = fill_gaps(rank_by_score(cur, ["query_id"]), nodes).select("query_id", "node_id", "score").join(info, "node_id")
+            # a few rows per query; kept, as each pass reads its input several times
+            ranked = materialize(rank_by_score(cur, ["query_id"]))
+            cur = materialize(fill_gaps(ranked, nodes).select("query_id", "node_id", "score").join(info, "node_id"))
         cur = merge_once(cur, info, threshold)
     return rank_by_score(cur.drop("parent_id", "pn"), ["query_id"])
 

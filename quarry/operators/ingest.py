@@ -59,14 +59,19 @@ def transform_chain(docs: DataFrame, steps: Sequence[Callable[[DataFrame], DataF
 
 def classify(incoming: DataFrame, state: DataFrame, text: str = "text") -> DataFrame:
     """New / changed / unchanged per incoming document (left join on id)."""
-    inc = incoming.withColumn("doc_hash", F.sha2(F.col(text), 256))
-    st = state.select("doc_id", F.col("doc_hash").alias("_old"))
-    return inc.join(st, "doc_id", "left").withColumn(
+    return with_status(incoming.withColumn("doc_hash", F.sha2(F.col(text), 256)), state)
+
+
+def with_status(hashed: DataFrame, state: DataFrame) -> DataFrame:
+    """I1 for rows that carry ``doc_hash``.  Presence in the registry is a flag of
+    its own, so a text that is or becomes null compares like any other."""
+    st = state.select("doc_id", F.col("doc_hash").alias("_old"), F.lit(True).alias("_known"))
+    return hashed.join(st, "doc_id", "left").withColumn(
         "status",
-        F.when(F.col("_old").isNull(), F.lit("new"))
-        .when(F.col("_old") != F.col("doc_hash"), F.lit("changed"))
+        F.when(F.col("_known").isNull(), F.lit("new"))
+        .when(~F.col("_old").eqNullSafe(F.col("doc_hash")), F.lit("changed"))
         .otherwise(F.lit("unchanged")),
-    ).drop("_old")
+    ).drop("_old", "_known")
 
 
 def upsert(
@@ -85,11 +90,15 @@ def upsert(
     # in-run de-duplication by id (I5): the newest row per document wins,
     # equal times resolved by content hash so the choice is deterministic
     order = [F.col("modified_at").desc_nulls_last()] if "modified_at" in incoming.columns else []
-    inc = incoming.withColumn("_h", F.sha2(F.col("text"), 256))
-    inc = top_k(inc, ["doc_id"], [*order, F.col("_h").desc()], 1, "_n").drop("_n", "_h")
-    cls = classify(inc, state)
-    todo = cls.filter(F.col("status") != "unchanged")
-    delta = chunker(todo.select("doc_id", "text"))
+    hashed = incoming.withColumn("doc_hash", F.sha2(F.col("text"), 256))
+    # versions are chosen and compared without their texts; only those of
+    # new and changed documents are fetched
+    newest = top_k(hashed.drop("text"), ["doc_id"], [*order, F.col("doc_hash").desc_nulls_last()], 1, "_n").drop("_n")
+    todo = with_status(newest, state).filter(F.col("status") != "unchanged")
+    wanted = todo.select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"))
+    same = (F.col("doc_id") == F.col("_id")) & F.col("doc_hash").eqNullSafe(F.col("_hash"))
+    texts = hashed.select("doc_id", "doc_hash", "text").join(wanted, same, "left_semi").dropDuplicates(["doc_id"])
+    delta = chunker(texts.select("doc_id", "text"))
     kept = chunks.join(todo.select("doc_id"), "doc_id", "left_anti").select(*chunks.columns)
     new_chunks = kept.unionByName(delta)
     # new registry rows carry the incoming values of the state's columns

@@ -2,7 +2,7 @@
 
 Routing is a column: each query gets exactly one target, then every branch
 runs only on the queries routed to it (filter per branch, union of results).
-The target list is a small declared table (bounded, broadcast); the queries
+The target list is a small declared table; the queries
 are never paired with targets as rows -- similarity is a sparse dot product
 joined on term.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import identifier_like, tokenize
 from quarry.operators import dense
-from quarry.operators.topk import fits, materialize, rank_by_score
+from quarry.operators.topk import materialize, rank_by_score
 
 # Target descriptions of the reference examples, in listed order.
 ENGINE_TARGETS = [
@@ -46,7 +46,6 @@ POINTERS = [
 ]
 
 TARGET_SCHEMA = "target_id int, name string, description string"
-TARGETS_BROADCAST_MAX = 100_000
 
 
 def targets_df(spark: SparkSession, rows=ENGINE_TARGETS) -> DataFrame:
@@ -72,10 +71,8 @@ def route_by_similarity(queries: DataFrame, targets: DataFrame, text: str = "tex
     Output: (query_id, target_id, name, description, sim).
     """
     qt = _term_counts(queries, "query_id", text)
-    # Target lists are declared and small; the broadcast is still guarded.
-    small = fits(targets, TARGETS_BROADCAST_MAX)
-    bc = F.broadcast if small else (lambda d: d)
-    tt = bc(_term_counts(targets, "target_id", "target_text"))
+    # Join strategies are left to Spark, which sees the sizes at run time.
+    tt = _term_counts(targets, "target_id", "target_text")
     qn = qt.groupBy("query_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("qn"))
     tn = tt.groupBy("target_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("tn"))
     dot = (
@@ -83,7 +80,7 @@ def route_by_similarity(queries: DataFrame, targets: DataFrame, text: str = "tex
         .groupBy("query_id", "target_id")
         .agg(F.sum(F.col("tf") * F.col("ttf")).alias("dot"))
     )
-    sim = dot.join(qn, "query_id").join(bc(tn), "target_id").select(
+    sim = dot.join(qn, "query_id").join(tn, "target_id").select(
         "query_id", "target_id", (F.col("dot") / (F.col("qn") * F.col("tn"))).alias("sim")
     )
     best = rank_by_score(sim, ["query_id"], 1, score="sim", node="target_id", rank_col="_r").drop("_r")
@@ -97,7 +94,7 @@ def route_by_similarity(queries: DataFrame, targets: DataFrame, text: str = "tex
             F.coalesce("sim", F.lit(0.0)).alias("sim"),
         )
     )
-    return routed.join(bc(targets.select("target_id", "name", "description")), "target_id")
+    return routed.join(targets.select("target_id", "name", "description"), "target_id")
 
 
 def route_by_rule(queries: DataFrame, text: str = "text") -> DataFrame:

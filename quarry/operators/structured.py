@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StructType
+from pyspark.sql.types import BooleanType, NumericType, StructType
 
 from quarry.operators import bm25
-from quarry.operators.topk import fits, rank_by_score
-
-CATALOG_BROADCAST_MAX = 100_000
+from quarry.operators.topk import rank_by_score
 
 
 def create_table(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str, name: str | None = None) -> DataFrame:
@@ -52,9 +52,11 @@ def value_index(df: DataFrame, table_name: str, columns: Sequence[str]) -> DataF
     Output: (table_name, column_name, value, text = "col: val", node_id).
     """
     def as_value(c: str):
-        # Python truthiness (P8): numeric zero is dropped like null and ""
+        # truthiness (P8): numeric zero and false are dropped like null and ""
         if isinstance(df.schema[c].dataType, NumericType):
             return F.when(F.col(c) != 0, F.col(c).cast("string")).alias(c)
+        if isinstance(df.schema[c].dataType, BooleanType):
+            return F.when(F.col(c), F.lit("true")).alias(c)
         return F.col(c).cast("string").alias(c)
 
     long = df.select(*[as_value(c) for c in columns]).unpivot(
@@ -87,7 +89,6 @@ def sql_context(tables: DataFrame, values: DataFrame, catalog: DataFrame) -> Dat
     """Q4: per question the chosen tables' schema text plus matched values,
     as one sorted, newline-joined context string (bounded: k tables + k values)."""
     cat = catalog.select("table_name", "context_str")
-    cat = F.broadcast(cat) if fits(cat, CATALOG_BROADCAST_MAX) else cat  # one row per table
     t = tables.join(cat, "table_name").select(
         "query_id", F.col("context_str").alias("line")
     )
@@ -100,8 +101,18 @@ def sql_context(tables: DataFrame, values: DataFrame, catalog: DataFrame) -> Dat
 
 
 def run_sql(spark: SparkSession, text: str) -> DataFrame:
-    """Q5: run a stored SQL text over the registered views (SELECT only)."""
-    head = text.lstrip().split(None, 1)[0].upper() if text.strip() else ""
-    if head not in ("SELECT", "WITH"):
-        raise ValueError("only SELECT statements are run")
-    return spark.sql(text)
+    """Q5: run a stored SQL text over the registered views (SELECT only).
+
+    The text becomes the body of a temporary view, where Spark's grammar takes
+    a query and nothing else: writes and commands, also behind a WITH, do not
+    parse there.
+    """
+    name = f"stored_sql_{uuid.uuid4().hex}"
+    try:
+        spark.sql(f"CREATE TEMPORARY VIEW {name} AS {text.strip().rstrip(';')}")
+    except ParseException as e:
+        raise ValueError(f"only SELECT statements are run: {e}") from None
+    try:
+        return spark.table(name)
+    finally:
+        spark.catalog.dropTempView(name)

@@ -1,4 +1,4 @@
-"""Shared building blocks: per-group top-k and size-checked broadcast."""
+"""Shared building blocks: per-group top-k and materialised intermediates."""
 
 from __future__ import annotations
 
@@ -7,16 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Default row bound under which a derived side (query terms, centroids, target
-# descriptions) may be broadcast.  The check is an action on that side only.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Persist ``df`` and compute it once, now.
 

@@ -10,7 +10,7 @@ from quarry.operators import bm25, dense
 from quarry.operators.retrievers import metadata_filter
 from quarry.plans.sparse import BM25_TOPK_SQL
 from quarry.plans.common import as_bigint, bench_queries, corpus, doc_texts, round6, vectors
-from quarry.sources.tables import spread, table
+from quarry.sources.tables import table
 
 SIM_CUTOFF = 0.30  # fixed value of the reference post-processor
 
@@ -31,7 +31,7 @@ def _vec_queries(spark, sf):
 
 def dense_topk(spark: SparkSession, sf: str, k: int = 5):
     """V3: every vector queries all others (self excluded), top 5 by cosine."""
-    hits = dense.dense_topk(_vec_queries(spark, sf), spread(vectors(spark, sf)), k, exclude_self=True)
+    hits = dense.dense_topk(_vec_queries(spark, sf), vectors(spark, sf), k, exclude_self=True)
     return as_bigint(round6(hits, "score"), "rank")
 
 
@@ -44,13 +44,13 @@ def labelled_vectors(spark, sf):
 def dense_topk_filtered(spark: SparkSession, sf: str, k: int = 5):
     """P5: metadata equality filters (AND) applied before scoring."""
     nodes = metadata_filter(labelled_vectors(spark, sf), {"quality": 1, "toxic": 0})
-    hits = dense.dense_topk(_vec_queries(spark, sf), spread(nodes), k, exclude_self=True)
+    hits = dense.dense_topk(_vec_queries(spark, sf), nodes, k, exclude_self=True)
     return as_bigint(round6(hits, "score"), "rank")
 
 
 def similarity_cutoff(spark: SparkSession, sf: str):
     """Keep hits scoring at least the cutoff (null scores drop)."""
-    hits = dense.dense_topk(_vec_queries(spark, sf), spread(vectors(spark, sf)), 5, exclude_self=True)
+    hits = dense.dense_topk(_vec_queries(spark, sf), vectors(spark, sf), 5, exclude_self=True)
     return as_bigint(round6(hits.filter(F.col("score") >= SIM_CUTOFF), "score"), "rank")
 
 

@@ -18,14 +18,14 @@ from quarry.operators.topk import materialize
 from quarry.plans.common import bench_queries, corpus, doc_texts, round6, sql_tokens, vectors
 from quarry.plans.dense_plans import _topk_sql
 from quarry.plans.sparse import BM25_TOPK_SQL
-from quarry.sources.tables import spread, table
+from quarry.sources.tables import table
 
 
 def _sparse_eval(spark, sf):
     q = bench_queries(spark, sf)
     docs = corpus(spark, sf)
     # the hit list (k per query) feeds several metrics: materialise it once,
-    # with the hit texts (late lookup on node_id, no spreading shuffle)
+    # with the hit texts (late lookup on node_id)
     hits = bm25.bm25_topk(q, docs, k=5)
     texts = materialize(
         hits.join(doc_texts(spark, sf), "node_id").join(q.select("query_id", F.col("text").alias("qtext")), "query_id")
@@ -45,7 +45,7 @@ def eval_mrr(spark: SparkSession, sf: str):
 def eval_dense_hit_mrr(spark: SparkSession, sf: str):
     v = vectors(spark, sf)
     q = v.select(F.col("node_id").alias("query_id"), "embedding")
-    hits = dense.dense_topk(q, spread(v), 5, exclude_self=True)
+    hits = dense.dense_topk(q, v, 5, exclude_self=True)
     judged = evaluate.judge_same_key(
         hits,
         v.select(F.col("node_id").alias("query_id"), F.col("label").alias("key")),

@@ -3,7 +3,8 @@
 Two-run scenario derived from the tables: the previous run ingested every
 document; the incoming run re-sends English and Spanish documents unchanged,
 French ones revised (a line appended), omits German ones, and adds every
-benchmark passage as a new document (id offset ``NEW_ID_BASE``).
+benchmark passage as a new document (ids after the largest document id).
+Documents of any other or no language are re-sent unchanged.
 """
 
 from __future__ import annotations
@@ -17,22 +18,23 @@ from quarry.plans.common import as_bigint, bench_queries, round6
 from quarry.plans.sparse import bm25_sql
 from quarry.plans.tree_plans import fixed_chunks_sql
 from quarry.session import work_path
-from quarry.sources.tables import spread, table
+from quarry.sources.tables import table
 
-NEW_ID_BASE = 1_000_000_000
 TRANSFORM_ID = "split_256_20"
 
 
 def _docs(spark, sf):
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def _incoming(spark, sf):
-    d = _docs(spark, sf).filter(F.col("lang") != "de").select(
+    german = F.col("lang").eqNullSafe(F.lit("de"))
+    d = _docs(spark, sf).filter(~german).select(
         "doc_id",
         F.when(F.col("lang") == "fr", F.concat("text", F.lit("\nrevised"))).otherwise(F.col("text")).alias("text"),
     )
-    new = table(spark, sf, "benchmark").select((F.col("item_id") + NEW_ID_BASE).alias("doc_id"), "text")
+    last = table(spark, sf, "documents").agg(F.max("doc_id")).first()[0] or 0
+    new = table(spark, sf, "benchmark").select((F.col("item_id") + last + 1).alias("doc_id"), "text")
     return d.unionByName(new)
 
 
@@ -113,10 +115,10 @@ def bm25_after_noop_ingest(spark: SparkSession, sf: str):
 
 # ---------------------------------------------------------------- oracle SQL
 
-INCOMING_SQL = f"""
+INCOMING_SQL = """
 SELECT doc_id, CASE WHEN lang = 'fr' THEN text || chr(10) || 'revised' ELSE text END AS text
-FROM documents WHERE lang <> 'de'
-UNION ALL SELECT item_id + {NEW_ID_BASE} AS doc_id, text FROM benchmark"""
+FROM documents WHERE lang IS DISTINCT FROM 'de'
+UNION ALL SELECT item_id + (SELECT max(doc_id) + 1 FROM documents) AS doc_id, text FROM benchmark"""
 _CLS = f"""
 WITH inc AS ({INCOMING_SQL}),
   st AS (SELECT doc_id, sha256(text) AS doc_hash FROM documents),

@@ -1,8 +1,10 @@
 """Registered two-hop and routing queries (R1-R8) and their DuckDB twins.
 
 Pointers are the label centroids of the vectors (one sub-collection per
-label); text queries are the benchmark passages, whose dense vector is the
-same-id embeddings row (as in the hybrid queries).
+label); text queries are the benchmark passages.  Passages and documents have
+the vectors of their texts (as in the hybrid queries).  The knowledge-base engine
+is the whole hybrid chain (fan-out, both retrievers, fusion, rerank top 3), the
+second engine a plain dense search (k = 2).
 """
 
 from __future__ import annotations
@@ -11,13 +13,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import bm25, dense, routing
-from quarry.plans.common import as_bigint, bench_queries, corpus, round6, vectors
+from quarry.plans.common import as_bigint, bench_queries, corpus, dense_sql, round6, text_vectors, text_vectors_sql, vectors
 from quarry.plans.eval_plans import _cosine_sql
-from quarry.plans.hybrid_plans import _dense_nodes
+from quarry.plans.hybrid_plans import DOC_VECTORS_SQL, HYBRID_SQL, dense_nodes, hybrid_chain
 from quarry.plans.sparse import bm25_sql
-from quarry.sources.tables import spread
 
-ENGINE_K = {"enterprise_rag_engine": 5, "python_query_engine": 2}
+PLAIN_K = 2  # fixed value: the plain engine's k
 
 
 def _pointers(spark, sf):
@@ -35,17 +36,14 @@ def pointer_first_hop(spark: SparkSession, sf: str):
 def pointer_second_hop_topk(spark: SparkSession, sf: str):
     q = _vec_queries(spark, sf)
     hop1 = routing.first_hop(q, _pointers(spark, sf))
-    coll = spread(vectors(spark, sf).withColumnRenamed("label", "collection"))
+    coll = vectors(spark, sf).withColumnRenamed("label", "collection")
     hits = routing.second_hop(q, hop1, coll, k=2, exclude_self=True)
     return as_bigint(round6(hits, "score"), "rank")
 
 
 def _text_dense(k):
     def run(spark, sf, qs):
-        qv = qs.select("query_id").join(
-            vectors(spark, sf).select(F.col("node_id").alias("query_id"), "embedding"), "query_id"
-        )
-        return dense.dense_topk(qv, spread(_dense_nodes(spark, sf)), k)
+        return dense.dense_topk(text_vectors(qs.select("query_id", "text"), "query_id"), dense_nodes(spark, sf), k)
     return run
 
 
@@ -63,10 +61,9 @@ def route_by_description(spark: SparkSession, sf: str):
     q = bench_queries(spark, sf)
     decided = routing.route_by_similarity(q, routing.targets_df(spark, routing.ENGINE_TARGETS))
     routed = q.join(decided.select("query_id", F.col("name").alias("route")), "query_id")
-    docs = corpus(spark, sf)
     out = routing.run_routes(routed, {
-        "enterprise_rag_engine": lambda qs: bm25.bm25_topk(qs.select("query_id", "text"), docs, k=5),
-        "python_query_engine": lambda qs: _text_dense(2)(spark, sf, qs),
+        "enterprise_rag_engine": lambda qs: hybrid_chain(spark, sf, qs.select("query_id", "text")).withColumnRenamed("rerank_score", "score"),
+        "python_query_engine": lambda qs: _text_dense(PLAIN_K)(spark, sf, qs).select("query_id", "node_id", "score", "rank", F.lit(None).cast("double").alias("fused")),
     })
     return as_bigint(round6(out.select("query_id", "route", "node_id", "score", "rank"), "score"), "rank")
 
@@ -102,15 +99,8 @@ SELECT query_id, node_id, round(score, 6) AS score, rank FROM (
 
 
 def _text_dense_sql(k: int, qfilter: str) -> str:
-    return f"""
-SELECT query_id, node_id, round(score, 6) AS score, rank FROM (
-  SELECT query_id, node_id, score,
-         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS rank
-  FROM (SELECT b.item_id AS query_id, d.doc_id AS node_id,
-               list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
-        FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id,
-             documents d JOIN embeddings c ON c.vec_id = d.doc_id
-        WHERE {qfilter})) WHERE rank <= {k}"""
+    queries = text_vectors_sql(f"SELECT b.item_id AS query_id, b.text FROM benchmark b WHERE {qfilter}", "query_id")
+    return f"SELECT query_id, node_id, round(score, 6) AS score, rank FROM ({dense_sql(queries, DOC_VECTORS_SQL, k)})"
 
 
 def _targets_sql(rows) -> str:
@@ -145,11 +135,11 @@ FROM ({bm25_sql(5, queries_sql=f"SELECT item_id AS query_id, text FROM benchmark
 UNION ALL
 SELECT query_id, 'dense' AS route, node_id, score, rank FROM ({_text_dense_sql(5, 'NOT ' + _RULE)})""",
     "route_by_description": f"""
-SELECT query_id, 'enterprise_rag_engine' AS route, node_id, score, rank
-FROM ({bm25_sql(5, queries_sql=f"SELECT b.item_id AS query_id, b.text FROM benchmark b JOIN ({_ENGINE}) r ON r.query_id = b.item_id WHERE r.name = 'enterprise_rag_engine'")})
+SELECT query_id, 'enterprise_rag_engine' AS route, node_id, rerank_score AS score, rank
+FROM ({HYBRID_SQL}) WHERE query_id IN (SELECT query_id FROM ({_ENGINE}) WHERE name = 'enterprise_rag_engine')
 UNION ALL
 SELECT query_id, 'python_query_engine' AS route, node_id, score, rank
-FROM ({_text_dense_sql(2, f"b.item_id IN (SELECT query_id FROM ({_ENGINE}) WHERE name = 'python_query_engine')")})""",
+FROM ({_text_dense_sql(PLAIN_K, f"b.item_id IN (SELECT query_id FROM ({_ENGINE}) WHERE name = 'python_query_engine')")})""",
     "tool_lookup": f"SELECT query_id, name, description, round(sim, 6) AS sim FROM ({_route_sql(routing.FUNCTION_TARGETS)})",
 }
 

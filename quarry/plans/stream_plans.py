@@ -1,7 +1,8 @@
 """Registered streaming ingestion query (ST1) and its DuckDB twin.
 
-Drop-folder files derived from documents, in arrival order: English and
-Spanish originals; French originals; German originals; French revisions (a
+Drop-folder files derived from documents, in arrival order: originals in all
+languages but French and German (or none); French originals; German originals;
+the first again with a later time but unchanged; French revisions (a
 line appended, one day later); stale German versions (one day *earlier*,
 arriving last: must be ignored).  The final state must equal the batch
 upsert of the newest versions.
@@ -24,13 +25,15 @@ T_REVISED = "2026-01-02 00:00:00"
 T_STALE = "2025-12-31 00:00:00"
 
 
-def _drop_files(spark, sf, drop):
+def _arrivals(spark, sf):
     d = table(spark, sf, "documents")
     ts = lambda s: F.to_timestamp(F.lit(s))
+    others = ~F.coalesce(F.col("lang").isin("fr", "de"), F.lit(False))
     arrivals = [
-        d.filter(F.col("lang").isin("en", "es")).select("doc_id", ts(T0).alias("modified_at"), "text"),
+        d.filter(others).select("doc_id", ts(T0).alias("modified_at"), "text"),
         d.filter(F.col("lang") == "fr").select("doc_id", ts(T0).alias("modified_at"), "text"),
         d.filter(F.col("lang") == "de").select("doc_id", ts(T0).alias("modified_at"), "text"),
+        d.filter(others).select("doc_id", ts(T_REVISED).alias("modified_at"), "text"),
         d.filter(F.col("lang") == "fr").select(
             "doc_id", ts(T_REVISED).alias("modified_at"), F.concat("text", F.lit("\nrevised")).alias("text")
         ),
@@ -38,17 +41,16 @@ def _drop_files(spark, sf, drop):
             "doc_id", ts(T_STALE).alias("modified_at"), F.concat("text", F.lit("\nstale")).alias("text")
         ),
     ]
-    for a in arrivals:
-        # one file per arrival; the source picks files up in arrival order
-        a.coalesce(1).write.mode("append").parquet(drop)
+    return arrivals
 
 
 def stream_ingest(spark: SparkSession, sf: str):
     root = work_path(spark, "stream-ingest")
     drop = f"{root}/drop"
-    _drop_files(spark, sf, drop)
-    job = StreamIngest(spark, root)
-    job.run(drop, files_per_batch=1)
+    job = StreamIngest(spark, root, compact_every=4)
+    for arrival in _arrivals(spark, sf):
+        arrival.write.mode("append").parquet(drop)
+        job.run(drop)
     return as_bigint(job.current_chunks(), "chunk_no", "n_tokens")
 
 

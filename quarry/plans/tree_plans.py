@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import bm25, chunking, hierarchy
-from quarry.operators.topk import materialize
-from quarry.plans.common import as_bigint, bench_queries, round6, sql_tokens
+from quarry.operators import bm25, chunking, dense, hierarchy
+from quarry.plans.common import as_bigint, bench_queries, dense_sql, round6, sql_tokens, text_vectors, text_vectors_sql
 from quarry.plans.sparse import bm25_sql
-from quarry.sources.tables import spread, table
+from quarry.sources.tables import table
 
 LEAF_K = 6  # fixed value: base retriever of the auto-merge example
 
 
 def _docs(spark, sf):
-    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def chunk_fixed(spark: SparkSession, sf: str):
@@ -27,13 +26,11 @@ def chunk_fixed_1024(spark: SparkSession, sf: str):
 
 
 def _tree(spark, sf):
-    # The node table is read by the leaf filter, the child counts and every
-    # merge pass: materialise it once (lost blocks recompute from lineage).
-    return materialize(chunking.chunk_tree(_docs(spark, sf)))
+    return chunking.chunk_tree(_docs(spark, sf))
 
 
 def hier_nodes(spark: SparkSession, sf: str):
-    return as_bigint(_tree(spark, sf), "level", "seq", "n_tokens")
+    return as_bigint(_tree(spark, sf).drop("is_leaf", "siblings"), "level", "seq", "n_tokens")
 
 
 def hier_leaf_root_counts(spark: SparkSession, sf: str):
@@ -51,6 +48,20 @@ def _leaf_hits(spark, sf, nodes):
     return bm25.bm25_topk(bench_queries(spark, sf), leaves, k=LEAF_K)
 
 
+def dense_leaf_topk(spark: SparkSession, sf: str):
+    """V5: dense search among the leaf nodes only."""
+    leaves = chunking.leaf_nodes(_tree(spark, sf)).select("node_id", "text")
+    hits = dense.dense_topk(text_vectors(bench_queries(spark, sf), "query_id"), text_vectors(leaves), LEAF_K)
+    return as_bigint(round6(hits, "score"), "rank")
+
+
+def automerge_filled(spark: SparkSession, sf: str):
+    """H3 and H4 as the library runs them: each pass fills gaps, then merges."""
+    nodes = _tree(spark, sf)
+    out = hierarchy.automerge(_leaf_hits(spark, sf, nodes), nodes, fill=True)
+    return as_bigint(round6(out, "score"), "rank")
+
+
 def automerge_ratio(spark: SparkSession, sf: str):
     nodes = _tree(spark, sf)
     hits = hierarchy.with_parents(_leaf_hits(spark, sf, nodes), nodes)
@@ -140,6 +151,25 @@ def _pass(src: str, dst: str) -> str:
            FROM m_{dst} m JOIN tree t ON t.node_id = m.parent_id)"""
 
 
+def _fill(src: str, dst: str) -> str:
+    return f""",
+  r_{dst} AS (SELECT s.query_id, s.node_id, s.score, t.doc_id, t.level, t.seq,
+                     row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 9) DESC, s.node_id) AS rank
+              FROM {src} s JOIN tree t ON t.node_id = s.node_id),
+  n_{dst} AS (SELECT *, lead(doc_id) OVER w AS ndoc, lead(level) OVER w AS nlevel, lead(seq) OVER w AS nseq,
+                     lead(score) OVER w AS nscore
+              FROM r_{dst} WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+  i_{dst} AS (SELECT n.query_id, t.node_id, (n.score + n.nscore) / 2.0::DOUBLE AS score
+              FROM n_{dst} n JOIN tree t ON t.doc_id = n.doc_id AND t.level = n.level AND t.seq = n.seq + 1
+              WHERE n.ndoc = n.doc_id AND n.nlevel = n.level AND n.nseq = n.seq + 2),
+  {dst} AS (SELECT u.query_id, u.node_id, u.score, t.parent_id FROM (
+              SELECT query_id, node_id, score FROM {src}
+              UNION ALL
+              SELECT i.query_id, i.node_id, i.score FROM i_{dst} i
+              WHERE NOT EXISTS (SELECT 1 FROM {src} b WHERE b.query_id = i.query_id AND b.node_id = i.node_id)) u
+            JOIN tree t ON t.node_id = u.node_id)"""
+
+
 _FULL = _CTE + _pass("h0", "h1") + _pass("h1", "h2")
 _FULL_RANKED = _FULL + """
 SELECT query_id, node_id, score,
@@ -162,6 +192,13 @@ FROM (SELECT query_id, parent_id, count(*) AS n_hit, avg(score) AS mean_score FR
       WHERE parent_id IS NOT NULL GROUP BY query_id, parent_id) g JOIN cc ON cc.parent_id = g.parent_id""",
     "automerge_once": _CTE + _pass("h0", "h1") + "\nSELECT query_id, node_id, round(score, 6) AS score, parent_id FROM h1",
     "automerge_full": f"SELECT query_id, node_id, round(score, 6) AS score, rank FROM ({_FULL_RANKED})",
+    "automerge_filled": _CTE + _fill("h0", "f0") + _pass("f0", "h1") + _fill("h1", "f1") + _pass("f1", "h2") + """
+SELECT query_id, node_id, round(score, 6) AS score,
+       row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS rank FROM h2""",
+    "dense_leaf_topk": f"""
+SELECT query_id, node_id, round(score, 6) AS score, rank FROM ({dense_sql(
+    text_vectors_sql("SELECT item_id AS query_id, text FROM benchmark", "query_id"),
+    text_vectors_sql(f"SELECT node_id, text FROM ({TREE_SQL}) WHERE level = {len(_SIZES) - 1}", "node_id"), LEAF_K)})""",
     "automerge_fill_gap": _CTE + """,
   b AS (SELECT x.query_id, x.node_id, x.score, x.rank, t.doc_id, t.level, t.seq
         FROM base x JOIN tree t ON t.node_id = x.node_id),
@@ -193,6 +230,8 @@ QUERIES = {
     "automerge_ratio": automerge_ratio,
     "automerge_once": automerge_once,
     "automerge_full": automerge_full,
+    "automerge_filled": automerge_filled,
+    "dense_leaf_topk": dense_leaf_topk,
     "automerge_fill_gap": automerge_fill_gap,
     "automerge_diff": automerge_diff,
 }

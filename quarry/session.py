@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.files.maxPartitionBytes", "2m")  # small test files still give every core a split
     )
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
@@ -40,14 +41,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is used as is.  Only
-    when it is unset (local tests) a fresh temporary folder is created.
+    On a cluster this setting names shared storage and is used as is; it must
+    be set there, as executors do not share local folders.  Only with a
+    ``local`` master (tests) a fresh temporary folder stands in for it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(d)

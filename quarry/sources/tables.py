@@ -15,21 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer tasks than the cluster has cores.
-
-    A table stored as one big row group scans in a single task, and every
-    CPU-heavy step fused into that scan stage (tokenizing, chunking) would run
-    serially.  On a real corpus of many files the scan already has enough
-    splits and this is a no-op, so no shuffle is added at scale.
-    """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> list[str]:
     """Expose every table as a temp view so ``spark.sql`` can query it."""
     for n in names:

@@ -25,12 +25,12 @@ def brute(rows, k, exclude_self=True, same_label=False):
     return out
 
 
-def test_broadcast_and_blocked_agree_with_brute_force(spark):
+def test_one_slice_and_many_agree_with_brute_force(spark):
     v = vecs(spark)
     q = v.withColumnRenamed("node_id", "query_id")
     rows = [(r[0], r[1], r[2]) for r in v.collect()]
     exp = brute(rows, 4)
-    for kw in ({}, {"broadcast_max_bytes": 0, "block_rows": 16}):
+    for kw in ({}, {"slice_bytes": 900}):
         got = dense.dense_topk(q, v, 4, exclude_self=True, **kw).collect()
         per = {}
         for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
@@ -38,6 +38,39 @@ def test_broadcast_and_blocked_agree_with_brute_force(spark):
         assert per == exp
 
 
+def test_exactly_k_rows_whatever_the_ties(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(5000)]
+    v = spark.createDataFrame(rows, "node_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [2.0, 0.0])], "query_id long, embedding array<double>")
+    hits = dense._score_slice(
+        q.selectExpr("query_id", "embedding as qv", "'' as qkey"), v.selectExpr("node_id", "embedding as nv", "'' as nkey"), 5, False
+    )
+    assert hits.count() == 15  # k per task
+    assert [(r.node_id, r["rank"]) for r in dense.dense_topk(q, v, 5).orderBy("rank").collect()] == [(i, i + 1) for i in range(5)]
+
+
+def test_string_ids_null_and_zero_vectors(spark):
+    nodes = spark.createDataFrame([("12/3", [1.0, 1.0]), ("12/10", [1.0, 1.0]), ("a", [0.0, 0.0]), ("b", None), ("c", [-1.0, 0.0])], "node_id string, embedding array<double>")
+    q = spark.createDataFrame([("q1", [1.0, 1.0]), ("q2", None), ("q3", [0.0, 0.0])], "query_id string, embedding array<double>")
+    got = [(r.query_id, r.node_id, r["rank"]) for r in dense.dense_topk(q, nodes, 3).orderBy("query_id", "rank").collect()]
+    assert got == [("q1", "12/10", 1), ("q1", "12/3", 2), ("q1", "c", 3)]
+    pointers = nodes.where("node_id in ('12/3', 'c')").withColumnRenamed("node_id", "index_id")
+    from quarry.operators import routing
+
+    assert [tuple(r)[:2] for r in routing.first_hop(q, pointers).collect()] == [("q1", "12/3")]
+
+
+def test_leaf_subset_search_by_vector(spark):
+    """V5: dense search restricted to the leaves of a chunk tree."""
+    from quarry.operators import chunking, embed
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta " * 60), (2, "omega psi chi phi " * 60)], "doc_id long, text string")
+    leaves = chunking.leaf_nodes(chunking.chunk_tree(docs)).select("node_id", "text")
+    q = embed.token_vectors(spark.createDataFrame([(7, "alpha gamma")], "query_id long, text string"), 64, "query_id")
+    hits = dense.dense_topk(q, embed.token_vectors(leaves), 2).collect()
+    assert len(hits) == 2 and all(r.node_id.startswith("1") for r in hits)
+
+
 def test_match_restricts_to_collection(spark):
     v = vecs(spark)
     q = v.withColumnRenamed("node_id", "query_id")

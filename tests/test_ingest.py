@@ -72,3 +72,13 @@ def test_upsert_dedups_incoming_by_id(spark):
                                 "doc_id long, text string, modified_at timestamp")
     chunks, _, _ = ingest.upsert(chunks0, state, inc, ingest.chunker_256)
     assert [r["text"] for r in chunks.collect()] == ["newer"]
+
+
+def test_text_that_becomes_null_is_changed(spark):
+    from quarry.operators import ingest
+
+    state = ingest.classify(spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, doc_hash string"))
+    assert {r.status for r in state.collect()} == {"new"}
+    again = spark.createDataFrame([(1, None), (2, None), (3, "c"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.status for r in ingest.classify(again, state.select("doc_id", "doc_hash")).collect()}
+    assert got == {1: "changed", 2: "unchanged", 3: "unchanged", 4: "new"}

@@ -20,11 +20,3 @@ def test_exclude_is_by_path_not_substring(spark, tmp_path):
     ex = read_text_dir(spark, str(tmp_path / "data"), exclude=["data/python.txt"])
     assert [r["doc_id"] for r in ex.collect()] == ["my_python.txt"]
 
-
-def test_spread_is_a_noop_with_enough_splits(spark):
-    from quarry.sources.tables import spread
-
-    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism + 4)
-    assert spread(many) is many  # cluster-sized scans are left alone
-    one = spark.range(0, 1000, numPartitions=1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

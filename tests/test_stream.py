@@ -35,3 +35,25 @@ def test_replayed_batch_is_idempotent_and_compaction_keeps_state(spark, tmp_path
     job.process_batch(late, 2)
     assert {r["doc_id"]: r["text"] for r in job.current_chunks().collect()} == state
     assert {r["doc_id"] for r in job.registry().collect()} == {1, 2}
+
+
+def test_equal_times_unchanged_texts_and_string_ids(spark, tmp_path):
+    from pyspark.sql.types import StringType
+
+    job = StreamIngest(spark, str(tmp_path / "q"), id_type=StringType(), compact_every=2)
+    t0, t1, t2 = dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 2), dt.datetime(2026, 1, 3)
+
+    def arrive(n, *rows):
+        job.process_batch(spark.createDataFrame(list(rows), job.input_schema), n)
+        return {r["doc_id"]: r["text"] for r in job.current_chunks().collect()}
+
+    assert arrive(0, ("a.txt", t0, "one"), ("b.txt", t0, "same")) == {"a.txt": "one", "b.txt": "same"}
+    # equal time, changed text: the larger hash wins, whichever came first
+    both = sorted(("one", "two"), key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())
+    assert arrive(1, ("a.txt", t0, "two"))["a.txt"] == both[-1]
+    # an unchanged text with a newer time is not chunked again but fends off older versions
+    assert arrive(2, ("b.txt", t2, "same"))["b.txt"] == "same"
+    assert spark.read.parquet(job.chunks_path).where("doc_id = 'b.txt'").count() == 1
+    assert arrive(3, ("b.txt", t1, "late"))["b.txt"] == "same"
+    assert arrive(4, ("b.txt", t2, None), ("c.txt", t0, "new"))["c.txt"] == "new"
+    assert len(job._snapshots()) == 2

@@ -54,3 +54,25 @@ def test_value_index_drops_falsy_values(spark):
     df = spark.createDataFrame([("a", 0), ("", 2), (None, 2), ("0", None)], "s string, n int")
     got = sorted((r["column_name"], r["value"]) for r in structured.value_index(df, "t", ["s", "n"]).collect())
     assert got == [("n", "2"), ("s", "0"), ("s", "a")]
+
+
+def test_stored_sql_runs_queries_only(spark, tmp_path):
+    import pytest
+
+    from quarry.operators import structured
+
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    spark.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("guarded")
+    assert structured.run_sql(spark, "WITH x AS (SELECT max(id) AS m FROM guarded) SELECT m FROM x;").first().m == 2
+    path = str(tmp_path / "t")
+    for bad in (f"WITH x AS (SELECT 9 AS id) INSERT INTO parquet.`{path}` SELECT id FROM x", "DROP VIEW guarded", "CREATE TABLE q (a INT)", "SELECT 1; DROP VIEW guarded", ""):
+        with pytest.raises(ValueError):
+            structured.run_sql(spark, bad)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_false_is_no_value(spark):
+    from quarry.operators import structured
+
+    df = spark.createDataFrame([(True, "x"), (False, ""), (None, None)], "flag boolean, name string")
+    assert sorted(r.text for r in structured.value_index(df, "t", ["flag", "name"]).collect()) == ["flag: true", "name: x"]
