@@ -6,7 +6,7 @@ an equi-join, whose large keys Spark splits; no neighbourhood is gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
@@ -26,12 +26,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of ``edges`` (u, v) with the smallest node it reaches."""
-    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-        edges = stored(_small_star(_large_star(edges).where("u <> v").distinct()).distinct(), "components")
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    before, state = None, {}
+    while state != before:
+        before, seen = state, Observation()
+        step = edges if not state else _small_star(_large_star(edges).where("u <> v")).distinct()
+        # the edges are done when a step leaves them as they were; counted while they are written
+        edges = stored(step.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "components")
+        state = seen.get
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -9,23 +9,23 @@ A text's set is its distinct word n-grams.  Two sets link if
    n - ceil(n * least / 100) + 1 of their n-grams, so only those prefixes are
    indexed.
 3. The index lists hold (size, position) in order.  In each list the first entry
-   of a run of compatible sizes is its hub, and every entry is checked against
-   the hub only.  Most copies meet their group this way, in one comparison.
-4. Lists whose entries are by then in one component are skipped whole.  In the
-   others only entries of different components are compared, and of those
-   - blocks are skipped by position: entries at positions p, q of sets of sizes n, m
-     cannot share more than 1 + min(n - p, m - q) - 1 n-grams from there on;
-   - answers are derived from those of a similar set: with the known overlaps of
-     x and y with their hub z, min(xz, yz) + min(n - xz, m - yz) bounds the
-     overlap of x and y from above, and xz + yz - |z| from below.  A pair that
-     either bound decides is not compared.
-5. What is left is compared; components are computed anew with all links.
-
-No link is lost: linked sets share a list, and if they are not in one component
-after step 3, step 4 compares or decides them.
-
-Comparisons bring the texts of a slice of a hub's partners to one task, which
-holds the hub's set and one partner's at a time.
+   of a run of compatible sizes is its hub, and every entry becomes a partner of
+   its hub.  A hub's partners come together in slices of bounded size, once per
+   hub and not per list.
+4. Inside a slice all links are found, from the hub's answers: with the overlap
+   of each partner with the hub z known gram by gram, one product of 0/1 matrices
+   gives |x & y & z| of all pairs.  It bounds |x & y| from below, and with the
+   smaller number of grams outside z from above; a pair that neither bound decides
+   compares only its grams outside z.  Links that join nothing new are not
+   reported.
+5. Lists whose entries are by then in one component are skipped whole.  In the
+   others, pairs that met in a slice are skipped, entries of one component are
+   skipped, and blocks are skipped by position: entries at positions p, q of sets
+   of sizes n, m share at most min(n - p, m - q) grams from there on.
+6. What is left is compared; components are computed anew with all links.
+
+No link is lost: linked sets share a list.  They meet in a slice (step 4), are
+already in one component, or are compared in step 6.
 
 Defined cases: null, empty or blank text has an empty set and links with nothing
 (its component is its own id); a text of fewer words than n is one n-gram;
@@ -42,15 +42,17 @@ from itertools import groupby
 import numpy as np
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import WORD, add_columns, documents, map_rows, packed, same_text, stored, text_key, words_of
 from quarry.llm.components import components
 
 SKETCH_BITS = 18
-#: Partners of one set that a task compares.
-SLICE = 500
+#: Bounds of a slice: sets, and n-grams in all of them.
+SLICE_SETS, SLICE_GRAMS = 4000, 2_000_000
+#: Columns of a 0/1 matrix at once.
+COLUMNS = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,76 +156,118 @@ def index_lists(classes: DataFrame, least: int) -> DataFrame:
     return map_rows(entries.repartition("gram").sortWithinPartitions("gram", "place", "node"), run, "gram long, node long, place long, hub long")
 
 
+def slice_of(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.col("slices")).cast("int")
+
+
+def sliced(pairs: DataFrame) -> DataFrame:
+    """(u, slices) for pairs (u, v, nv): how many slices the partners of u need."""
+    wanted = F.greatest(F.ceil(F.sum("nv") / SLICE_GRAMS), F.ceil(F.count("*") / SLICE_SETS))
+    return pairs.groupBy("u").agg(wanted.cast("int").alias("slices"))
+
+
+class Groups:
+    """Which of some items are known to be together; tells unions that join something new."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.label[i], self.label[j]
+        if a != b:
+            self.label[self.label == a] = b
+        return a != b
+
+
+def slice_links(hub: np.ndarray, sets: list[np.ndarray], least: int) -> list[tuple[int, int]]:
+    """Links that join the hub (index 0) and its partners (from 1), without those that join nothing new."""
+    n = np.array([len(hub), *map(len, sets)])
+    inside = [np.searchsorted(hub, s) for s in sets]
+    inside = [(at, (at < len(hub)) & (hub[np.minimum(at, len(hub) - 1)] == s)) for at, s in zip(inside, sets)]
+    shared = np.array([len(hub), *(int(hit.sum()) for _, hit in inside)])
+    near = shared >= needed(least, n[0], n)
+    links = [(0, int(i)) for i in np.flatnonzero(near[1:]) + 1]
+    far = np.flatnonzero(~near)
+    if not len(far):
+        return links
+    groups = Groups(len(n))
+    groups.label[near] = 0
+    outside = [np.empty(0, np.uint64), *(s[~hit] for s, (_, hit) in zip(sets, inside))]
+    common = np.zeros((len(far), len(n)), np.float32)
+    for lo in range(0, len(hub), COLUMNS):
+        bits = np.zeros((len(n), min(COLUMNS, len(hub) - lo)), np.float32)
+        bits[0] = 1
+        for i, (at, hit) in enumerate(inside, 1):
+            here = at[hit]
+            bits[i, here[(here >= lo) & (here < lo + COLUMNS)] - lo] = 1
+        common += bits[far] @ bits.T
+    common = common.astype(np.int64)
+    for row, i in enumerate(far.tolist()):
+        need = needed(least, n[i], n)
+        for j in np.flatnonzero(common[row] >= need).tolist():
+            if groups.join(i, j):
+                links.append((i, j))
+        open_ = (common[row] + np.minimum(n[i] - shared[i], n - shared) >= need) & (groups.label != groups.label[i])
+        for j in np.flatnonzero(open_).tolist():
+            if groups.label[j] != groups.label[i]:
+                more = len(np.intersect1d(outside[i], outside[j], assume_unique=True))
+                if common[row, j] + more >= need[j] and groups.join(i, j):
+                    links.append((i, j))
+    return links
+
+
 def compare(pairs: DataFrame, texts: DataFrame, n: int, least: int) -> DataFrame:
-    """(u, v, nu, nv, overlap) for ``pairs`` (u, v) of nodes, exactly."""
-    sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    partners = pairs.join(sizes, "u").select(F.col("v").alias("node"), "u", F.pmod(F.xxhash64("v"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"))
+    """(u, v): links among each u and its partners, for ``pairs`` (u, v, nv); exactly, slice by slice."""
+    sizes = sliced(pairs)
+    partners = pairs.join(sizes, "u").select(F.col("v").alias("node"), "u", slice_of("v").alias("slice"), F.lit(1).alias("role"))
     heads = sizes.select(F.col("u").alias("node"), "u", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"))
     sent = partners.unionByName(heads).join(texts, "node").select("u", "slice", "role", "node", "packed")
 
     def run(batches: Iterator[dict]) -> Iterator[list]:
         unpacker, hashes = zstandard.ZstdDecompressor(), WordHashes()
-        head, mine = None, None
-        for b in batches:
-            out = []
-            for u, role, node, z in zip(b["u"], b["role"], b["node"], b["packed"]):
-                h = shingles(unpacker.decompress(z).lower().split(), n, hashes)
-                if role == 0:
-                    head, mine = u, h
-                else:
-                    assert head == u
-                    at = np.minimum(np.searchsorted(mine, h), len(mine) - 1)
-                    out.append((u, node, len(mine), len(h), int((mine[at] == h).sum())))
-            yield out
-
-    return map_rows(sent.repartition("u", "slice").sortWithinPartitions("u", "slice", "role", "node"), run, "u long, v long, nu long, nv long, overlap long")
+        rows = (r for b in batches for r in zip(b["u"], b["slice"], b["node"], b["packed"]))
+        for _, members in groupby(rows, key=lambda r: r[:2]):
+            nodes, sets = [], []
+            for _, _, node, z in members:  # the hub comes first
+                nodes.append(node)
+                sets.append(shingles(unpacker.decompress(z).lower().split(), n, hashes))
+            yield [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in slice_links(sets[0], sets[1:], least)]
 
+    return map_rows(sent.repartition("u", "slice").sortWithinPartitions("u", "slice", "role", "node"), run, "u long, v long")
 
-def linked(compared: DataFrame, least: int) -> DataFrame:
-    return compared.where(F.col("overlap") * (100 + least) >= least * (F.col("nu") + F.col("nv"))).select("u", "v")
 
-
-def open_pairs(lists: DataFrame, compared: DataFrame, groups: DataFrame, least: int) -> DataFrame:
-    """(u, v, sure): pairs of different components that a shared list leaves open; ``sure`` if the
-    overlaps with their hub already decide that they link."""
+def open_pairs(lists: DataFrame, pairs: DataFrame, groups: DataFrame, least: int) -> DataFrame:
+    """(u, v, nv): pairs of different components in a shared list that have not met in a slice."""
     named = lists.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
-    known = compared.select(F.col("u").alias("hub"), F.col("v").alias("node"), F.col("nu").alias("n_hub"), "overlap")
-    entries = named.join(several, "gram").join(known, ["hub", "node"], "left")
-    own = F.col("hub") == F.col("node")
-    size = F.shiftright("place", 32)
-    entries = entries.select("gram", "place", "node", "hub", "component", F.when(own, size).otherwise(F.col("n_hub")).alias("n_hub"), F.when(own, size).otherwise(F.col("overlap")).alias("overlap"))
+    sizes = sliced(pairs).withColumnRenamed("u", "hub")
+    # the hub itself has met the partners of every slice
+    met = F.when(F.col("hub") == F.col("node"), -1).otherwise(slice_of("node"))
+    entries = named.join(several, "gram").join(sizes, "hub", "left").select("gram", "place", "node", "hub", "component", F.coalesce(met, F.lit(-1)).alias("slice"))
 
     def run(batches: Iterator[dict]) -> Iterator[list]:
-        columns = ("gram", "place", "node", "hub", "component", "n_hub", "overlap")
+        columns = ("gram", "place", "node", "hub", "component", "slice")
         rows = (r for b in batches for r in zip(*(b[c] for c in columns)))
         out: list[tuple] = []
         for _, group in groupby(rows, key=lambda r: r[0]):
-            place, node, hub, component, n_hub, overlap = (np.array(c, np.int64) for c in list(zip(*group))[1:])
+            place, node, hub, component, part = (np.array(c, np.int64) for c in list(zip(*group))[1:])
             size, pos = place >> 32, place & 0xFFFFFFFF
             first = 0
             for i in range(1, len(node)):
                 while 100 * size[first] < least * size[i]:
                     first += 1
-                js = first + np.flatnonzero(component[first:i] != component[i])
-                need = needed(least, size[i], size[js])
-                js = js[np.minimum(size[i] - pos[i], size[js] - pos[js]) >= need]
-                if not len(js):
-                    continue
-                need = needed(least, size[i], size[js])
-                same = hub[js] == hub[i]
-                upper = np.minimum(overlap[js], overlap[i]) + np.minimum(size[js] - overlap[js], size[i] - overlap[i])
-                lower = overlap[js] + overlap[i] - n_hub[i]
-                keep = ~same | (upper >= need)
-                sure = same & (lower >= need)
-                out += [(max(a, node[i]), min(a, node[i]), s) for a, s in zip(node[js[keep]].tolist(), sure[keep].tolist())]
+                before = slice(first, i)
+                met = (hub[before] == hub[i]) & ((part[before] == part[i]) | (part[before] < 0) | (part[i] < 0))
+                reach = np.minimum(size[i] - pos[i], size[before] - pos[before])
+                keep = ~met & (component[before] != component[i]) & (reach >= needed(least, size[i], size[before]))
+                out += [(node[i], j, n) for j, n in zip(node[before][keep].tolist(), size[before][keep].tolist())]
             if len(out) > 50_000:
                 yield out
                 out = []
         yield out
 
-    found = map_rows(entries.repartition("gram").sortWithinPartitions("gram", "place", "node"), run, "u long, v long, sure boolean")
-    return found.groupBy("u", "v").agg(F.max("sure").alias("sure"))
+    found = map_rows(entries.repartition("gram").sortWithinPartitions("gram", "place", "node"), run, "u long, v long, nv long")
+    return found.distinct()
 
 
 def join(docs: DataFrame, n: int = 4, least: int = 85) -> DataFrame:
@@ -239,16 +283,13 @@ def join(docs: DataFrame, n: int = 4, least: int = 85) -> DataFrame:
     members = lists.select("node").distinct().join(classes.select("node", "one"), "node").select("node", F.col("one.doc_id").alias("n_id"), F.col("one.text_key").alias("n_key"))
     texts = stored(packed(docs).join(members, same_text("n")).select("node", "packed").dropDuplicates(["node"]), "ngram-texts")
 
-    pairs = lists.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    compared = stored(compare(pairs, texts, n, least), "ngram-compared")
-    links = linked(compared, least)
+    pairs = stored(lists.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v"), F.shiftright("place", 32).alias("nv")).distinct(), "ngram-pairs")
+    links = stored(compare(pairs, texts, n, least), "ngram-links")
     groups = stored(components(links), "ngram-groups")
 
-    more = stored(open_pairs(lists, compared, groups, least), "ngram-open")
+    more = stored(open_pairs(lists, pairs, groups, least), "ngram-open")
     if more.take(1):
-        sure = more.where("sure").select("u", "v")
-        links = links.unionByName(sure).unionByName(linked(compare(more.where("not sure").select("u", "v"), texts, n, least), least))
-        groups = stored(components(links), "ngram-groups")
+        groups = stored(components(links.unionByName(compare(more, texts, n, least))), "ngram-groups")
 
     named = classes.select("node", "set_key", F.col("one.doc_id").alias("smallest")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = named.groupBy("component").agg(F.min("smallest").alias("component_id"))

@@ -69,7 +69,8 @@ def test_random_groups_against_brute_force(spark, seed, kw):
 
 
 def test_small_slices(spark, monkeypatch):
-    monkeypatch.setattr(nj, "SLICE", 3)
+    monkeypatch.setattr(nj, "SLICE_SETS", 3)
+    monkeypatch.setattr(nj, "COLUMNS", 7)
     check(spark, near_copies(5, copies=20))
 
 
