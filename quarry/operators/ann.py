@@ -48,7 +48,7 @@ def train_cells(corpus: DataFrame, n_cells: int = 16, seed: int = 42, vec: str =
 def _nearest_cells(df: DataFrame, id_col: str, vec: str, cells: DataFrame, n: int) -> DataFrame:
     """(id, vec, cell): every row with each of its ``n`` nearest cells (cosine), the vector
     carried along; cells are broadcast (``n_cells`` rows, a parameter)."""
-    cent = cells.toPandas()
+    cent = cells.orderBy("cell").toPandas()
     sent = df.sparkSession.sparkContext.broadcast((cent["cell"].to_numpy(np.int64), _matrix(cent["centroid"])))
 
     def assign(batches):

@@ -68,35 +68,21 @@ def groundedness(answer: Column, context: Column) -> Column:
 
 
 def term_cosine(pairs: DataFrame, keys: list[str], left: str, right: str, out: str = "relevancy_score") -> DataFrame:
-    """E4 re-aimed: cosine of the term-count vectors of two texts per pair.
+    """E4 stand-in: cosine of the term-count vectors of two text columns per pair.
 
-    Sparse dot product as a join on (pair key, term): linear in tokens, and a
-    hot term spreads over pairs instead of piling onto one task.
+    Both texts of a pair are exploded once; one aggregation by (pair, term) counts a
+    term on either side, a second by pair sums the products, so a hot term spreads
+    over the pairs.  Null when either side has no term.
     """
-    def counts(col: str, name: str) -> DataFrame:
-        return (
-            pairs.select(*keys, F.explode_outer(tokenize(col)).alias("term"))
-            .filter(F.col("term").isNotNull())
-            .groupBy(*keys, "term")
-            .agg(F.count(F.lit(1)).cast("double").alias(name))
-        )
-
-    a, b = counts(left, "ta"), counts(right, "tb")
-    na = a.groupBy(*keys).agg(F.sqrt(F.sum(F.col("ta") * F.col("ta"))).alias("na"))
-    nb = b.groupBy(*keys).agg(F.sqrt(F.sum(F.col("tb") * F.col("tb"))).alias("nb"))
-    dotp = a.join(b, [*keys, "term"]).groupBy(*keys).agg(F.sum(F.col("ta") * F.col("tb")).alias("dot"))
-    res = (
-        pairs.select(*keys)
-        .join(dotp, keys, "left")
-        .join(na, keys, "left")
-        .join(nb, keys, "left")
-        .select(
-            *keys,
-            F.when((F.col("na") > 0) & (F.col("nb") > 0), F.coalesce("dot", F.lit(0.0)) / (F.col("na") * F.col("nb")))
-            .alias(out),
-        )
-    )
-    return res
+    def side(text: str, a: float, b: float):
+        tokens = F.coalesce(tokenize(text), F.array().cast("array<string>"))
+        return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(a).alias("a"), F.lit(b).alias("b")))
+
+    rows = pairs.select(*keys, F.explode_outer(F.concat(side(left, 1.0, 0.0), side(right, 0.0, 1.0))).alias("t"))
+    counts = rows.groupBy(*keys, "t.term").agg(F.sum("t.a").alias("a"), F.sum("t.b").alias("b"))
+    a, b = F.sqrt(F.sum(F.col("a") * F.col("a"))), F.sqrt(F.sum(F.col("b") * F.col("b")))
+    sums = counts.groupBy(*keys).agg(F.sum(F.col("a") * F.col("b")).alias("_dot"), a.alias("_a"), b.alias("_b"))
+    return sums.select(*keys, F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_dot") / (F.col("_a") * F.col("_b"))).alias(out))
 
 
 def per_query(

@@ -5,6 +5,9 @@
 * Dense retrieval: every vector queries the others (top 5); relevant = same label.
 * Judges (re-aimed, model-free): conversations -- each assistant turn is an
   answer to the user turn right before it (turn - 1).
+* Per query: the answer to question i is the first assistant turn of conversation
+  i, judged for groundedness in the retrieved texts and for relevancy to the
+  question; its latency is the value of event i.
 * Run log: events, ``value`` read as latency in seconds, per event type.
 """
 
@@ -90,14 +93,15 @@ def eval_relevancy(spark: SparkSession, sf: str):
 def _per_query(spark, sf):
     q, texts, retrieval = _sparse_eval(spark, sf)
     ctx = texts.groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("context"))
-    faith = ctx.join(q, "query_id").select(
-        "query_id", evaluate.groundedness(F.col("text"), F.col("context")).alias("faithfulness_score")
-    )
-    pairs = texts.filter(F.col("rank") == 1).select(
-        "query_id", F.col("text").alias("answer"), F.col("qtext").alias("question")
+    said = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    answers = said.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("answer"))
+    faith = ctx.join(answers, "query_id").select(
+        "query_id", evaluate.groundedness(F.col("answer"), F.col("context")).alias("faithfulness_score")
     )
+    pairs = q.join(answers, "query_id").select("query_id", "answer", F.col("text").alias("question"))
     relev = evaluate.term_cosine(pairs, ["query_id"], "question", "answer")
-    return evaluate.per_query(retrieval, faith, relev)
+    latency = table(spark, sf, "events").select(F.col("event_id").alias("query_id"), F.col("value").alias("latency_sec"))
+    return evaluate.per_query(retrieval, faith, relev, latency)
 
 
 def eval_per_query(spark: SparkSession, sf: str):
@@ -160,23 +164,26 @@ SELECT a.conv_id, a.turn, a.text AS answer, u.text AS question
 FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn
 WHERE a.role = 'assistant' AND u.role = 'user'"""
 
+_ANSWERS = "SELECT conv_id AS query_id, min_by(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id"
+
 _PER_QUERY = f"""
 {_SPARSE_EVAL},
   ctx AS (SELECT h.query_id, string_agg(d.text, ' ') AS context
           FROM h JOIN documents d ON d.doc_id = h.node_id GROUP BY h.query_id),
-  faith AS (SELECT ctx.query_id, {_grounded_sql('b.text', 'ctx.context')} AS faithfulness_score
-            FROM ctx JOIN benchmark b ON b.item_id = ctx.query_id),
+  answers AS ({_ANSWERS}),
+  faith AS (SELECT ctx.query_id, {_grounded_sql('a.answer', 'ctx.context')} AS faithfulness_score
+            FROM ctx JOIN answers a ON a.query_id = ctx.query_id),
   relev AS ({_cosine_sql(
-    "SELECT h.query_id, b.text AS question, d.text AS answer FROM (" + BM25_TOPK_SQL + ") h "
-    "JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.node_id WHERE h.rank = 1",
+    f"SELECT b.item_id AS query_id, b.text AS question, a.answer FROM benchmark b JOIN ({_ANSWERS}) a ON a.query_id = b.item_id",
     ["query_id"], "question", "answer")})
 SELECT r.query_id, r.hit_rate, r.mrr,
        coalesce(faith.faithfulness_score, 0.0::DOUBLE) AS faithfulness_score,
        coalesce(faith.faithfulness_score >= 0.5::DOUBLE, false) AS faithfulness_pass,
        coalesce(relev.relevancy_score, 0.0::DOUBLE) AS relevancy_score,
        coalesce(relev.relevancy_score >= 0.5::DOUBLE, false) AS relevancy_pass,
-       0.0::DOUBLE AS latency_sec
-FROM r LEFT JOIN faith ON faith.query_id = r.query_id LEFT JOIN relev ON relev.query_id = r.query_id"""
+       round(coalesce(ev.value, 0.0::DOUBLE), 3) AS latency_sec
+FROM r LEFT JOIN faith ON faith.query_id = r.query_id LEFT JOIN relev ON relev.query_id = r.query_id
+LEFT JOIN events ev ON ev.event_id = r.query_id"""
 
 _DENSE_HITS = _topk_sql("q.vec_id <> c.vec_id")
 
