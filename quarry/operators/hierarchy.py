@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.topk import materialize, rank_by_score
+from quarry.operators.topk import rank_by_score, store
 
 # Fixed value: merge when retrieved/total children is strictly above this.
 MERGE_RATIO = 0.5
@@ -84,22 +84,22 @@ def automerge(
     the order the library retriever uses; the default merges only.
     Output: (query_id, node_id, score, rank).
     """
-    # The hit list is bounded (k per query); it is materialised once so the
+    # The hit list is bounded (k per query); it is written once so the
     # retrieval behind it is not re-run by each reader.
-    hits = materialize(hits.select("query_id", "node_id", "score"))
+    hits = store(hits.select("query_id", "node_id", "score"), "merge-hits")
     nodes = nodes.drop("text")
     if "doc_id" in nodes.columns:
         # merging stays inside documents: look up only the nodes of the hits' documents
         docs = hits.select("node_id").join(nodes.select("node_id", "doc_id"), "node_id").select("doc_id").distinct()
         nodes = nodes.join(docs, "doc_id", "left_semi")
-    nodes = materialize(nodes)
+    nodes = store(nodes, "merge-nodes")
     info = node_info(nodes)
     cur = hits.join(info, "node_id")
     for _ in range(depth - 1):
         if fill:
             # a few rows per query; kept, as each pass reads its input several times
-            ranked = materialize(rank_by_score(cur, ["query_id"]))
-            cur = materialize(fill_gaps(ranked, nodes).select("query_id", "node_id", "score").join(info, "node_id"))
+            ranked = store(rank_by_score(cur, ["query_id"]), "merge-ranked")
+            cur = store(fill_gaps(ranked, nodes).select("query_id", "node_id", "score").join(info, "node_id"), "merge-filled")
         cur = merge_once(cur, info, threshold)
     return rank_by_score(cur.drop("parent_id", "pn"), ["query_id"])
 

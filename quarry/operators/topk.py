@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import work_path
+
 def materialize(df: DataFrame) -> DataFrame:
     """Persist ``df`` and compute it once, now.
 
@@ -23,6 +25,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back: the lineage
+    is cut, nothing stays cached, and a lost executor costs no recomputation."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def top_k(
     df: DataFrame,
     partition_by: Sequence[str],
