@@ -309,9 +309,14 @@ def cut_contexts(docs: DataFrame, wanted: DataFrame, shape: Shape) -> DataFrame:
 
 
 def find_anchors(docs: DataFrame, shape: Shape) -> DataFrame:
-    """The anchors whose string occurs more than once; stored."""
+    """The anchors whose string occurs more than once; stored.
+
+    Here and below the small side of a join on anchor strings is stored first: both
+    sides are then plain exchanges, and Spark can split a string that a third of
+    all anchors share.
+    """
     every = stored(anchors(docs, shape), "suffix-anchors")
-    repeated = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    repeated = stored(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-strings")
     return stored(every.join(repeated, "gram"), "suffix-repeated")
 
 
@@ -325,7 +330,7 @@ def repeats(docs: DataFrame, found: DataFrame, shape: Shape = Shape()) -> DataFr
     copies = classes.where((F.col("n") > 1) & (whole >= shape.slack)).select(
         F.xxhash64("gram", "context").alias("repeat_id"), (whole + shape.gram).alias("length"), "gram", "context", F.col("before").alias("left"), F.col("after").alias("right")
     )
-    several = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
+    several = stored(classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1"), "suffix-several")
     wanted = classes.join(several, "gram").select("p.doc_id", "p.text_key", "p.at", "gram", "context", (F.col("classes") > shape.most).alias("hot"))
     contexts = stored(cut_contexts(docs, wanted, shape), "suffix-contexts")
     out = copies.unionByName(tree_repeats(contexts.where("not hot"), shape))
@@ -346,7 +351,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) per row: the removed byte ranges, and the remaining bytes."""
     found = find_anchors(docs, shape)
-    reach = repeats(docs, found, shape).groupBy("gram", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    reach = stored(repeats(docs, found, shape).groupBy("gram", "context").agg(F.max("left").alias("left"), F.max("right").alias("right")), "suffix-reach")
     covered = found.join(reach, ["gram", "context"]).select("doc_id", "text_key", F.struct((F.col("at") - F.col("left")).alias("start"), (F.col("at") + shape.gram + F.col("right")).alias("end")).alias("span"))
     spans = covered.groupBy(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")).agg(F.collect_set("span").alias("spans"))
 
