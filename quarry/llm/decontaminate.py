@@ -4,16 +4,18 @@ A mask such as ``1110111`` hashes the tokens at its 1s and ignores the others, s
 a passage with substituted tokens still agrees with the benchmark wherever the
 substitutions fall on the 0s of one of the masks.
 
-1. Benchmark items become passages of at most ``PASSAGE`` tokens; equal passages
-   count once, under their smallest item id.
-2. The passages go to every task in blocks of at most ``block_tokens`` (a fixed
+1. Benchmark items (equal ones count once, under their smallest item id) become
+   passages of at most ``PASSAGE`` tokens; those of a longer item overlap, and
+   its tokens stay together in stretches of at most ``STRETCH``, which overlap too.
+2. The stretches go to every task in blocks of about ``block_tokens`` (a fixed
    bound; a larger benchmark means more blocks, not larger ones): per mask the
-   sorted hashes of all positions.
+   sorted hashes of all positions in their passages.
 3. Each text's windows are hashed with the same masks and looked up, all texts of
    a batch at once.  A hit fixes a diagonal; along it the tokens are compared and
    the best run with at least 2 equal tokens per substitution is taken.
-4. A text holds a passage if that run has at least ``MIN_TOKENS`` equal tokens
-   and half of the passage's.
+4. A text holds an item if that run has ``ENOUGH`` equal tokens or half of the
+   item's, whichever is less, and at least ``MIN_TOKENS``.  In a longer item the
+   run is then taken along the diagonal of the whole stretch.
 
 Texts never move: the result is an array column ``leaks`` on each row.
 
@@ -34,16 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import add_columns, documents, map_rows, stored
 from quarry.sources.tables import table
 
 MASKS = ("1110111", "11011011", "1111011", "110101011")
-PASSAGE = 256
+PASSAGE, STRETCH, OVERLAP = 256, 1 << 15, 64
 SHORTEST = 5
-MIN_TOKENS = 8
+MIN_TOKENS, ENOUGH = 8, 13
 PENALTY = 2
 BLOCK_TOKENS = 250_000
 #: Tokens of texts hashed at once, and hits verified at once.
@@ -72,6 +74,16 @@ class TokenNumbers(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def least_equal(item_tokens: int) -> int:
+    """Equal tokens that a run needs in an item of so many tokens."""
+    return min(ENOUGH, max(min(MIN_TOKENS, item_tokens), -(-item_tokens // 2)))
+
+
+def overlapping(n: int, size: int) -> list[tuple[int, int]]:
+    """(start, end) of parts of at most ``size``; every ``OVERLAP`` neighbours share a part."""
+    return [(a, min(a + size, n)) for a in range(0, max(n - OVERLAP, 1), size - OVERLAP)]
+
+
 def window_hashes(numbers: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the masked tokens at each window start."""
     n = len(numbers) - len(mask) + 1
@@ -84,19 +96,20 @@ def window_hashes(numbers: np.ndarray, mask: str) -> np.ndarray:
 
 
 class Seeds:
-    """The positions of a block of passages by masked hash."""
+    """The positions of a block's passages by masked hash."""
 
-    def __init__(self, passages: list[tuple], masks: tuple[str, ...] = MASKS):
-        """passages: (item_id, [token numbers])."""
-        self.passages = [(item, np.array(numbers, np.uint64)) for item, numbers in passages]
+    def __init__(self, stretches: list[tuple], masks: tuple[str, ...] = MASKS):
+        """stretches: (item_id, tokens of the whole item, [token numbers])."""
+        self.stretches = [(item, n, np.array(numbers, np.uint64)) for item, n, numbers in stretches]
+        self.passages = [(k, a, t[a:b]) for k, (_, _, t) in enumerate(self.stretches) for a, b in overlapping(len(t), PASSAGE)]
         widest = max(map(len, masks))
-        lengths = {len(p) for _, p in self.passages if SHORTEST <= len(p) < widest}
+        lengths = {len(p) for _, _, p in self.passages if SHORTEST <= len(p) < widest}
         self.index = [self._index(m, False) for m in masks] + [self._index("1" * n, True) for n in sorted(lengths)]
         self.index = [x for x in self.index if len(x[1])]
 
     def _index(self, mask: str, whole: bool) -> tuple:
         hashes, owner, place = [], [], []
-        for i, (_, p) in enumerate(self.passages):
+        for i, (_, _, p) in enumerate(self.passages):
             if len(p) >= SHORTEST and (len(p) == len(mask) or not whole):
                 h = window_hashes(p, mask)
                 hashes.append(h)
@@ -135,7 +148,7 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
 
 
 def find_leaks(texts: list[str | None], seeds: Seeds, numbers_of: TokenNumbers) -> list[list[tuple]]:
-    """The leaks of each text: (item_id, start token, length, equal tokens, passage tokens)."""
+    """The leaks of each text: (item_id, start token, length, equal tokens, item tokens)."""
     out: list[list[tuple]] = []
     group: list[np.ndarray] = []
     room = 0
@@ -158,16 +171,26 @@ def scan_group(group: list[np.ndarray], seeds: Seeds) -> list[list[tuple]]:
             # a window may straddle texts; the run is cut at the edges of the text its middle lies in
             pairs = np.unique(np.stack((owner, diagonal)), axis=1)
             for p, d in pairs.T.tolist():
-                item, passage = seeds.passages[p]
+                k, offset, passage = seeds.passages[p]
+                item, item_tokens, stretch = seeds.stretches[k]
+                least = least_equal(item_tokens)
                 lo, hi = max(d, 0), min(d + len(passage), len(numbers))
                 doc = int(np.searchsorted(edges, lo, "right")) - 1
                 while doc < len(group) and edges[doc] < hi:
-                    a, b = max(lo, int(edges[doc])), min(hi, int(edges[doc + 1]))
-                    if b - a >= min(MIN_TOKENS, len(passage)) and (doc, p, d) not in seen:
+                    first, last = int(edges[doc]), int(edges[doc + 1])
+                    a, b = max(lo, first), min(hi, last)
+                    if b - a >= min(MIN_TOKENS, len(passage)) and not seen & {(doc, p, d), (doc, k, d - offset, "whole")}:
                         seen.add((doc, p, d))
                         start, length, matched = best_run(numbers[a:b] == passage[a - d : b - d])
-                        if matched >= min(MIN_TOKENS, len(passage)) and 2 * matched >= len(passage):
-                            row = (item, a + start - int(edges[doc]), length, matched, len(passage))
+                        if matched >= least and len(stretch) > len(passage):
+                            seen.add((doc, k, d - offset, "whole"))
+                            shift = d - offset
+                            c, e = max(shift, first), min(shift + len(stretch), last)
+                            longer = best_run(numbers[c:e] == stretch[c - shift : e - shift])
+                            if longer[2] >= matched:
+                                a, (start, length, matched) = c, longer
+                        if matched >= least:
+                            row = (item, a + start - first, length, matched, item_tokens)
                             old = found[doc].get(item)
                             if old is None or (-row[3], row[1]) < (-old[3], old[1]):
                                 found[doc][item] = row
@@ -175,33 +198,49 @@ def scan_group(group: list[np.ndarray], seeds: Seeds) -> list[list[tuple]]:
     return [sorted(f.values(), key=lambda r: (r[0] is not None, r[0], r[1])) for f in found]
 
 
-def passages(benchmark: DataFrame) -> DataFrame:
-    """(item_id, numbers): distinct passages of the benchmark's items."""
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, numbers): distinct items as token numbers."""
 
-    def cut(batches: Iterator[dict]) -> Iterator[list]:
+    def read(batches: Iterator[dict]) -> Iterator[list]:
         numbers_of = TokenNumbers()
         for b in batches:
-            out = []
-            for item, text in zip(b["item_id"], b["text"]):
-                n = numbers_of.of(tokens(text)).astype(np.int64)
-                parts = max(1, -(-len(n) // PASSAGE))
-                out += [(item, p.tolist()) for p in np.array_split(n, parts) if len(p) >= SHORTEST]
-            yield out
-
-    rows = map_rows(benchmark.select(F.col("item_id").cast("long"), "text"), cut, "item_id long, numbers array<long>")
+            rows = ((item, numbers_of.of(tokens(text)).astype(np.int64)) for item, text in zip(b["item_id"], b["text"]))
+            yield [(item, n.tolist()) for item, n in rows if len(n) >= SHORTEST]
+
+    rows = map_rows(benchmark.select(F.col("item_id").cast("long"), "text"), read, "item_id long, numbers array<long>")
     return rows.groupBy("numbers").agg(F.min("item_id").alias("item_id"))
 
 
+def stretches(items: DataFrame) -> DataFrame:
+    """(item_id, item_tokens, offset, numbers): items in overlapping stretches of at most ``STRETCH`` tokens."""
+
+    def cut(batches: Iterator[dict]) -> Iterator[list]:
+        for b in batches:
+            for item, n in zip(b["item_id"], b["numbers"]):
+                yield [(item, len(n), start, n[start:end]) for start, end in overlapping(len(n), STRETCH)]
+
+    return map_rows(items.select("item_id", "numbers"), cut, "item_id long, item_tokens int, offset long, numbers array<long>")
+
+
+def best_of_each(leaks: Column) -> Column:
+    """Of several entries of an item, from stretches in different blocks, the one that ``scan_group`` would keep."""
+    rank = lambda x: F.struct(-x["matched"], x["start"])
+    better = lambda y, j, x, i: y["item_id"].eqNullSafe(x["item_id"]) & ((rank(y) < rank(x)) | ((rank(y) == rank(x)) & (j < i)))
+    numbered = F.transform(leaks, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    kept = F.filter(numbered, lambda a: ~F.exists(numbered, lambda b: better(b["x"], b["i"], a["x"], a["i"])))
+    return F.transform(kept, lambda a: a["x"])
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``docs`` with an array column ``leaks``: one entry per benchmark item found in the text."""
-    parts = stored(passages(benchmark), "benchmark-passages")
+    parts = stored(stretches(distinct_items(benchmark)), "benchmark-stretches")
     blocks = -(-(parts.agg(F.sum(F.size("numbers"))).first()[0] or 0) // block_tokens)
     docs = docs.withColumn("leaks", F.array().cast(LEAKS))
     for i in range(blocks):
         rows = parts.where(F.pmod(F.xxhash64("numbers"), F.lit(blocks)) == i).collect()  # at most about block_tokens numbers
-        sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, np.array(r.numbers, np.int64).view(np.uint64)) for r in rows])
+        sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.item_tokens, np.array(r.numbers, np.int64).view(np.uint64)) for r in rows])
         docs = add_columns(docs, text, finder(sent), f"_found {LEAKS}").withColumn("leaks", F.concat("leaks", "_found")).drop("_found")
-    return docs
+    return docs.withColumn("leaks", best_of_each(F.col("leaks"))) if blocks > 1 else docs
 
 
 def finder(sent):
@@ -214,7 +253,7 @@ def finder(sent):
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (document, benchmark item) whose passage the document holds."""
+    """One row per (document, benchmark item) of which the document holds enough."""
     out = with_leaks(documents(spark, sf_dir, "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", F.inline("leaks"))
 

@@ -77,3 +77,28 @@ def test_long_items_are_found_by_their_passages(spark):
     w = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(1000)]
     got = leaks(spark, [(1, " ".join(w[300:520]))], [(9, " ".join(w))])
     assert list(got.values())[0].keys() == {9}
+
+
+def test_verbatim_stretches_count_wherever_they_lie(spark):
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    own = {1: words(40), 2: words(256), 3: words(500), 4: words(1000), 5: words(60)}
+    cuts = {1: (5, 24), 2: (60, 187), 3: (126, 374), 4: (250, 263), 5: (20, 32)}  # 12 tokens of item 5 are too few
+    docs = [(i, " ".join(words(30) + own[i][a:b] + words(30))) for i, (a, b) in cuts.items()]
+    docs += [(100 + a, " ".join(words(9) + own[4][a : a + 13])) for a in range(0, 988, 7)]
+    got = leaks(spark, docs, [(i, " ".join(w)) for i, w in own.items()])
+    for (doc, _), found in got.items():
+        a, b = cuts.get(doc, (0, 13))
+        assert found == ({} if doc == 5 else {4 if doc >= 100 else doc: b - a})
+
+
+def test_stretches_of_one_item_give_one_row(spark):
+    w = [f"w{i}" for i in range(3000)]
+    items = [(1, " ".join(w[:10] + w[2000:2020])), (7, " ".join(w))]
+    d = spark.createDataFrame([(1, " ".join(w[400:1500]))], "doc_id long, text string")
+    got = dc.with_leaks(d, spark.createDataFrame(items, "item_id long, text string"), block_tokens=500).first().leaks
+    assert [(x.item_id, x.start, x.length, x.matched, x.passage_tokens) for x in got] == [(7, 0, 1100, 1100, 3000)]
+    assert dc.overlapping(70_000, 32_768)[-1][1] == 70_000
+    entries = [(7, 0, 30, 30, 99), (7, 5, 40, 40, 99), (None, 1, 20, 20, 50), (7, 9, 40, 40, 99)]
+    row = spark.createDataFrame([(entries,)], f"leaks {dc.LEAKS}").select(dc.best_of_each("leaks").alias("leaks")).first()
+    assert [tuple(x) for x in row.leaks] == [entries[1], entries[2]]
