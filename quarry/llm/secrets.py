@@ -12,7 +12,8 @@ and non-overlapping:
   log2(w) - sum / w.  Overlapping windows at or over the class's threshold merge
   into one span.  Candidates on the allow-list (plain words and numbers, UUIDs,
   integrity digests by prefix, placeholders, ordered alphabets) are suppressed,
-  and a span that overlaps a pattern span is not reported twice.
+  and what a pattern span covers is not reported twice: the rest of an entropy
+  span is kept where it still holds a high window (likewise base64 beside hex).
 
 Positions need no search: ``split`` gives the text between matches and
 ``regexp_extract_all`` the matches, and their lengths sum up to the starts.
@@ -155,9 +156,32 @@ def entropy_spans(kind: str, matches: Column, pieces: Column) -> Column:
     return F.flatten(runs).cast(SPAN)
 
 
+def uncovered(spans: Column, covers: Column, kind: str, body: Column) -> Column:
+    """``spans`` of one entropy kind without what ``covers`` (by start) holds; of a cut span the parts with a high window."""
+    _, alphabet, least = CLASSES[kind]
+    state = lambda at, parts: F.struct(at.alias("at"), parts.alias("parts"))
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"))
+
+    def rest(x: Column, over: Column) -> Column:
+        step = lambda s, c: state(F.greatest(s["at"], c["end"]), F.concat(s["parts"], F.array(piece(s["at"], c["start"]))))
+        done = lambda s: F.concat(s["parts"], F.array(piece(s["at"], x["end"])))
+        parts = F.aggregate(over, state(x["start"], F.array().cast(SPAN)), step, done)
+        high = lambda p: F.size(high_windows(F.substr(body, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")), alphabet, least)) > 0
+        return F.filter(F.filter(parts, lambda p: p["end"] - p["start"] >= WINDOW), high)
+
+    def cut(x: Column) -> Column:
+        over = F.filter(covers, lambda c: (c["start"] < x["end"]) & (x["start"] < c["end"]))
+        return F.element_at(F.transform(F.array(over), lambda o: F.when(F.size(o) == 0, F.array(x)).otherwise(rest(x, o))), 1)
+
+    return F.flatten(F.transform(spans, cut)).cast(SPAN)
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``base`` (pattern spans) and ``found`` (base and entropy spans), arrays
-    of (start, kind_no, end) by start, then kind; ``kind_no`` indexes ``KINDS``."""
+    """Add ``base`` (pattern spans), ``found`` (and entropy spans that touch none of
+    them) and ``whole`` (and what they leave of the others), arrays of
+    (start, kind_no, end) by start, then kind; ``kind_no`` indexes ``KINDS``."""
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(SPAN)
     out = docs.withColumns({f"_m_{k}": matches_of(body, k) for k in KINDS})
@@ -172,7 +196,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     # a hexadecimal run is a base64 run as well: report it once
     hexes = F.filter(more, lambda x: x["kind_no"] == KINDS.index("entropy_hex"))
     more = F.filter(more, lambda x: (x["kind_no"] == KINDS.index("entropy_hex")) | ~F.exists(hexes, lambda h: (h["start"] < x["end"]) & (x["start"] < h["end"])))
-    return out.withColumn("found", F.when(sum(F.size(f"_s_{k}") for k in CLASSES) > 0, F.array_sort(F.concat("base", more))).otherwise(F.col("base"))).drop(*[f"_{c}_{k}" for c in "mps" for k in KINDS])
+    any_entropy = sum(F.size(f"_s_{k}") for k in CLASSES) > 0
+    out = out.withColumn("found", F.when(any_entropy, F.array_sort(F.concat("base", more))).otherwise(F.col("base")))
+    out = out.withColumn("_hexes", F.when(F.size("_s_entropy_hex") > 0, uncovered(F.col("_s_entropy_hex"), F.col("base"), "entropy_hex", body)).otherwise(none))
+    covers = F.when(F.size("_hexes") > 0, F.array_sort(F.concat("base", "_hexes"))).otherwise(F.col("base"))
+    rest = F.when(F.size("_s_entropy_base64") > 0, uncovered(F.col("_s_entropy_base64"), covers, "entropy_base64", body)).otherwise(none)
+    out = out.withColumn("whole", F.when(any_entropy, F.array_sort(F.concat("base", "_hexes", rest))).otherwise(F.col("base")))
+    return out.drop("_hexes", *[f"_{c}_{k}" for c in "mps" for k in KINDS])
 
 
 def listed(spans: Column) -> Column:
@@ -204,7 +234,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *[count(k).alias(f"n_{k}") for k in PATTERNS],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
-        listed(F.col("found")).alias("spans"),
+        listed(F.col("whole")).alias("spans"),
     )
 
 

@@ -77,3 +77,25 @@ def test_redaction_removes_what_was_found_and_keeps_clean_texts(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.scan(docs).count() == 0
+
+
+def found_in(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.f for r in secrets.scan(docs).select("doc_id", secrets.listed(F.col("whole")).alias("f")).orderBy("doc_id").collect()]
+
+
+def test_the_rest_of_a_covered_span_is_kept(spark):
+    token, digits = "A8s7dK2lQpZ0xY9vB3nM5tR1wE6u", "d41d8cd98f00b204e9800998ecf8427e"
+    texts = [f"https://h.io/{digits}/{token}", f"é {token}/{digits}/{token}", f"{token[:12]}/{digits}", f"{digits[:24].upper()}/{token}"]
+    assert found_in(spark, texts) == [
+        "hex:13:45,entropy_base64:45:74",
+        "entropy_base64:2:31,hex:31:63,entropy_base64:63:92",
+        "hex:13:45",
+        "entropy_hex:0:23,entropy_base64:23:53",  # the last window of the 24 digits is not high
+    ]
+
+
+def test_the_query_reports_the_rest_of_a_covered_span(spark, tmp_path):
+    text = "https://h.io/d41d8cd98f00b204e9800998ecf8427e/A8s7dK2lQpZ0xY9vB3nM5tR1wE6u"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.spans for r in secrets.op8_secret_scan(spark, str(tmp_path)).collect()] == ["hex:13:45,entropy_base64:45:74"]
