@@ -10,8 +10,10 @@ and non-overlapping:
   candidate; counts per character and the sum of c*log2(c) are updated for the
   one character that leaves and the one that enters, and the Shannon entropy is
   log2(w) - sum / w.  Overlapping windows at or over the class's threshold merge
-  into one span.  Candidates on the allow-list (plain words and numbers, UUIDs,
-  integrity digests by prefix, placeholders, ordered alphabets) are suppressed,
+  into one span.  Segments (between separators) with a placeholder or an ordered
+  alphabet and a leading integrity digest of its full length are cut out of a
+  candidate; the parts that remain are scanned, if they are not on the allow-list
+  (word-like strings, numbers, UUIDs),
   and what a pattern span covers is not reported twice: the rest of an entropy
   span is kept where it still holds a high window (likewise base64 beside hex).
 
@@ -50,13 +52,25 @@ CLASSES = {
     "entropy_base64": (r"[0-9A-Za-z+/_=-]{20,}", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.9),
 }
 WINDOW = 20
-#: Candidates that match one of these are no secrets.
+#: An integrity digest by prefix: all of its hexadecimal or base64 digits, not followed by more.
+DIGEST = "(?:" + "|".join(f"{name}[-=_](?:[0-9A-Fa-f]{{{bits // 4}}}|[0-9A-Za-z+/_-]{{{-(-bits // 6)}}}={{0,{-(bits // 8) % 3}}})" for name, bits in (("md5", 128), ("sha1", 160), ("sha256", 256), ("sha384", 384), ("sha512", 512))) + ")(?![0-9A-Za-z+])"
+#: A segment, a run without separators, that holds one of these words.
+PLACEHOLDER = r"(?<![0-9A-Za-z+])[0-9A-Za-z+]*(?i:example|placeholder|changeme|dummy|xxxxxx|0123456789|abcdefgh)[0-9A-Za-z+]*"
+#: Pairs of letters that are usual in words of the four languages and in identifiers.
+PAIRS = (
+    "a[bcdgilmnprstuvy]|b[aeilorsuy]|c[aehiklorstu]|d[aeiorsuy]|e[acdefgilmnprstuvwxy]|f[aefilortu]|g[aehilnorstu]|h[aeiortuy]|i[acdefglmnoprstvz]"
+    "|j[aeou]|k[aeinsy]|l[adefiklostuvy]|m[abeimopsuy]|n[acdefgiknostuvy]|o[abcdfgiklmnoprstuvwxy]|p[aehiloprstuy]|qu|r[acdeghiklmnoprstuvy]"
+    "|s[acehikmnopqstuwy]|t[acehilorstuwyz]|u[abcdefgilmnprstv]|v[aeioy]|w[aehinors]|x[aceipt]|y[aelmnopst]|z[aeiotuyz]"
+)
+#: Two other pairs in a row; a string without digits is word-like if it has this in one place at most.
+ODD = f"(?:(?!{PAIRS})[a-z](?=[a-z])){{2}}"
+#: Parts that match one of these are no secrets.
 ALLOWED = (
     r"^[0-9+/_=-]+$",
-    r"^[A-Za-z+/_=-]+$",
+    rf"(?i)^(?!.*?{ODD}.*?{ODD})[a-z+/_=-]+$",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^(sha1|sha256|sha384|sha512|md5)[-=_]",
-    r"(?i)example|placeholder|changeme|dummy|xxxxxx|0123456789|abcdefgh",
+    rf"^{DIGEST}$",
+    rf"^{PLACEHOLDER}$",
 )
 KINDS = [*PATTERNS, *CLASSES]
 SPAN = "array<struct<start:bigint,kind_no:int,end:bigint>>"
@@ -142,6 +156,22 @@ def allowed(candidate: Column) -> Column:
     return reduce(lambda a, b: a | b, [candidate.rlike(p) for p in ALLOWED])
 
 
+def secret_runs(candidate: Column, kind: str) -> Column:
+    """``high_windows`` of the parts of ``candidate`` that the allow-list leaves."""
+    _, alphabet, least = CLASSES[kind]
+    cut = rf"^{DIGEST}|{PLACEHOLDER}"
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    runs = lambda part: F.when((F.length(part) < WINDOW) | allowed(part), none).otherwise(high_windows(part, alphabet, least))
+
+    def of_parts(taken: Column, parts: Column) -> Column:
+        after = F.zip_with(starts(taken, parts), taken, lambda s, m: (s + F.length(m)).cast("int"))
+        moved = lambda part, at: F.transform(runs(part), lambda r: F.struct((at + r["start"]).alias("start"), (at + r["end"]).alias("end")))
+        return F.flatten(F.zip_with(parts, F.concat(F.array(F.lit(0)), after), moved))
+
+    whole = F.regexp_extract_all(candidate, F.lit(cut), F.lit(0))
+    return F.when(candidate.rlike(cut), of_parts(whole, F.split(candidate, cut, -1))).otherwise(runs(candidate))
+
+
 def pattern_spans(kind: str, matches: Column, pieces: Column) -> Column:
     _, group, least = PATTERNS[kind]
     measured = lambda m: F.length(F.regexp_extract(m, pattern_of(kind), group))
@@ -150,9 +180,8 @@ def pattern_spans(kind: str, matches: Column, pieces: Column) -> Column:
 
 
 def entropy_spans(kind: str, matches: Column, pieces: Column) -> Column:
-    _, alphabet, least = CLASSES[kind]
-    at = F.filter(F.zip_with(starts(matches, pieces), matches, lambda s, m: F.struct(s.alias("start"), m.alias("match"))), lambda x: ~allowed(x["match"]))
-    runs = F.transform(at, lambda x: F.transform(high_windows(x["match"], alphabet, least), lambda r: F.struct((x["start"] + r["start"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), (x["start"] + r["end"]).alias("end"))))
+    at = F.zip_with(starts(matches, pieces), matches, lambda s, m: F.struct(s.alias("start"), m.alias("match")))
+    runs = F.transform(at, lambda x: F.transform(secret_runs(x["match"], kind), lambda r: F.struct((x["start"] + r["start"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), (x["start"] + r["end"]).alias("end"))))
     return F.flatten(runs).cast(SPAN)
 
 
@@ -219,8 +248,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
             _, group, least = PATTERNS[kind]
             secret = lambda m, k=kind, g=group, n=least: F.length(F.regexp_extract(m, pattern_of(k), g)) >= n
         else:
-            _, alphabet, least = CLASSES[kind]
-            secret = lambda m, a=alphabet, n=least: ~allowed(m) & (F.size(high_windows(m, a, n)) > 0)
+            secret = lambda m, k=kind: F.size(secret_runs(m, k)) > 0
         docs = docs.withColumn("_m", matches_of(F.col(text), kind))
         hidden = F.transform("_m", lambda m: F.when(secret(m), F.lit(mark)).otherwise(m))
         rebuilt = F.array_join(F.flatten(F.zip_with(F.split(F.col(text), pattern_of(kind), -1), F.concat(hidden, F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")

@@ -99,3 +99,23 @@ def test_the_query_reports_the_rest_of_a_covered_span(spark, tmp_path):
     text = "https://h.io/d41d8cd98f00b204e9800998ecf8427e/A8s7dK2lQpZ0xY9vB3nM5tR1wE6u"
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.spans for r in secrets.op8_secret_scan(spark, str(tmp_path)).collect()] == ["hex:13:45,entropy_base64:45:74"]
+
+
+def test_the_allow_list_hides_no_token_beside_it(spark):
+    token, hex64 = "A8s7dK2lQpZ0xY9vB3nM5tR1wE6u", hashlib.sha256(b"x").hexdigest().upper()
+    texts = [
+        f"/example/{token}", f"md5-x/{token}", f"my-dummy-{token}_0123456789", "kJqXwPzRtLmNvBhGfDsYcAoT", "qzxjkvbwplmtrhgfdcnsyoqk",
+        f"sha256-{token}", f"sha256-{hex64}", f"sha1-{token[:27]}=", f"sha1-{token[:27]}=/{token}",
+        "path/to/the/configuration/file", "getHTTPResponseCodeForURL", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "example/path/to/the/configuration",
+    ]
+    got = found_in(spark, texts)
+    want = [(8, 37), (5, 34), (8, 38), (0, 24), (0, 24), (0, 35), None, None, (33, 62), None, None, None, None]
+    for text, found, span in zip(texts, got, want):
+        if span is None or text.startswith("sha1"):
+            assert found == (f"entropy_base64:{span[0]}:{span[1]}" if span else "") or text == f"sha256-{hex64}" and "base64" not in found, text
+        else:
+            start, end = map(int, found.split(":")[1:])
+            assert found.startswith("entropy_base64:") and start <= span[0] + 1 and end >= span[1] - 1, text
+    redacted = secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, found in zip(redacted, got):
+        assert ("[SECRET]" in r.text) == (found != "") and (found or r.text == texts[r.doc_id])
