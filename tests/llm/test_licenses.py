@@ -99,3 +99,37 @@ def test_query_against_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(li.TEMPLATES))
 def test_every_template_finds_itself(spark, name):
     assert brute([(1, "x", li.TEMPLATES[name][0] + " licence.")])[0][0] is not None
+
+
+def commented(text, mark=" * "):
+    return "/*\n" + "\n".join((mark + line).rstrip() for line in text.split("\n")) + "\n */\nint main() { return 0; }\n"
+
+
+GPL_HEADER = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_headers_and_licence_files_are_compared_whole(spark):
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version {}\n\n Copyright (C) Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n"
+    wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    rows = [
+        (1, "a1/x.c", commented(GPL_HEADER.format(2))), (2, "a2/x.c", commented(GPL_HEADER.format(3))), (3, "a3/x.py", "# " + GPL_HEADER.format(2).replace("\n", "\n# ")),
+        (4, "a4/COPYING", title.format("3, 29 June 2007")), (5, "a5/COPYING", title.format("2, June 1991")),
+        (6, "a6/x.c", "// SPDX-License-Identifier: MIT\nint x;\n"), (7, "a7/x.py", "# SPDX-License-Identifier: Apache-2.0\nx = 1\n"), (8, "a8/x.c", "/* SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) */\n"),
+        (9, "a9/notes", "Copyright (c) 2020 A. Writer\n\n" + wrap(li.FULL["BSD-2-Clause"][0])), (10, "b1/notes", "Copyright (c) 2020 A. Writer\n\n" + wrap(li.FULL["BSD-3-Clause"][0])),
+        (11, "b2/notes", "Copyright (c) 2020 A. Writer\n\n" + wrap(li.FULL["MIT"][0])), (12, "b3/x", "No part of this work may be copied without permission."), (13, "b4/x.c", "// SPDX-License-Identifier: Unheard-Of\n"),
+        (14, "b5/LICENSE", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n"),
+    ]
+    want = dict(zip(range(1, 15), ["GPL-2.0", "GPL-3.0", "GPL-2.0", "GPL-3.0", "GPL-2.0", "MIT", "Apache-2.0", "GPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "Proprietary", None, "Apache-2.0"]))
+    got = {r[0]: r[2:4] for r in result(spark, rows)}
+    assert {i: name for i, (name, _) in got.items()} == want
+    assert all(got[i][1] for i in (4, 5, 9, 10, 11, 14)) and not any(got[i][1] for i in (13,))
+    many = [(100 * i + j, f"{i}/{j}", t) for i, _, t in rows for j in range(20)]
+    assert all(r[2] == want[r[0] // 100] for r in result(spark, many))
