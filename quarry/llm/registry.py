@@ -19,6 +19,7 @@ MODULES = [
     "quarry.llm.licenses",
     "quarry.llm.suffix_dedup",
     "quarry.llm.ngram_join",
+    "quarry.llm.toxicity",
 ]
 
 
