@@ -20,6 +20,8 @@ MODULES = [
     "quarry.llm.suffix_dedup",
     "quarry.llm.ngram_join",
     "quarry.llm.toxicity",
+    "quarry.llm.whitening",
+    "quarry.llm.negatives",
 ]
 
 
