@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import unwrap_udt
 
 from quarry.functions.text import tokenize
 
@@ -35,6 +36,18 @@ def hashing_embed(docs: DataFrame, num_features: int = 1 << 18, id_col: str = "n
     return Normalizer(inputCol="tfidf", outputCol="embedding", p=2.0).transform(tfidf).select(id_col, "embedding")
 
 
+def sparse_norms(vectors: DataFrame, id_col: str = "node_id", vec: str = "embedding") -> DataFrame:
+    """(id, nnz, norm) of ML vectors, from their stored entries: a sparse vector is never unfolded."""
+
+    # the struct behind an ML vector holds its stored entries in ``values``
+    entries = unwrap_udt(F.col(vec))["values"]
+    return vectors.select(
+        id_col,
+        F.size(F.filter(entries, lambda x: x != 0)).cast("bigint").alias("nnz"),
+        F.round(F.sqrt(F.aggregate(entries, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"),
+    )
+
+
 def token_vectors(docs: DataFrame, dims: int = 64, id_col: str = "node_id", text: str = "text") -> DataFrame:
     """(id, embedding): per token one slot and one sign from its md5, summed over the text.
 
