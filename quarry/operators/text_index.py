@@ -53,12 +53,13 @@ FIRST_TERMS, FIRST_DOCS = 4, 4
 UNREAD_SHARE = 0.25
 
 
-def counted(docs: DataFrame, segment: int, node_id: str, text: str) -> DataFrame:
-    """``docs`` rows of a segment from texts: one row per id."""
+def counted(docs: DataFrame, segment: int, node_id: str, text: str, stopwords: list[str]) -> DataFrame:
+    """``docs`` rows of a segment from texts: one row per id; stop words are not words."""
     rows = docs.select(F.col(node_id).alias("node_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("_h", F.xxhash64("text")).withColumn("_n", F.length("text"))
     once = top_k(rows, ["node_id"], [F.desc("_n"), F.asc("_h")], 1, "_r")
-    words = once.select("node_id", tokens_of("text").alias("t"))
+    tokens = tokens_of("text")
+    words = once.select("node_id", (F.filter(tokens, lambda w: ~w.isin(stopwords)) if stopwords else tokens).alias("t"))
     occurrences = words.select("node_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
     per_term = occurrences.groupBy("node_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("n"))
     # a document's terms are bounded by its own text
@@ -150,13 +151,13 @@ def _published(store_: Versions, base: Snapshot, docs_written, block_rows: int,
     return store_.publish(base, tables, {"n_docs": n, "length": length, "n_dead": 0, "segment": segment, "block_rows": block_rows, **extra})
 
 
-def build(docs: DataFrame, root: str, *, node_id: str = "node_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> TextIndex:
-    """An index of ``docs`` in place of what ``root`` held."""
+def build(docs: DataFrame, root: str, *, node_id: str = "node_id", text: str = "text", block_rows: int = BLOCK_ROWS, stopwords: list[str] | None = None) -> TextIndex:
+    """An index of ``docs`` in place of what ``root`` held.  ``stopwords`` leave documents and queries."""
     versions = Versions(docs.sparkSession, root)
     base = versions.open()
     segment = base.values.get("segment", 0) + 1
-    written = versions.write("docs", counted(docs, segment, node_id, text))
-    return TextIndex(docs.sparkSession, _published(versions, base, written, block_rows, segment, {}))
+    written = versions.write("docs", counted(docs, segment, node_id, text, stopwords or []))
+    return TextIndex(docs.sparkSession, _published(versions, base, written, block_rows, segment, {"stopwords": stopwords or []}))
 
 
 def upsert(root: str, changed: DataFrame, deleted: DataFrame | None = None, *, node_id: str = "node_id", text: str = "text") -> TextIndex:
@@ -170,7 +171,7 @@ def upsert(root: str, changed: DataFrame, deleted: DataFrame | None = None, *, n
     base = versions.open()
     index = TextIndex(spark, base)
     segment = base.values["segment"] + 1
-    written = versions.write("docs", counted(changed, segment, node_id, text))
+    written = versions.write("docs", counted(changed, segment, node_id, text, base.values["stopwords"]))
     fresh = Snapshot(0, {"docs": written}).read(spark, "docs")
     ids = fresh.select("node_id")
     if deleted is not None:
@@ -222,9 +223,9 @@ def whole_scores(pairs: DataFrame, index: TextIndex, qside: DataFrame, weights:
     return scored.groupBy("query_id", "node_id").agg(F.sum(F.col("qw") * weights.part("tf", "dl")).alias("score"))
 
 
-def query_side(queries: DataFrame, index: TextIndex, weights: Weights, query_id: str, text: str, stopwords: list[str] | None) -> DataFrame:
+def query_side(queries: DataFrame, index: TextIndex, weights: Weights, query_id: str, text: str) -> DataFrame:
     """(query_id, term, qw, most): weight of a term in a query, and the most it can add to a score."""
-    wanted = query_terms(queries, query_id, text, stopwords)
+    wanted = query_terms(queries, query_id, text, index.snapshot.values["stopwords"])
     vocabulary = wanted.select("term").distinct()
     heads = index.table("postings").select("term", "n", "max_tf", "min_dl").join(vocabulary, "term", "left_semi")
     terms = heads.groupBy("term").agg(F.sum("n").alias("n"), F.max(weights.part("max_tf", "min_dl")).alias("part"))
@@ -245,16 +246,18 @@ def block_heads(index: TextIndex, qside: DataFrame, weights: Weights) -> DataFra
 
 def topk(
     queries: DataFrame, index: TextIndex, k: int = 5, *, query_id: str = "query_id", text: str = "text",
-    k1: float = K1, b: float = B, plus_one: bool = True, stopwords: list[str] | None = None,
+    k1: float = K1, b: float = B, plus_one: bool = True,
 ) -> DataFrame:
     """B6 over the stored index: exact, same rows as ``bm25.bm25_topk`` -> (query_id, node_id, score, rank)."""
-    return search(queries, index, k, query_id=query_id, text=text, k1=k1, b=b, plus_one=plus_one, stopwords=stopwords)[0]
+    return search(queries, index, k, query_id=query_id, text=text, k1=k1, b=b, plus_one=plus_one)[0]
 
 
-def search(queries: DataFrame, index: TextIndex, k: int, *, query_id: str = "query_id", text: str = "text", k1: float = K1, b: float = B, plus_one: bool = True, stopwords: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def search(
+    queries: DataFrame, index: TextIndex, k: int, *, query_id: str = "query_id", text: str = "text", k1: float = K1, b: float = B, plus_one: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """(hits, read): the top k and the (query_id, term, block, n) whose entries were scored for them."""
     weights = Weights(index, k1, b, plus_one)
-    qside = query_side(queries, index, weights, query_id, text, stopwords)
+    qside = query_side(queries, index, weights, query_id, text)
     heads = block_heads(index, qside, weights)
     postings = index.table("postings").select("term", "segment", "block", "entries")
 

@@ -16,6 +16,7 @@ MODULES = [
     "quarry.plans.tree_plans",
     "quarry.plans.eval_plans",
     "quarry.plans.ingest_plans",
+    "quarry.plans.index_plans",
     "quarry.plans.stream_plans",
     "quarry.plans.route_plans",
     "quarry.plans.structured_plans",
