@@ -4,7 +4,8 @@ A mask such as ``1110111`` hashes the tokens at its 1s and ignores the others, s
 a passage with substituted tokens still agrees with the benchmark wherever the
 substitutions fall on the 0s of one of the masks.
 
-1. Benchmark items (equal ones count once, under their smallest item id) become
+1. Benchmark items (equal ones are searched once, under their smallest item id, and
+   named by ``equal_items``) become
    passages of at most ``PASSAGE`` tokens; those of a longer item overlap, and
    its tokens stay together in stretches of at most ``STRETCH``, which overlap too.
 2. The stretches go to every task in blocks of about ``block_tokens`` (a fixed
@@ -21,13 +22,13 @@ Texts never move: the result is an array column ``leaks`` on each row.
 
 Tokens are lower-cased runs of characters other than ASCII blanks, controls and
 punctuation.  Passages shorter than the widest mask also have an exact seed over
-all their tokens; items under ``SHORTEST`` tokens cannot be told from chance and
-match nothing.
+all their tokens, so an item of a few tokens, or one, is found where it is verbatim.
 
 Defined cases: null or empty text has no leaks; null, empty or token-less items
 match nothing; a null item id is kept as null; ties between runs go to the first
 position; repeated rows each get the same answer; without benchmark rows every
-array is empty; an empty table gives an empty result; other columns pass through.
+array is empty; an empty table gives an empty result; other columns pass through,
+a column of the name ``leaks`` is replaced.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ from quarry.sources.tables import table
 
 MASKS = ("1110111", "11011011", "1111011", "110101011")
 PASSAGE, STRETCH, OVERLAP = 256, 1 << 15, 64
-SHORTEST = 5
 MIN_TOKENS, ENOUGH = 8, 13
 PENALTY = 2
 BLOCK_TOKENS = 250_000
@@ -103,14 +103,14 @@ class Seeds:
         self.stretches = [(item, n, np.array(numbers, np.uint64)) for item, n, numbers in stretches]
         self.passages = [(k, a, t[a:b]) for k, (_, _, t) in enumerate(self.stretches) for a, b in overlapping(len(t), PASSAGE)]
         widest = max(map(len, masks))
-        lengths = {len(p) for _, _, p in self.passages if SHORTEST <= len(p) < widest}
+        lengths = {len(p) for _, _, p in self.passages if len(p) < widest}
         self.index = [self._index(m, False) for m in masks] + [self._index("1" * n, True) for n in sorted(lengths)]
         self.index = [x for x in self.index if len(x[1])]
 
     def _index(self, mask: str, whole: bool) -> tuple:
         hashes, owner, place = [], [], []
         for i, (_, _, p) in enumerate(self.passages):
-            if len(p) >= SHORTEST and (len(p) == len(mask) or not whole):
+            if len(p) == len(mask) or not whole:
                 h = window_hashes(p, mask)
                 hashes.append(h)
                 owner.append(np.full(len(h), i))
@@ -176,6 +176,9 @@ def scan_group(group: list[np.ndarray], seeds: Seeds) -> list[list[tuple]]:
                 least = least_equal(item_tokens)
                 lo, hi = max(d, 0), min(d + len(passage), len(numbers))
                 doc = int(np.searchsorted(edges, lo, "right")) - 1
+                known = found[doc].get(item)
+                if known and known[3] == item_tokens and hi <= edges[doc + 1]:
+                    continue  # all of it was found, further to the front
                 while doc < len(group) and edges[doc] < hi:
                     first, last = int(edges[doc]), int(edges[doc + 1])
                     a, b = max(lo, first), min(hi, last)
@@ -198,17 +201,27 @@ def scan_group(group: list[np.ndarray], seeds: Seeds) -> list[list[tuple]]:
     return [sorted(f.values(), key=lambda r: (r[0] is not None, r[0], r[1])) for f in found]
 
 
-def distinct_items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, numbers): distinct items as token numbers."""
+def item_numbers(benchmark: DataFrame) -> DataFrame:
+    """(item_id, numbers): items with a token, as token numbers."""
 
     def read(batches: Iterator[dict]) -> Iterator[list]:
         numbers_of = TokenNumbers()
         for b in batches:
             rows = ((item, numbers_of.of(tokens(text)).astype(np.int64)) for item, text in zip(b["item_id"], b["text"]))
-            yield [(item, n.tolist()) for item, n in rows if len(n) >= SHORTEST]
+            yield [(item, n.tolist()) for item, n in rows if len(n)]
+
+    return map_rows(benchmark.select(F.col("item_id").cast("long"), "text"), read, "item_id long, numbers array<long>")
+
+
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, numbers): distinct items."""
+    return item_numbers(benchmark).groupBy("numbers").agg(F.min("item_id").alias("item_id"))
+
 
-    rows = map_rows(benchmark.select(F.col("item_id").cast("long"), "text"), read, "item_id long, numbers array<long>")
-    return rows.groupBy("numbers").agg(F.min("item_id").alias("item_id"))
+def equal_items(benchmark: DataFrame) -> DataFrame:
+    """(found_id, item_id): each item with the id under which ``with_leaks`` reports it."""
+    named = item_numbers(benchmark).distinct()
+    return named.join(distinct_items(benchmark).withColumnRenamed("item_id", "found_id"), "numbers").select("found_id", "item_id")
 
 
 def stretches(items: DataFrame) -> DataFrame:
@@ -254,8 +267,10 @@ def finder(sent):
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (document, benchmark item) of which the document holds enough."""
-    out = with_leaks(documents(spark, sf_dir, "text"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", F.inline("leaks"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    out = with_leaks(documents(spark, sf_dir, "text"), benchmark).select("doc_id", F.inline("leaks")).withColumnRenamed("item_id", "found_id")
+    named = stored(equal_items(benchmark), "benchmark-names").withColumnRenamed("found_id", "_id")
+    return out.join(named, F.col("found_id").eqNullSafe(F.col("_id"))).select("doc_id", "item_id", "start", "length", "matched", "passage_tokens")
 
 
 QUERIES = {"op1_decontaminate": op1_decontaminate}

@@ -46,6 +46,7 @@ from quarry.sources.tables import table
 SLICE_BYTES = 16 << 20
 COLUMNS_AT_ONCE = 8
 LARGEST = 1 << 62
+LONGEST = (1 << 63) - 1
 
 
 def scaled(vectors: DataFrame, id_column: str, vector: str, label: Column, factor: float = 256.0) -> DataFrame:
@@ -93,6 +94,11 @@ def by_length(batch) -> dict[int, Columns]:
     return {int(n): Columns(rows[at], ids[at], labels[at], values[starts[at][:, None] + np.arange(n)]) for n in np.unique(lengths) for at in [np.flatnonzero(lengths == n)]}
 
 
+def as_long(values: np.ndarray) -> np.ndarray:
+    """64-bit integers; Python integers beyond them become the nearest whose negative is one, too."""
+    return values if values.dtype == np.int64 else np.array([min(max(int(v), -LONGEST), LONGEST) for v in values], np.int64)
+
+
 def vertical_scan(q: np.ndarray, data: Columns, alive: np.ndarray, keep, at_once: int = COLUMNS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
     """(survivors, exact scores): reads ``data`` by columns in ``q``'s descending magnitude.
 
@@ -109,17 +115,17 @@ def vertical_scan(q: np.ndarray, data: Columns, alive: np.ndarray, keep, at_once
         dims = order[i : i + at_once]
         sums = sums + q[dims] @ data.x[dims[:, None], alive]
         rest = min(i + at_once, len(order))
-        stays = keep(sums + least[rest], sums + most[rest])
+        stays = keep(as_long(sums + least[rest]), as_long(sums + most[rest]))
         alive, sums = alive[stays], sums[stays]
         if not len(alive):
             break
-    return alive, sums
+    return alive, as_long(sums)
 
 
 def best(found: tuple, k: int) -> tuple:
     """The first k of (scores, ids, rows): higher scores, then smaller ids, then rows."""
     scores, ids, rows = found
-    order = np.lexsort((rows, ids, -scores))[:k] if scores.dtype != object else np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i], rows[i]))[:k], int)
+    order = np.lexsort((rows, ids, -scores))[:k]
     return scores[order], ids[order], rows[order]
 
 
@@ -138,7 +144,7 @@ def positives_of(q: np.ndarray, row: int, label: int, data: Columns, top: tuple,
         if len(low) > k:
             kth = np.partition(low, -k)[-k]
             least = kth if least is None else max(least, kth)
-        return np.ones(len(low), bool) if least is None else (high >= least).astype(bool)
+        return np.ones(len(low), bool) if least is None else high >= least
 
     alive, scores = vertical_scan(q, data, np.flatnonzero((data.labels == label) & (data.rows != row)), keep)
     return best(merged(top, (scores, data.ids[alive], data.rows[alive])), k)
@@ -153,20 +159,16 @@ def negatives_of(q: np.ndarray, label: int, data: Columns, windows: list[tuple[i
     ends = [(floor_of(i), high) for i, (_, high) in enumerate(windows)]
 
     def keep(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return reduce(np.logical_or, [((high >= a) & (low <= b)).astype(bool) for a, b in ends])
+        return reduce(np.logical_or, [(high >= a) & (low <= b) for a, b in ends])
 
     alive, scores = vertical_scan(q, data, np.flatnonzero(data.labels != label), keep)
     out = []
     for (a, b), top in zip(ends, tops):
-        inside = ((scores >= a) & (scores <= b)).astype(bool)
+        inside = (scores >= a) & (scores <= b)
         out.append(best(merged(top, (scores[inside], data.ids[alive[inside]], data.rows[alive[inside]])), k))
     return out
 
 
-def as_long(scores: np.ndarray) -> np.ndarray:
-    return scores if scores.dtype == np.int64 else np.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in scores], np.int64)
-
-
 def slices_of(anchors: DataFrame, slice_bytes: int) -> list[DataFrame]:
     """``anchors`` cut by hash of the row so that a slice holds about ``slice_bytes``."""
     volume = anchors.agg(F.sum(F.size("x") * 8 + 24)).first()[0] or 0
@@ -219,7 +221,7 @@ def find_positives(candidates: DataFrame, anchors: DataFrame, k: int = 5, slice_
 
     def rows_of(anchor: dict) -> list[tuple]:
         scores, ids, rows = anchor["top"]
-        return [(anchor["row"], int(r), int(i), int(s)) for s, i, r in zip(as_long(scores), ids, rows)]
+        return [(anchor["row"], int(r), int(i), int(s)) for s, i, r in zip(scores, ids, rows)]
 
     ddl = "anchor_row long, positive_row long, positive_id long, positive_score long"
     found = [stored(scan_slice(candidates, part.select("row", "vec_id", "label", "x").toArrow(), start, merge, rows_of, ddl), "positives-slice") for part in slices_of(anchors, slice_bytes)]
@@ -253,7 +255,7 @@ def find_negatives(
             anchor["tops"] = negatives_of(anchor["x"], anchor["label"], data, anchor["windows"], anchor["tops"], per_positive)
 
     def rows_of(anchor: dict) -> list[tuple]:
-        return [(anchor["row"], place, int(r), int(i), int(s)) for place, (scores, ids, rows) in zip(anchor["places"], anchor["tops"]) for s, i, r in zip(as_long(scores), ids, rows)]
+        return [(anchor["row"], place, int(r), int(i), int(s)) for place, (scores, ids, rows) in zip(anchor["places"], anchor["tops"]) for s, i, r in zip(scores, ids, rows)]
 
     ddl = "anchor_row long, place long, negative_row long, negative_id long, negative_score long"
     found = [stored(scan_slice(candidates, part.toArrow(), start, merge, rows_of, ddl), "negatives-slice") for part in slices_of(with_windows, slice_bytes)]

@@ -15,12 +15,16 @@ The candidates stay where they are read.  The queries are sent to them in slices
 of at most ``slice_bytes`` by hash of the id; a task keeps k rows per query of
 the slice, and the rows of all tasks are ranked per query.
 
+Scores are exact: 64-bit integers where the magnitudes leave room, Python integers
+otherwise; a score beyond a long is reported as the nearest long.
+
 Defined cases: rows without an id, and vectors that are null, empty or hold a
 null or non-finite component, take no part; only vectors of the query's length
-are candidates; components are clamped to +-2**27 so that scores fit a long;
-rows are told apart by id: a query's own id is no candidate, an id that repeats
-counts with its best score; ties go to the smaller id; fewer than k candidates
-give fewer rows; an empty table gives an empty result; other columns are ignored.
+are candidates; a component beyond 2**62 after scaling counts as 2**62; rows are
+told apart by a row number: a query leaves out its own row only, rows that repeat
+an id each count, as candidates and as queries; ties go to the smaller id, then row;
+fewer than k candidates give fewer rows; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,23 +36,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
+from quarry.llm.negatives import EMPTY, as_long, best, merged
 from quarry.sources.tables import table
 
 RESOLUTIONS = (1, 4, 16)
 SLICE_BYTES = 32 << 20
-COMPONENT_LIMIT = float(1 << 27)
+LARGEST = 1 << 62
 
 
 def scaled(vectors: DataFrame, id_column: str, vector: str, factor: float = 256.0) -> DataFrame:
-    """(vec_id, x): the usable vectors, each component as floor(factor * component)."""
+    """(row, vec_id, x), stored: the usable vectors with a number of their own, each component as floor(factor * component)."""
     bad = F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
 
     def component(c: Column) -> Column:
         wide = F.lit(factor) * c.cast("double")
-        return F.floor(F.least(F.greatest(wide, F.lit(-COMPONENT_LIMIT)), F.lit(COMPONENT_LIMIT))).cast("long")
+        return F.floor(F.least(F.greatest(wide, F.lit(-float(LARGEST))), F.lit(float(LARGEST)))).cast("long")
 
     usable = F.col(id_column).isNotNull() & (F.size(vector) > 0) & ~bad
-    return vectors.where(usable).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(vector, component).alias("x"))
+    rows = vectors.where(usable).select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("vec_id"), F.transform(vector, component).alias("x"))
+    return stored(rows, "topk-rows")  # written once, so that a row keeps its number
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -64,56 +70,52 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
 class Matrix:
     """Vectors of one length with their statistics, coarse to fine."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, resolutions: tuple[int, ...]):
-        self.ids, self.x = ids, x
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, resolutions: tuple[int, ...]):
+        self.rows, self.ids, self.x = rows, ids, x
         wide = x.astype(float)
         self.statistics = [segment_statistics(wide, s) for s in resolutions]
         self.norms = np.sqrt((wide * wide).sum(axis=1))
 
+    def products(self, at: np.ndarray, q: np.ndarray, norm: float) -> np.ndarray:
+        """Exact inner products of some rows with ``q``; every partial sum is below the norms' product."""
+        if norm * float(self.norms[at].max()) < LARGEST / 2:
+            return self.x[at] @ q
+        return as_long(self.x[at].astype(object) @ q.astype(object))
+
 
-def by_length(ids: np.ndarray, offsets: np.ndarray, values: np.ndarray, resolutions: tuple[int, ...]) -> dict[int, Matrix]:
+def by_length(rows: np.ndarray, ids: np.ndarray, offsets: np.ndarray, values: np.ndarray, resolutions: tuple[int, ...]) -> dict[int, Matrix]:
     lengths = np.diff(offsets)
     out = {}
     for n in np.unique(lengths):
-        rows = np.flatnonzero(lengths == n)
-        out[int(n)] = Matrix(ids[rows], values[offsets[rows][:, None] + np.arange(n)], resolutions)
+        at = np.flatnonzero(lengths == n)
+        out[int(n)] = Matrix(rows[at], ids[at], values[offsets[at][:, None] + np.arange(n)], resolutions)
     return out
 
 
 def arrow_vectors(batch, resolutions: tuple[int, ...]) -> dict[int, Matrix]:
-    lists = batch.column(1)
-    lists = lists.combine_chunks() if hasattr(lists, "combine_chunks") else lists
-    ids = batch.column(0)
-    ids = ids.combine_chunks() if hasattr(ids, "combine_chunks") else ids
+    rows, ids, lists = (c.combine_chunks() if hasattr(c, "combine_chunks") else c for c in (batch.column(i) for i in range(3)))
     offsets = lists.offsets.to_numpy()
-    return by_length(ids.to_numpy(zero_copy_only=False), offsets - offsets[0], lists.flatten().to_numpy(zero_copy_only=False), resolutions)
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best by score, then smaller id; an id counts once."""
-    order = np.lexsort((ids, -scores))
-    ids, scores = ids[order], scores[order]
-    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
-    return ids[first], scores[first]
+    return by_length(rows.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False), offsets - offsets[0], lists.flatten().to_numpy(zero_copy_only=False), resolutions)
 
 
-def scan_batch(queries: Matrix, data: Matrix, top: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> None:
-    """Merge the k best of ``data`` into ``top`` (query row -> ids, scores) of each query."""
+def scan_batch(queries: Matrix, data: Matrix, top: dict[int, tuple], k: int) -> None:
+    """Merge the k best of ``data`` into ``top`` (query -> scores, ids, rows) of each query."""
     for q in range(len(queries.ids)):
-        ids, scores = top.get(q, (np.empty(0, np.int64), np.empty(0, np.int64)))
-        alive = np.flatnonzero(data.ids != queries.ids[q])
-        if len(ids) == k:
+        mine_so_far = top.get(q, EMPTY)
+        scores = mine_so_far[0]
+        alive = np.flatnonzero(data.rows != queries.rows[q])
+        if len(scores) == k:
             slack = 1e-9 * queries.norms[q] * data.norms + 1e-6  # the bounds are floating-point sums
             for mine, theirs in zip(queries.statistics, data.statistics):
-                alive = alive[theirs[alive] @ mine[q] + slack[alive] >= scores[-1]]
+                alive = alive[theirs[alive] @ mine[q] + slack[alive] >= float(scores[-1])]
         if len(alive):
-            exact = data.x[alive] @ queries.x[q]
-            top[q] = best(np.concatenate((ids, data.ids[alive])), np.concatenate((scores, exact)), k)
+            exact = data.products(alive, queries.x[q], float(queries.norms[q]))
+            top[q] = best(merged(mine_so_far, (exact, data.ids[alive], data.rows[alive])), k)
 
 
 def search_slice(candidates: DataFrame, queries: DataFrame, k: int, resolutions: tuple[int, ...]) -> DataFrame:
-    """(query_id, vec_id, score): k rows per query and task.  ``queries`` is a bounded slice."""
-    sent = candidates.sparkSession.sparkContext.broadcast(queries.toArrow())
+    """(query_row, query_id, row, vec_id, score): k rows per query and task.  ``queries`` is a bounded slice."""
+    sent = candidates.sparkSession.sparkContext.broadcast(queries.select("row", "vec_id", "x").toArrow())
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -125,28 +127,27 @@ def search_slice(candidates: DataFrame, queries: DataFrame, k: int, resolutions:
                 if n in mine:
                     scan_batch(mine[n], data, tops[n], k)
         for n, top in tops.items():
-            for q, (ids, scores) in top.items():
-                yield pa.record_batch([np.full(len(ids), mine[n].ids[q]), ids, scores], names=["query_id", "vec_id", "score"])
+            for q, (scores, ids, rows) in top.items():
+                mine_rows, mine_ids = (np.full(len(ids), v[q]) for v in (mine[n].rows, mine[n].ids))
+                yield pa.record_batch([mine_rows, mine_ids, rows, ids, scores], names=["query_row", "query_id", "row", "vec_id", "score"])
 
-    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+    return candidates.select("row", "vec_id", "x").mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score long")
 
 
 def top_k(
     candidates: DataFrame, queries: DataFrame, k: int = 5, resolutions: tuple[int, ...] = RESOLUTIONS, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) for tables (vec_id, x) as ``scaled`` makes them."""
-    queries = stored(queries.dropDuplicates(["vec_id", "x"]), "topk-queries")
+    """(query_id, rank, vec_id, score) for rows (row, vec_id, x) as ``scaled`` makes them."""
     volume = queries.agg(F.sum(F.size("x") * 8 + 16)).first()[0] or 0
     slices = -(-volume // slice_bytes) or 1
     found = None
     for i in range(slices):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == i) if slices > 1 else queries
+        part = queries.where(F.pmod(F.xxhash64("row"), F.lit(slices)) == i) if slices > 1 else queries
         rows = search_slice(candidates, part, k, resolutions)
         rows = stored(rows, "topk-slice") if slices > 1 else rows  # one slice in memory at a time
         found = rows if found is None else found.unionByName(rows)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,14 +157,14 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0)
+  SELECT q.r AS qr, c.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, r) AS rank FROM p) WHERE rank <= 5
 """
 
 QUERIES = {"op2_topk_search": op2_topk_search}

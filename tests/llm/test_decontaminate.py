@@ -61,7 +61,7 @@ def test_edge_rows(spark):
     docs = [(1, None), (2, ""), (3, f"say: {item}."), (3, f"say: {item}."), (4, "a b c"), (5, "Alpha, beta gamma delta epsilon"), (None, "k l m n o p q r s t u"),
             (7, "one two three four"), (8, "five six seven eight nine ten"), (9, "w " * 200_000 + item), (10, "four five six seven eight"), (11, "a " * 3000)]
     got = leaks(spark, docs, items)
-    want = {0: {}, 1: {}, 2: {1: 10}, 3: {1: 10}, 4: {}, 5: {6: 5}, 6: {None: 11}, 7: {}, 8: {}, 9: {1: 10}, 10: {}, 11: {}}
+    want = {0: {}, 1: {}, 2: {1: 10}, 3: {1: 10}, 4: {5: 3}, 5: {6: 5}, 6: {None: 11}, 7: {}, 8: {}, 9: {1: 10}, 10: {}, 11: {}}
     assert {n: v for (_, n), v in got.items()} == want
     assert leaks(spark, docs[:3], []) == {(1, 0): {}, (2, 1): {}, (3, 2): {}}
     assert leaks(spark, [], items) == {}
@@ -102,3 +102,16 @@ def test_stretches_of_one_item_give_one_row(spark):
     entries = [(7, 0, 30, 30, 99), (7, 5, 40, 40, 99), (None, 1, 20, 20, 50), (7, 9, 40, 40, 99)]
     row = spark.createDataFrame([(entries,)], f"leaks {dc.LEAKS}").select(dc.best_of_each("leaks").alias("leaks")).first()
     assert [tuple(x) for x in row.leaks] == [entries[1], entries[2]]
+
+
+def test_short_items_and_first_places(spark):
+    items = [(1, "quux"), (2, "quux zap"), (3, "one two three four")]
+    docs = [(1, "a quux b quux zap"), (2, "one two three four"), (3, "one two three"), (4, "la " * 3000 + "quux " * 2000)]
+    rows = {r.doc_id: [(x.item_id, x.start, x.matched) for x in r.leaks] for r in dc.with_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert rows == {1: [(1, 1, 1), (2, 3, 2)], 2: [(3, 0, 4)], 3: [], 4: [(1, 3000, 1)]}
+
+
+def test_equal_items_are_all_named(spark):
+    b = spark.createDataFrame([(2, "x y"), (1, "X, y!"), (None, "x y"), (3, "z"), (3, "z"), (4, ""), (None, "n")], "item_id long, text string")
+    got = sorted((tuple(r) for r in dc.equal_items(b).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 2), (1, None), (3, 3), (None, None)], key=str)

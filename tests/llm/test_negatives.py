@@ -11,17 +11,17 @@ def brute(rows, every=10, positives=5, per=5, low=80, high=100):
     """Multiset of (anchor, positive, rank, negative, positive score, negative score), pair by pair."""
     clip = lambda c: max(-(1 << 62), min(1 << 62, c))
     ok = [(n, i, lab, [clip(math.floor(256 * c)) for c in v]) for n, (i, v, lab) in enumerate(rows) if None not in (i, lab) and v and all(c is not None and math.isfinite(c) for c in v)]
-    long = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    long = lambda s: max(1 - (1 << 63), min((1 << 63) - 1, s))
     out = []
     for n, i, lab, x in ok:
         if i % every:
             continue
-        others = [(-sum(a * b for a, b in zip(x, y)), j, m, l) for m, j, l, y in ok if m != n and len(y) == len(x)]
+        others = [(-long(sum(a * b for a, b in zip(x, y))), j, m, l) for m, j, l, y in ok if m != n and len(y) == len(x)]
         others.sort(key=lambda o: o[:2])
         for s, j, _, l in [o for o in others if o[3] == lab][:positives]:
-            p = long(-s)
+            p = -s
             inside = [o for o in others if o[3] != lab and low * p <= -100 * o[0] <= high * p][:per]
-            out += [(i, j, r + 1, o[1], p, long(-o[0])) for r, o in enumerate(inside)]
+            out += [(i, j, r + 1, o[1], p, -o[0]) for r, o in enumerate(inside)]
     return sorted(out)
 
 
