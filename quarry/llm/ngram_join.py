@@ -36,6 +36,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -45,10 +46,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, add_columns, documents, map_rows, packed, same_text, stored, text_key, words_of
+from quarry.llm.common import WORD, add_columns, documents, map_rows, packed, same_text, stored, text_key
 from quarry.llm.components import components
 
-SKETCH_BITS = 18
+SKETCH_BITS = 18  # 16 at least
 #: Bounds of a slice: sets, and n-grams in all of them.
 SLICE_SETS, SLICE_GRAMS = 4000, 2_000_000
 #: Columns of a 0/1 matrix at once.
@@ -56,23 +57,56 @@ COLUMNS = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; a memo that is emptied when it grows large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(words: list[bytes], n: int, hashes: WordHashes) -> np.ndarray:
+class WordHashes:
+    """64-bit hashes of the words of a text, A-Z as a-z, from its bytes at once.
+
+    A word's hash is the sum of value(byte) * BASE ** place, taken from running sums
+    over the text and divided by BASE ** (place of the word), all modulo 2**64.
+    """
+
+    BASE = 0x9E3779B97F4A7C15 | 5
+    BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+    VALUE = np.array([0 if blank else xxhash.xxh3_64_intdigest(bytes([c]).lower()) for c, blank in enumerate(BLANK)], np.uint64)
+    ANY_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+    def __init__(self, piece: int = 1 << 16):
+        self.piece = piece
+        self._powers(2 * piece)
+
+    def _powers(self, n: int) -> None:
+        self.power, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(x)))) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+
+    def of(self, data: bytes) -> np.ndarray:
+        """Hashes in the order of the words; a long text goes through in pieces cut at blanks."""
+        out, start = [], 0
+        while start < len(data):
+            cut = self.ANY_BLANK.search(data, start + self.piece)
+            end = cut.start() if cut else len(data)
+            out.append(self._piece(np.frombuffer(data, np.uint8, end - start, start)))
+            start = end
+        return np.concatenate(out) if len(out) > 1 else out[0] if out else np.empty(0, np.uint64)
+
+    def _piece(self, b: np.ndarray) -> np.ndarray:
+        if len(b) > len(self.power):
+            self._powers(len(b))  # a word longer than a piece
+        blank = np.ones(len(b) + 2, bool)
+        blank[1:-1] = self.BLANK[b]
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.VALUE[b] * self.power[: len(b)], out=sums[1:])
+        h = (sums[edges[1::2]] - sums[edges[::2]]) * self.inverse[edges[::2]]
+        h ^= h >> np.uint64(29)
+        h *= MIX
+        return h ^ (h >> np.uint64(32))
+
+
+def shingles(data: bytes, n: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; a shorter text is one n-gram."""
-    if not words:
+    h = hashes.of(data)
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(words))
-    out = np.full(len(words) - width + 1, width, np.uint64)
+    width = min(n, len(h))
+    out = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
         out = (out ^ h[i : i + len(out)]) * MIX
         out ^= out >> np.uint64(31)
@@ -98,7 +132,7 @@ def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[dict]) -> Iterator[list]:
         hashes, total = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            sets = [shingles(words_of(t), n, hashes) for t in b["text"]]
+            sets = [shingles((t or "").encode(), n, hashes) for t in b["text"]]
             total += np.bincount(slots(np.concatenate([np.empty(0, np.uint64), *sets])), minlength=len(total))
         at = np.flatnonzero(total)
         yield list(zip(at.tolist(), total[at].tolist()))
@@ -109,20 +143,28 @@ def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def rarity_levels(frequency: np.ndarray) -> np.ndarray:
+    """Slots ranked by frequency, in 2**16 levels: a 16-bit order sorts in linear time."""
+    level = np.empty(len(frequency), np.uint16)
+    level[np.argsort(frequency, kind="stable")] = np.arange(len(frequency)) >> (SKETCH_BITS - 16)
+    return level
+
+
 def read_sets(docs: DataFrame, n: int, least: int) -> DataFrame:
     """(doc_id, text_key, set_key, n, prefix) per row; set_key is null for empty sets."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, n))  # 2 ** SKETCH_BITS numbers
+    sent = docs.sparkSession.sparkContext.broadcast(rarity_levels(frequency_sketch(docs, n)))  # 2 ** SKETCH_BITS numbers
 
     def run(batches: Iterator[dict]) -> Iterator[list]:
-        hashes, frequency = WordHashes(), sent.value
+        hashes, rarity = WordHashes(), sent.value
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                h = shingles(words_of(text), n, hashes)
+                data = (text or "").encode()
+                h = shingles(data, n, hashes)
                 k = prefix_length(least, len(h)) if len(h) else 0
-                order = np.lexsort((h, frequency[slots(h)]))[:k]
+                order = np.argsort(rarity[slots(h)], kind="stable")[:k]  # of equal rarity by hash, as h is sorted
                 key = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-                out.append((doc_id, text_key((text or "").encode()), key, len(h), h[order].view(np.int64).tolist()))
+                out.append((doc_id, text_key(data), key, len(h), h[order].view(np.int64).tolist()))
             yield out
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, text_key long, set_key binary, n long, prefix array<long>")
@@ -230,7 +272,7 @@ def compare(pairs: DataFrame, texts: DataFrame, n: int, least: int) -> DataFrame
             nodes, sets = [], []
             for _, _, node, z in members:  # the hub comes first
                 nodes.append(node)
-                sets.append(shingles(unpacker.decompress(z).lower().split(), n, hashes))
+                sets.append(shingles(unpacker.decompress(z), n, hashes))
             yield [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in slice_links(sets[0], sets[1:], least)]
 
     return map_rows(sent.repartition("u", "slice").sortWithinPartitions("u", "slice", "role", "node"), run, "u long, v long")

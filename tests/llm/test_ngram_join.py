@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import SF0001
 
@@ -114,3 +115,26 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for u, v in edges if u != v for x in (u, v)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_word_hashes_tell_words_apart_and_nothing_else():
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abXYZé\u3000\x00\x1f", k=rng.randint(1, 6))) for _ in range(3000)] + ["w" * 5000, "a", "aa", "aaa"]
+    blanks = [" ", "\n", "\t\t", "\x0b", "\x0c", "\r\n ", "  "]
+    text = " " + "".join(w + rng.choice(blanks) for w in words)
+    data = text.encode()
+    want = data.lower().split()
+    whole = nj.WordHashes().of(data)
+    assert len(whole) == len(want) and len(set(zip(want, whole.tolist()))) == len(set(want)) == len(set(whole.tolist()))
+    for piece in (1, 7, 64, 4096):
+        assert (nj.WordHashes(piece).of(data) == whole).all()
+    assert len(nj.WordHashes().of(b"")) == len(nj.WordHashes().of(b" \n ")) == 0
+
+
+def test_prefixes_follow_one_order(spark):
+    rng = np.random.default_rng(1)
+    frequency = rng.integers(0, 9, 1 << nj.SKETCH_BITS)
+    level = nj.rarity_levels(frequency)
+    at = rng.integers(0, 1 << nj.SKETCH_BITS, 1000)
+    a, b = np.meshgrid(at, at)
+    assert (level[a] <= level[b])[frequency[a] < frequency[b]].all()
