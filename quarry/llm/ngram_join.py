@@ -150,9 +150,9 @@ def rarity_levels(frequency: np.ndarray) -> np.ndarray:
     return level
 
 
-def read_sets(docs: DataFrame, n: int, least: int) -> DataFrame:
-    """(doc_id, text_key, set_key, n, prefix) per row; set_key is null for empty sets."""
-    sent = docs.sparkSession.sparkContext.broadcast(rarity_levels(frequency_sketch(docs, n)))  # 2 ** SKETCH_BITS numbers
+def read_sets(docs: DataFrame, n: int, rarity: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """(doc_id, text_key, set_key, n, prefix) per row; set_key is null for empty sets, prefix without ``rarity``."""
+    sent = docs.sparkSession.sparkContext.broadcast(rarity)  # 2 ** SKETCH_BITS numbers
 
     def run(batches: Iterator[dict]) -> Iterator[list]:
         hashes, rarity = WordHashes(), sent.value
@@ -161,10 +161,13 @@ def read_sets(docs: DataFrame, n: int, least: int) -> DataFrame:
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 data = (text or "").encode()
                 h = shingles(data, n, hashes)
-                k = prefix_length(least, len(h)) if len(h) else 0
-                order = np.argsort(rarity[slots(h)], kind="stable")[:k]  # of equal rarity by hash, as h is sorted
                 key = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-                out.append((doc_id, text_key(data), key, len(h), h[order].view(np.int64).tolist()))
+                prefix = None
+                if rarity is not None:
+                    k = prefix_length(least, len(h)) if len(h) else 0
+                    order = np.argsort(rarity[slots(h)], kind="stable")[:k]  # of equal rarity by hash, as h is sorted
+                    prefix = h[order].view(np.int64).tolist()
+                out.append((doc_id, text_key(data), key, len(h), prefix))
             yield out
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, text_key long, set_key binary, n long, prefix array<long>")
@@ -315,7 +318,8 @@ def open_pairs(lists: DataFrame, pairs: DataFrame, groups: DataFrame, least: int
 def join(docs: DataFrame, n: int = 4, least: int = 85) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, component) per row of ``docs``; ``component``
     numbers the components in this run and is null for empty sets."""
-    rows = stored(read_sets(docs, n, least), "ngram-sets")
+    # prefixes are most of what is read from the texts; they are stored once, with the classes
+    rows = read_sets(docs, n, rarity_levels(frequency_sketch(docs, n)), least)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("one")
     by_set = rows.where("n > 0").groupBy("set_key").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # numbered as they are stored, so the numbers stay
@@ -336,7 +340,7 @@ def join(docs: DataFrame, n: int = 4, least: int = 85) -> DataFrame:
     named = classes.select("node", "set_key", F.col("one.doc_id").alias("smallest")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     answers = named.join(least_id, "component").select("set_key", "component_id", "component")
-    return rows.select("doc_id", "text_key", "set_key", F.col("n").alias("n_shingles")).join(answers, "set_key", "left").select(
+    return read_sets(docs, n).select("doc_id", "text_key", "set_key", F.col("n").alias("n_shingles")).join(answers, "set_key", "left").select(
         "doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component"
     )
 
