@@ -21,8 +21,10 @@ suffixes that can start a repeat are sorted:
    repeat with all its occurrences (``repeats``).
 4. Anchor strings with more than ``most`` distinct contexts (a passage in a third
    of all texts, met in different surroundings) are not gathered in one task.
-   Their windows are told apart by longer and longer shared parts instead, by
-   counting hashes in aggregates, down to single windows (``split_hot``).
+   Their windows are halved by offset, and what a half shares beside the anchor
+   tells them apart, until at most ``most`` contexts share it: these go through
+   the tree with the longer string in the anchor's place (``split_hot``).  A
+   repeat is then listed as far as it lies in one half's surroundings.
 5. Every occurrence is covered as far as its class's repeats reach; the covered
    bytes of a text are merged and removed (``remove_repeats``).
 
@@ -38,6 +40,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -217,70 +220,83 @@ REPEATS = "repeat_id long, length int, gram long, context long, left int, right
 
 
 def tree_repeats(contexts: DataFrame, shape: Shape) -> DataFrame:
-    """The maximal repeats of all anchor strings of at most ``most`` contexts: one row per
-    repeat and class, with how far the class's occurrences agree to either side of the anchor."""
+    """The maximal repeats among the contexts of each ``core``, of at most ``most`` rows: one row
+    per repeat and class, with how far the class's occurrences agree to either side of the anchor."""
 
     def run(batches: Iterator[dict]) -> Iterator[list]:
-        rows = (r for b in batches for r in zip(b["gram"], b["context"], b["lefts"], b["rights"]))
+        rows = (r for b in batches for r in zip(*(b[c] for c in ("core", "gram", "context", "lefts", "rights"))))
         out: list[tuple] = []
-        for gram, group in groupby(rows, key=lambda r: r[0]):
-            members = [next(g) for _, g in groupby(group, key=lambda r: (r[1], r[3]))]  # one of equal rows
-            lefts, rights = [m[2] for m in members], [m[3] for m in members]
+        for _, group in groupby(rows, key=lambda r: r[0]):
+            members = [next(g) for _, g in groupby(group, key=lambda r: (r[2], r[4]))]  # one of equal rows
+            lefts, rights = [m[3] for m in members], [m[4] for m in members]
             for depth, shared, found in maximal_repeats(lefts, rights, shape.slack):
                 one = found[0][0]
+                gram = members[one][1]
                 name = xxhash.xxh3_64_intdigest(b"%d|" % gram + lefts[one][:shared] + b"|" + rights[one][:depth]) - (1 << 63)
-                out += [(name, shape.gram + depth + shared, gram, members[i][1], reach, depth) for i, reach in found]
+                out += [(name, shape.gram + depth + shared, gram, members[i][2], reach, depth) for i, reach in found]
             if len(out) > 50_000:
                 yield out
                 out = []
         yield out
 
-    return map_rows(contexts.repartition("gram").sortWithinPartitions("gram", "rights", "context"), run, REPEATS)
+    return map_rows(contexts.select("core", "gram", "context", "lefts", "rights").repartition("core").sortWithinPartitions("core", "rights", "context"), run, REPEATS)
 
 
 # ---------------------------------------------------------------- hot anchor strings
 
 
-def split_hot(contexts: DataFrame, shape: Shape) -> DataFrame:
-    """The same rows for anchor strings with too many contexts for one task.
+def halves(rows: DataFrame, shape: Shape) -> DataFrame:
+    """Each row (gram, context, lefts, rights, a, b) once per half of its offsets a..b in which its text
+    holds a window, cut to the half's surroundings, with the hashes of core and surroundings."""
+    slack = shape.slack
+
+    def run(batches: Iterator[dict]) -> Iterator[list]:
+        for batch in batches:
+            out = []
+            for gram, context, left, right, first, last in zip(*(batch[c] for c in ("gram", "context", "lefts", "rights", "a", "b"))):
+                middle = (first + last) // 2
+                for a, b in ((first, middle), (middle + 1, last)):
+                    if max(a, slack - len(right)) <= min(b, len(left)):
+                        core = xxhash.xxh3_64_intdigest(b"%d|%d|" % (gram, a) + left[:a] + b"|" + right[: slack - b])
+                        l, r = left[:b], right[: slack - a]
+                        out.append((gram, context, l, r, a, b, core - (1 << 63), xxhash.xxh3_64_intdigest(l + b"|" + r, len(l)) - (1 << 63)))
+            yield out
+
+    return map_rows(rows, run, "gram long, context long, lefts binary, rights binary, a int, b int, core long, around long")
+
+
+def split_hot(contexts: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """(known, cores) for anchor strings with too many contexts for one task: repeats that counting
+    shows, and rows for ``tree_repeats`` with at most ``most`` contexts to a core.
 
     A window is an offset o: o bytes left of the anchor and slack - o right of it.
-    A range a..b of offsets shares a bytes left and slack - b right, its core.
-    Ranges shrink from level to level; equal surroundings of a core are
-    repeats; cores with one are done, and the others are split further, down to
-    single offsets, where core and surroundings are the same.  One of each
-    surroundings goes on, so that nothing loses its partner.
+    The windows of the offsets a..b share a core, the anchor with a bytes left and
+    slack - b right, and lie in surroundings of b bytes left and slack - a right.
+    Each level halves the ranges, so cores grow and surroundings shrink.  Equal
+    surroundings are repeats; one of each goes on, so that nothing loses its partner.
+    A core with one surroundings is done, one with at most ``most`` goes to the tree
+    with the core in the anchor's place, and the others are halved again.  At a
+    single offset core and surroundings are the same, so all end.
     """
-    slack = shape.slack
-    rows = contexts.select("gram", "context", "lefts", "rights", F.lit(0).alias("a"), F.lit(slack).alias("b"))
-    found = None
-    width = slack + 1
-    while width > 1:
-        width = max(1, -(-width // 6))
-
-        def cut(batches: Iterator[dict], width: int = width) -> Iterator[list]:
-            for batch in batches:
-                out = []
-                for gram, context, left, right, lo, hi in zip(*(batch[c] for c in ("gram", "context", "lefts", "rights", "a", "b"))):
-                    for a in range(lo, hi + 1, width):
-                        b = min(a + width - 1, hi)
-                        if max(a, slack - len(right)) <= min(b, len(left)):  # the text holds a window of the range
-                            core = xxhash.xxh3_64_intdigest(b"%d|%d|" % (gram, a) + left[:a] + b"|" + right[: slack - b])
-                            around = xxhash.xxh3_64_intdigest(left[:b] + b"|" + right[: slack - a], len(left[:b]))
-                            out.append((gram, context, left, right, a, b, core - (1 << 63), around - (1 << 63)))
-                yield out
-
-        parts = stored(map_rows(rows, cut, "gram long, context long, lefts binary, rights binary, a int, b int, core long, around long"), "suffix-split")
-        same = parts.groupBy("core", "a", "around").agg(F.count("*").alias("n_around"), F.min(F.struct("gram", "context")).alias("one"))
-        cores = same.groupBy("core", "a").agg(F.count("*").alias("arounds")).where("arounds > 1")
-        left, right = F.least("b", F.length("lefts")), F.least(F.lit(slack) - F.col("a"), F.length("rights"))
-        known = parts.join(same.where("n_around > 1"), ["core", "a", "around"]).select(
-            F.xxhash64("core", "a", "around").alias("repeat_id"), (left + right + shape.gram).alias("length"), "gram", "context", left.alias("left"), right.alias("right")
+    rows = contexts.select("gram", "context", "lefts", "rights", F.lit(0).alias("a"), F.lit(shape.slack).alias("b"))
+    known, small = [], []
+    for _ in range(shape.slack.bit_length()):
+        parts = stored(halves(rows, shape), "suffix-split")
+        # the small sides of the joins below come from tables, so that a hot core can be split
+        same = stored(parts.groupBy("core", "around").agg(F.count("*").alias("n"), F.min(F.struct("gram", "context")).alias("one")), "suffix-arounds")
+        cores = stored(same.groupBy("core").agg(F.count("*").alias("arounds")).where("arounds > 1"), "suffix-cores")
+        known.append(
+            parts.join(same.where("n > 1").select("core", "around"), ["core", "around"]).select(
+                F.xxhash64("core", "around").alias("repeat_id"), (F.length("lefts") + F.length("rights") + shape.gram).alias("length"), "gram", "context", F.length("lefts").alias("left"), F.length("rights").alias("right")
+            )
         )
-        found = known if found is None else found.unionByName(known)
-        ones = same.join(cores, ["core", "a"]).select("core", "a", "around", "one.gram", "one.context")
-        rows = parts.join(ones, ["core", "a", "around", "gram", "context"], "left_semi").select("gram", "context", "lefts", "rights", "a", "b")
-    return found
+        ones = same.select("core", "around", "one.gram", "one.context").join(cores, "core")
+        open_rows = stored(parts.join(ones, ["core", "around", "gram", "context"]).select("core", "gram", "context", "lefts", "rights", "a", "b", (F.col("arounds") > shape.most).alias("hot")), "suffix-open")
+        small.append(open_rows.where("not hot").select("core", "gram", "context", "lefts", "rights"))
+        rows = open_rows.where("hot")
+        if not rows.take(1):
+            break
+    return reduce(DataFrame.unionByName, known), reduce(DataFrame.unionByName, small)
 
 
 # ---------------------------------------------------------------- texts
@@ -326,16 +342,19 @@ def repeats(docs: DataFrame, found: DataFrame, shape: Shape = Shape()) -> DataFr
     ``at - left`` to ``at + gram + right``."""
     place = F.min(F.struct("doc_id", "text_key", "at")).alias("p")
     classes = stored(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("after").alias("after"), place), "suffix-classes")
-    whole = F.col("before") + F.col("after")
-    copies = classes.where((F.col("n") > 1) & (whole >= shape.slack)).select(
-        F.xxhash64("gram", "context").alias("repeat_id"), (whole + shape.gram).alias("length"), "gram", "context", F.col("before").alias("left"), F.col("after").alias("right")
+    both = F.col("before") + F.col("after")
+    copies = classes.where((F.col("n") > 1) & (both >= shape.slack)).select(
+        F.xxhash64("gram", "context").alias("repeat_id"), (both + shape.gram).alias("length"), "gram", "context", F.col("before").alias("left"), F.col("after").alias("right")
     )
     several = stored(classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1"), "suffix-several")
     wanted = classes.join(several, "gram").select("p.doc_id", "p.text_key", "p.at", "gram", "context", (F.col("classes") > shape.most).alias("hot"))
     contexts = stored(cut_contexts(docs, wanted, shape), "suffix-contexts")
-    out = copies.unionByName(tree_repeats(contexts.where("not hot"), shape))
-    hot = contexts.where("hot").drop("hot")
-    return out.unionByName(split_hot(hot, shape)) if hot.take(1) else out
+    whole = contexts.where("not hot").select(F.col("gram").alias("core"), "gram", "context", "lefts", "rights")
+    hot = contexts.where("hot")
+    if not hot.take(1):
+        return copies.unionByName(tree_repeats(whole, shape))
+    known, cores = split_hot(hot, shape)
+    return copies.unionByName(known).unionByName(tree_repeats(whole.unionByName(cores), shape))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
