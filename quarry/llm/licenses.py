@@ -3,8 +3,8 @@ the nearest ancestor directory that has a licence file.
 
 1. Notices: every sentence or line of the whole text with a licence cue, and the
    sentences of paragraphs whose lines are joined.  Long units: blocks between
-   empty lines and their paragraphs (comment marks taken off), and short texts and
-   licence files whole; they are compared with the fuller templates ``FULL``.
+   empty lines and their paragraphs (comment marks taken off), and every text
+   whole; they are compared with the fuller templates ``FULL``.
 2. Each notice is a bag of terms hashed to ``SLOTS``; document frequencies cover
    all notices of the table (and the templates), one count per slot.
 3. A notice takes the template of highest cosine, if it is at least
@@ -79,8 +79,6 @@ FULL = {
     ],
 }
 LONG_SCORE = 0.75
-#: Texts of at most so many words are compared whole; longer ones by their blocks, or if they are licence files by name.
-WHOLE_WORDS = 1000
 EMPTY_LINE = r"\n[ \t\r]*\n"
 COMMENT_MARK = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)[ \t\r]*$"
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([^\n]*)"
@@ -102,7 +100,7 @@ def notices(text: Column) -> Column:
     return F.when(text.rlike(CUE), cut).otherwise(F.array().cast("array<string>"))
 
 
-def long_units(text: Column, path: Column) -> tuple[Column, Column]:
+def long_units(text: Column) -> tuple[Column, Column]:
     """(joined sentences, long units) of a text, as arrays."""
     none = F.array().cast("array<string>")
     cued = lambda xs: F.filter(xs, lambda x: x.rlike(CUE))
@@ -111,9 +109,8 @@ def long_units(text: Column, path: Column) -> tuple[Column, Column]:
     paragraphs = cued(F.flatten(F.transform(blocks, lambda b: F.split(b, EMPTY_LINE))))
     wrapped = F.filter(paragraphs, lambda p: p.contains("\n"))
     joined = cued(F.flatten(F.transform(wrapped, lambda p: F.split(F.regexp_replace(p, r"\s+", " "), SENTENCE_END))))
-    whole = F.when(basename(path).rlike(LICENCE_FILE) | (n_words(text) <= WHOLE_WORDS), F.array(plain(text))).otherwise(none)
     given = lambda xs: F.when(text.rlike(CUE), xs).otherwise(none)
-    return given(joined), given(F.array_distinct(F.concat(whole, blocks, paragraphs)))
+    return given(joined), given(F.array_distinct(F.concat(F.array(plain(text)), blocks, paragraphs)))
 
 
 def spdx_ids(text: Column) -> Column:
@@ -149,12 +146,12 @@ def best_template(names: list[str], matrix: np.ndarray, idf: np.ndarray, bags) -
 
 
 def best_of(units: dict, short: tuple, full: tuple, idf: np.ndarray, least_long: float) -> tuple[str | None, float, bool]:
-    """(template, score, whether the first long unit, the text as a whole where it is one, matches) of a file's units."""
+    """(template, score, whether the first long unit, the text as a whole, matches) of a file's units."""
     known = {name.lower(): name for name in [*short[0], *full[0]]}
     tagged = next((known[x.lower()] for x in units["spdx"] if x.lower() in known), None)
     name, score = best_template(*short, idf, [*units["notices"], *units["joined"]])
     long = [best_template(*full, idf, [bag]) for bag in units["long"]]
-    whole = bool(units["whole"] and long and long[0][1] >= least_long)
+    whole = bool(long and long[0][1] >= least_long)
     for n, x in long:
         if x >= least_long and x > score + 1e-12:
             name, score = n, x
@@ -224,12 +221,11 @@ def inherit(found: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least_score: float = 0.6) -> DataFrame:
     """(doc_id, path, license, score, is_license_file, effective, inherited_from) of files (doc_id, path, text)."""
-    text, path = F.coalesce("text", F.lit("")), F.col("path")
-    joined, long = long_units(text, path)
+    text = F.coalesce("text", F.lit(""))
+    joined, long = long_units(text)
     read = files.select("doc_id", "path", notices(text).alias("cut"), n_words(text).alias("words"), joined.alias("joined"), long.alias("long"), spdx_ids(text).alias("spdx"))
     bags = lambda c: F.transform(c, slots).alias(c)
-    whole = basename(path).rlike(LICENCE_FILE) | (F.col("words") <= WHOLE_WORDS)
-    units = F.struct(bags("cut").alias("notices"), bags("joined"), bags("long"), "spdx", whole.alias("whole"))
+    units = F.struct(bags("cut").alias("notices"), bags("joined"), bags("long"), "spdx")
     narrow = read.select("doc_id", "path", "words", F.transform("cut", n_words).alias("notice_words"), units.alias("units"))
     found = detect(stored(narrow, "licence-notices"), templates, least_score)
     return inherit(stored(found.drop("words", "units", "notice_words"), "licence-found"))

@@ -133,3 +133,13 @@ def test_headers_and_licence_files_are_compared_whole(spark):
     assert all(got[i][1] for i in (4, 5, 9, 10, 11, 14)) and not any(got[i][1] for i in (13,))
     many = [(100 * i + j, f"{i}/{j}", t) for i, _, t in rows for j in range(20)]
     assert all(r[2] == want[r[0] // 100] for r in result(spark, many))
+
+
+def test_a_long_text_is_compared_whole_whatever_its_name(spark):
+    # spread over lines and blocks, so that no block alone is like the licence
+    words = li.FULL["BSD-3-Clause"][0].split()
+    text = "\n\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    rows = [(1, "d1/notes", text), (2, "d2/notes", "\n\n".join([text] * 6)), (3, "d3/LICENSE", "\n\n".join([text] * 6)), (4, "d2/below.c", "int x;")]
+    assert len(rows[1][2].split()) > 1000
+    got = {r[0]: r[2:] for r in result(spark, rows)}
+    assert got[1][:2] == got[2][:2] == got[3][:2] == ("BSD-3-Clause", True) and got[4][2:] == ("BSD-3-Clause", "d2")
