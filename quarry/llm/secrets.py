@@ -22,13 +22,14 @@ Positions need no search: ``split`` gives the text between matches and
 Sums run in blocks so that a text with very many matches stays near linear.
 
 Defined cases: null text counts as empty; no match gives empty spans and the
-digest of ''; repeated rows each give a row; other columns pass through; an empty
-table gives an empty result.
+digest of ''; repeated rows each give a row; other columns pass through (``scan``
+replaces columns named as its own three); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,22 +78,25 @@ SPAN = "array<struct<start:bigint,kind_no:int,end:bigint>>"
 BLOCK = 256
 
 
-def running_sums(lengths: Column) -> Column:
-    """Sums before each element, [0, l1, l1 + l2, ...] without the total; in blocks."""
-    zero = F.lit(0).cast("long")
+def running(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """``add`` over the elements before each element, [zero, v1, v1 + v2, ...] without the total; in blocks."""
 
     def before(values: Column, start: Column) -> Column:
-        """Exclusive running sums of a short array."""
-        grown = F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        """Of a short array."""
+        grown = F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
         return F.slice(grown, 1, F.size(values))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    totals = F.transform(blocks, lambda v: F.aggregate(v, zero, lambda acc, x: acc + x))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<bigint>")).otherwise(
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+    totals = F.transform(blocks, lambda v: F.aggregate(v, zero, add))
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(
         F.flatten(F.zip_with(blocks, before(totals, zero), lambda v, start: before(v, start)))
     )
 
 
+def running_sums(lengths: Column) -> Column:
+    return running(lengths, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
 def pattern_of(kind: str) -> str:
     return (PATTERNS.get(kind) or CLASSES[kind])[0]
 
@@ -241,19 +245,16 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace every secret by ``mark``, kind by kind; a candidate of an entropy
-    kind is replaced whole if any window of it is high.  Texts without one stay as they are."""
-    for kind in KINDS:
-        if kind in PATTERNS:
-            _, group, least = PATTERNS[kind]
-            secret = lambda m, k=kind, g=group, n=least: F.length(F.regexp_extract(m, pattern_of(k), g)) >= n
-        else:
-            secret = lambda m, k=kind: F.size(secret_runs(m, k)) > 0
-        docs = docs.withColumn("_m", matches_of(F.col(text), kind))
-        hidden = F.transform("_m", lambda m: F.when(secret(m), F.lit(mark)).otherwise(m))
-        rebuilt = F.array_join(F.flatten(F.zip_with(F.split(F.col(text), pattern_of(kind), -1), F.concat(hidden, F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
-        docs = docs.withColumn(text, F.when(F.size("_m") > 0, rebuilt).otherwise(F.col(text))).drop("_m")
-    return docs
+    """Replace the spans that ``scan`` reports as ``whole`` by ``mark``, spans that overlap
+    or touch by one.  Texts without a span, nulls too, and all other columns stay as they are."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = scan(rows).select("row", "text", "whole")
+    upto = running(F.transform("whole", lambda x: x["end"]), F.lit(-1).cast("long"), lambda a, b: F.greatest(a, b))  # where the spans before end
+    between = lambda x, end: F.substr("text", (F.greatest(end, F.lit(0)) + 1).cast("int"), (x["start"] - F.greatest(end, F.lit(0))).cast("int"))
+    pieces = F.zip_with("whole", upto, lambda x, end: F.when(x["start"] > end, F.concat(between(x, end), F.lit(mark))).otherwise(F.lit("")))
+    rest = F.substr("text", (F.array_max(F.transform("whole", lambda x: x["end"])) + 1).cast("int"))
+    hidden = F.when(F.size("whole") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
+    return found.select(*[(hidden if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -119,3 +120,77 @@ def test_the_allow_list_hides_no_token_beside_it(spark):
     redacted = secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     for r, found in zip(redacted, got):
         assert ("[SECRET]" in r.text) == (found != "") and (found or r.text == texts[r.doc_id])
+
+
+def high(c, least):
+    return [i for i in range(len(c) - secrets.WINDOW + 1) if -sum(x / secrets.WINDOW * math.log2(x / secrets.WINDOW) for x in Counter(c[i : i + secrets.WINDOW]).values()) >= least - 1e-9]
+
+
+def brute_whole(text):
+    """The list of ``whole`` by plain Python: segments, digests, allow-list, and what the spans before leave."""
+    text = text or ""
+    base = sorted((m.start(), no, m.end()) for no, (rx, group, least) in enumerate(secrets.PATTERNS.values()) for m in re.finditer(rx, text) if len(m.group(group)) >= least)
+    cut = rf"^{secrets.DIGEST}|{secrets.PLACEHOLDER}"
+    taken = list(base)
+    for no, (rx, alphabet, least) in enumerate(secrets.CLASSES.values(), len(secrets.PATTERNS)):
+        fold = str.lower if alphabet == alphabet.lower() else str
+        spans = []
+        for m in re.finditer(rx, text):
+            borders = [0, *(x for p in re.finditer(cut, m.group()) for x in p.span()), len(m.group())]
+            for a, b in zip(borders[::2], borders[1::2]):
+                part = m.group()[a:b]
+                if not any(re.search(p, part) for p in secrets.ALLOWED):
+                    runs = []
+                    for i in high(fold(part), least):
+                        if runs and runs[-1][1] >= i:
+                            runs[-1][1] = i + secrets.WINDOW
+                        else:
+                            runs.append([i, i + secrets.WINDOW])
+                    spans += [(m.start() + a + i, m.start() + a + j) for i, j in runs]
+        kept = []
+        for i, j in spans:
+            over = [t for t in taken if t[0] < j and i < t[2]]
+            at = i
+            for s, _, e in over:
+                if high(fold(text[at : max(s, at)]), least):
+                    kept.append((at, no, s))
+                at = max(at, e)
+            if not over or high(fold(text[at:j]), least):
+                kept.append((at, no, j))
+        taken = sorted(taken + kept)
+    return ",".join(f"{secrets.KINDS[no]}:{s}:{e}" for s, no, e in taken)
+
+
+def random_texts(seed, n=150):
+    rng = random.Random(seed)
+    some = lambda letters, lo, hi: "".join(rng.choices(letters, k=rng.randint(lo, hi)))
+    base64, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+", "0123456789abcdef"
+    parts = [
+        lambda: some(base64, 15, 45), lambda: some(hexes, 20, 50), lambda: some(hexes.upper(), 20, 50), lambda: "token=" + some(base64, 5, 30), lambda: "AKIA" + some("ABCDEF0123456789", 8, 30),
+        lambda: "sha256-" + some(hexes, 64, 64), lambda: "md5_" + some(hexes, 32, 33), lambda: "example" + some(base64, 0, 9), lambda: "plain words", lambda: "configuration", lambda: "é𝄞",
+    ]
+    return ["".join(rng.choice(parts)() + rng.choice(["/", " ", "-", "_", "", "."]) for _ in range(rng.randint(1, 7))) for _ in range(n)]
+
+
+def test_whole_against_brute_force(spark):
+    texts = CASES + random_texts(1)
+    assert found_in(spark, texts) == [brute_whole(t) for t in texts]
+    assert len({x.split(":")[0] for t in texts for x in brute_whole(t).split(",")} - {""}) == len(secrets.KINDS)
+
+
+def test_redaction_replaces_the_reported_spans(spark):
+    token = "A8s7dK2lQpZ0xY9vB3nM5tR1wE6u"
+    texts = CASES + [f"https://h.io/docs/readme/{token}/more/plain/path/words", "d41d8cd98f00b204e9800998ecf8427e/" + token] + random_texts(2)
+    docs = spark.createDataFrame([(i, t, "kept", i) for i, t in enumerate(texts)], "doc_id long, text string, whole string, `a.b` int")
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    rows = out.orderBy("doc_id").collect()
+    for r, text in zip(rows, texts):
+        spans = sorted(tuple(map(int, x.split(":")[1:])) for x in brute_whole(text).split(",") if x)
+        want, at = "", -1
+        for s, e in spans:
+            want += text[max(at, 0) : s] + "[SECRET]" if s > at else ""
+            at = max(at, e)
+        assert (r.text, r.whole, r["a.b"]) == (want + text[max(at, 0) :] if spans else text, "kept", r.doc_id)
+    path = rows[len(CASES)].text  # a high window may hold some letters of the path beside the token
+    assert token not in path and path.startswith("https://h.io/d") and path.endswith("/words")
