@@ -8,7 +8,7 @@ row and only then exploded, so no exploded row carries the whole array.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,6 +125,56 @@ def chunk_tree(
 
 # Sentence end: after . ! ? followed by whitespace, or at a line break.
 SENTENCE_SPLIT = r"(?<=[.!?])\s+|\n+"
+SPAN_BLOCK = 128
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once (a one-element transform names it)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunk_spans(since: Column, left: Column, n_pieces: Column, size: int, overlap: int) -> Column:
+    """(start, end) token positions of the packed chunks.
+
+    ``since`` is each token's distance from the first token of its piece, ``left`` that to
+    the first token behind it.
+    """
+    n = F.size(since)
+
+    def end_of(start: Column) -> Column:
+        """Where the piece begins that does not fit any more."""
+        over = start + size
+        return F.when(over >= n, n).otherwise(over - F.get(since, over))
+
+    def next_start(end: Column) -> Column:
+        """The first piece border within ``overlap`` tokens before ``end``, if the next piece fits behind it."""
+        back = F.when(end <= overlap, F.lit(0)).otherwise(end - overlap - 1 + F.get(left, end - overlap - 1))
+        carried = lambda b: F.when((b < end) & (end + F.get(left, end) - b <= size), b).otherwise(end)
+        return F.when(end >= n, n).otherwise(_bind(back, carried))
+
+    def step(state: Column, _: Column) -> Column:
+        def follow(end: Column) -> Column:
+            span = F.struct(state["at"].alias("start"), end.alias("end"))
+            return F.struct(next_start(end).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+        return F.when(state["at"] >= n, state).otherwise(_bind(end_of(state["at"]), follow))
+
+    # any two chunks in a row advance by more than size - overlap tokens, and each by a piece
+    steps = F.least(n_pieces, F.floor(n / (size - overlap)).cast("int") * 2 + 2)
+    spans = "array<struct<start:int,end:int>>"
+
+    def block(at: Column) -> Column:
+        begin = F.struct(at.alias("at"), F.array().cast(spans).alias("spans"))
+        return F.aggregate(F.sequence(F.lit(1), F.least(steps, F.lit(SPAN_BLOCK))), begin, step)
+
+    # in blocks, as each step of a fold copies what it has found
+    blocks = F.aggregate(
+        F.sequence(F.lit(1), F.ceil(steps / SPAN_BLOCK).cast("int")),
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("blocks")),
+        lambda state, _: _bind(block(state["at"]), lambda x: F.struct(x["at"].alias("at"), F.concat(state["blocks"], F.array(x["spans"])).alias("blocks"))),
+        lambda state: state["blocks"],
+    )
+    return F.flatten(blocks)
 
 
 def chunk_sentences(
@@ -140,8 +190,12 @@ def chunk_sentences(
     Sentences are packed while the chunk stays within ``size`` tokens; the
     next chunk starts with the trailing whole sentences of the previous one
     whose tokens sum to at most ``overlap``.  A sentence longer than ``size``
-    is first cut into overlapping ``size``-token windows (T2a).  One ``aggregate`` fold per
-    document row: no shuffle, no Python.
+    is first cut into overlapping ``size``-token windows (T2a).
+
+    A chunk is a run of whole pieces, so where it starts says where it ends and where
+    the next one starts.  Two arrays, how far each token is from its piece's
+    start and end, answer both by position; one step per chunk follows these
+    pointers, and the texts are cut last.  No shuffle, no Python.
     Output: (node_id, doc_id, chunk_no, text, n_tokens).
     """
     sents = F.filter(
@@ -159,44 +213,23 @@ def chunk_sentences(
             ),
         )
     )
-    empty_s = F.array().cast("array<string>")
-    empty_i = F.array().cast("array<int>")
-    init = F.struct(
-        F.array().cast("array<array<string>>").alias("done"), empty_s.alias("cur"), empty_i.alias("lens")
-    )
-
-    def step(acc, p):
-        n = F.size(p)
-        fits = F.size(acc["cur"]) + n <= F.lit(size)
-        tail = F.aggregate(
-            F.reverse(acc["lens"]),
-            F.struct(F.lit(0).alias("sum"), F.lit(0).alias("cnt"), F.lit(False).alias("stop")),
-            lambda s, x: F.when(
-                (~s["stop"]) & (s["sum"] + x <= F.lit(overlap)),
-                F.struct((s["sum"] + x).alias("sum"), (s["cnt"] + 1).alias("cnt"), F.lit(False).alias("stop")),
-            ).otherwise(F.struct(s["sum"].alias("sum"), s["cnt"].alias("cnt"), F.lit(True).alias("stop"))),
-        )
-        ovl_tok = tail["sum"]
-        keep_ovl = (ovl_tok > 0) & (ovl_tok + n <= F.lit(size))
-        ovl_words = F.slice(acc["cur"], F.size(acc["cur"]) - ovl_tok + 1, ovl_tok)
-        ovl_lens = F.slice(acc["lens"], F.size(acc["lens"]) - tail["cnt"] + 1, tail["cnt"])
-        started = F.struct(
-            F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
-            F.when(keep_ovl, F.concat(ovl_words, p)).otherwise(p).alias("cur"),
-            F.when(keep_ovl, F.concat(ovl_lens, F.array(n))).otherwise(F.array(n)).alias("lens"),
-        )
-        grown = F.struct(
-            acc["done"].alias("done"), F.concat(acc["cur"], p).alias("cur"), F.concat(acc["lens"], F.array(n)).alias("lens")
-        )
-        return F.when(fits, grown).otherwise(started)
-
-    packed = F.aggregate(
-        pieces, init, step,
-        lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]),
+    packed = _bind(
+        pieces,
+        lambda ps: _bind(
+            F.struct(
+                F.flatten(ps).alias("words"),
+                F.flatten(F.transform(ps, lambda p: F.sequence(F.lit(0), F.size(p) - 1))).alias("since"),
+                F.flatten(F.transform(ps, lambda p: F.sequence(F.size(p), F.lit(1)))).alias("left"),
+            ),
+            lambda t: F.transform(
+                _chunk_spans(t["since"], t["left"], F.size(ps), size, overlap),
+                # word by word, as ``slice`` copies the whole array first
+                lambda c: F.array_join(F.transform(F.sequence(c["start"], c["end"] - 1), lambda at: F.get(t["words"], at)), " "),
+            ),
+        ),
     )
     out = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.posexplode_outer(F.transform(packed, lambda c: F.array_join(c, " "))).alias("chunk_no", "text"),
+        F.col(id_col).alias("doc_id"), F.posexplode_outer(F.when(F.size(pieces) > 0, packed)).alias("chunk_no", "text")
     ).filter(F.col("text").isNotNull())
     return out.select(
         F.concat_ws("/", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("node_id"),

@@ -127,3 +127,35 @@ def test_chunk_sentences_matches_python_transcription(spark):
     for r in rows:
         exp = _py_pack(r["text"], 64, 12)
         assert [t for _, t in sorted(got.get(r["doc_id"], []))] == exp, r["doc_id"]
+
+
+def test_chunk_sentences_on_random_texts(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "bb", "Ccc", "d1"])
+    sentence = lambda: " ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 14]))) + rng.choice([". ", "! ", "\n", "?\n\n", ".", " "])
+    texts = ["", " .\n", None] + ["".join(sentence() for _ in range(rng.randint(1, 25))) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((1, 0), (4, 0), (6, 2), (7, 6), (10, 4)):
+        got = {}
+        for r in chunking.chunk_sentences(d, size, overlap).collect():
+            got.setdefault(r["doc_id"], []).append((r["chunk_no"], r["text"], r["n_tokens"]))
+        for i, t in enumerate(texts):
+            want = [(k, c, len(c.split())) for k, c in enumerate(_py_pack(t or "", size, overlap))]
+            assert sorted(got.get(i, [])) == want, (size, overlap, t)
+
+
+def test_chunk_sentences_of_a_very_long_text_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = "The quick brown fox jumps over the lazy dog. " * n
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        assert chunking.chunk_sentences(d).agg({"n_tokens": "sum"}).first()[0] > 9 * n
+        return time.time() - start
+
+    seconds(20_000)  # warm-up
+    short, long = seconds(55_000), seconds(220_000)  # 2.5 and 10 MB
+    assert long < 8 * short + 3  # four times the text
