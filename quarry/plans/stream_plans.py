@@ -18,6 +18,7 @@ from quarry.plans.common import as_bigint
 from quarry.plans.tree_plans import fixed_chunks_sql
 from quarry.session import work_path
 from quarry.sources.tables import table
+from quarry.streaming.ingest_state import StateIngest
 from quarry.streaming.ingest_stream import StreamIngest
 
 T0 = "2026-01-01 00:00:00"
@@ -54,11 +55,21 @@ def stream_ingest(spark: SparkSession, sf: str):
     return as_bigint(job.current_chunks(), "chunk_no", "n_tokens")
 
 
-ORACLE = {
-    "stream_ingest": fixed_chunks_sql(
-        *chunking.INGEST_CHUNK,
-        src="SELECT doc_id, CASE WHEN lang = 'fr' THEN text || chr(10) || 'revised' ELSE text END AS text FROM documents",
-    ),
-}
+def stream_ingest_state(spark: SparkSession, sf: str):
+    """The same arrivals into keyed state; each arrival is a run of its own, restarted from the checkpoint."""
+    root = work_path(spark, "stream-state")
+    drop = f"{root}/drop"
+    for arrival in _arrivals(spark, sf):
+        arrival.write.mode("append").parquet(drop)
+        job = StateIngest(spark, root)
+        job.run(drop)
+    return as_bigint(job.current_chunks(), "chunk_no", "n_tokens")
+
+
+_NEWEST = fixed_chunks_sql(
+    *chunking.INGEST_CHUNK,
+    src="SELECT doc_id, CASE WHEN lang = 'fr' THEN text || chr(10) || 'revised' ELSE text END AS text FROM documents",
+)
+ORACLE = {"stream_ingest": _NEWEST, "stream_ingest_state": _NEWEST}
 
-QUERIES = {"stream_ingest": stream_ingest}
+QUERIES = {"stream_ingest": stream_ingest, "stream_ingest_state": stream_ingest_state}
