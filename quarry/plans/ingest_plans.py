@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import stable_doc_id
 from quarry.operators import bm25, chunking, ingest
+from quarry.operators.ingest_buckets import BucketedIngest
 from quarry.plans.common import as_bigint, bench_queries, round6
 from quarry.plans.sparse import bm25_sql
 from quarry.plans.tree_plans import fixed_chunks_sql
@@ -71,6 +72,13 @@ def upsert_delta(spark: SparkSession, sf: str):
     return as_bigint(_upsert(spark, sf)[2], "chunk_no", "n_tokens")
 
 
+def upsert_bucketed(spark: SparkSession, sf: str):
+    """I2 against bucketed tables: both runs of the scenario, read at the second's version."""
+    job = BucketedIngest(spark, work_path(spark, "bucketed"), buckets=16)
+    job.run(_docs(spark, sf).select("doc_id", "text"), ingest.chunker_256)
+    return as_bigint(job.chunks(job.run(_incoming(spark, sf), ingest.chunker_256)), "chunk_no", "n_tokens")
+
+
 def cache_hits_misses(spark: SparkSession, sf: str):
     prev = _docs(spark, sf).select("doc_id", "text")
     cache = ingest.chunker_256(prev.withColumn("input_hash", F.sha2("text", 256))).select(
@@ -137,6 +145,10 @@ SELECT c.*, d.source AS file_name, 'local_documents' AS source,
             WHEN contains(lower(coalesce(d.source, '')), 'python') THEN 'python' ELSE 'general' END AS category
 FROM ({_CHUNK_SQL}) c JOIN documents d ON d.doc_id = c.doc_id"""
 
+_APPLY_SQL = _CLS + f"""
+SELECT * FROM ({_CHUNK_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM todo)
+UNION ALL SELECT * FROM ({_DELTA_SQL})"""
+
 ORACLE = {
     "stable_ids": "SELECT doc_id, coalesce(source, doc_id::VARCHAR) AS stable_id FROM documents",
     "enrich_metadata": """
@@ -147,9 +159,8 @@ SELECT doc_id, source AS file_name, 'local_documents' AS source,
             WHEN contains(lower(coalesce(source, '')), 'python') THEN 'python' ELSE 'general' END AS category
 FROM documents""",
     "upsert_classify": _CLS + "\nSELECT doc_id, status FROM cls",
-    "upsert_apply": _CLS + f"""
-SELECT * FROM ({_CHUNK_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM todo)
-UNION ALL SELECT * FROM ({_DELTA_SQL})""",
+    "upsert_apply": _APPLY_SQL,
+    "upsert_bucketed": _APPLY_SQL,
     "upsert_delta": _CLS + f"\nSELECT * FROM ({_DELTA_SQL})",
     "cache_hits_misses": f"""
 WITH inc AS ({INCOMING_SQL}), c AS (SELECT DISTINCT sha256(text) AS h FROM documents)
@@ -167,6 +178,7 @@ QUERIES = {
     "enrich_metadata": enrich_metadata,
     "upsert_classify": upsert_classify,
     "upsert_apply": upsert_apply,
+    "upsert_bucketed": upsert_bucketed,
     "upsert_delta": upsert_delta,
     "cache_hits_misses": cache_hits_misses,
     "dedup_exact": dedup_exact,
