@@ -19,6 +19,7 @@ from quarry.plans.common import as_bigint, bench_queries, round6
 from quarry.plans.sparse import bm25_sql
 from quarry.plans.tree_plans import fixed_chunks_sql
 from quarry.session import work_path
+from quarry.sources.collection import read_collection, write_collection
 from quarry.sources.tables import table
 
 TRANSFORM_ID = "split_256_20"
@@ -113,6 +114,15 @@ def collection_roundtrip(spark: SparkSession, sf: str):
     return as_bigint(back.select(*chunks.columns), "chunk_no", "n_tokens")
 
 
+def collection_source(spark: SparkSession, sf: str):
+    """S7/S8 through the collection source: written in one half after the other, then read back."""
+    path = work_path(spark, "collection-source")
+    chunks = _chain(spark, sf)
+    for mode, even in (("overwrite", 0), ("append", 1)):
+        write_collection(chunks.where(F.pmod("doc_id", F.lit(2)) == even), path, mode)
+    return as_bigint(read_collection(spark, path), "chunk_no", "n_tokens")
+
+
 def bm25_after_noop_ingest(spark: SparkSession, sf: str):
     """A no-op run yields an empty delta; the index is built from the full table."""
     docs = _docs(spark, sf).select("doc_id", "text")
@@ -170,6 +180,7 @@ SELECT doc_id, sha256(text) AS input_hash,
 SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1""",
     "ingest_transform_chain": _CHAIN_SQL,
     "collection_roundtrip": _CHAIN_SQL,
+    "collection_source": _CHAIN_SQL,
     "bm25_after_noop_ingest": bm25_sql(5, docs_sql=f"SELECT node_id, text FROM ({_CHUNK_SQL})"),
 }
 
@@ -184,5 +195,6 @@ QUERIES = {
     "dedup_exact": dedup_exact,
     "ingest_transform_chain": ingest_transform_chain,
     "collection_roundtrip": collection_roundtrip,
+    "collection_source": collection_source,
     "bm25_after_noop_ingest": bm25_after_noop_ingest,
 }
