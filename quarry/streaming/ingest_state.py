@@ -67,6 +67,10 @@ STREAM_CONF = {
     # expiry asks for batches without data for ever, and "all that is there" would never end
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+ONE_BATCH_CONF = {
+    # a run of one batch leaves no open stores, with their preallocated files, on the executors
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 BEFORE_ALL = -(2**63)
 
 
@@ -181,7 +185,8 @@ class StateIngest:
 
     def run(self, drop_dir: str, files_per_batch: int | None = None, available_now: bool = True):
         """Process the drop folder; with ``available_now`` it stops when caught up."""
-        with settings(self.spark, STREAM_CONF):
+        one_batch = available_now and not files_per_batch
+        with settings(self.spark, {**STREAM_CONF, **(ONE_BATCH_CONF if one_batch else {})}):
             stream = self.spark.readStream.schema(self.input_schema)
             if files_per_batch:
                 stream = stream.option("maxFilesPerTrigger", files_per_batch)
