@@ -70,6 +70,7 @@ def chunk_tree(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
+    texts: bool = True,
 ) -> DataFrame:
     """T4: three-tier tree, every tier cut from its parent's span, no overlap.
 
@@ -78,7 +79,8 @@ def chunk_tree(
     s * size_L div size_{L-1}.  Ids spell the path: "<doc>/<root>/<mid>/<leaf>".
     Whether a node is a leaf, and how many children its parent has, are known
     when it is cut and come with it, so no later join has to find out.
-    Output: (node_id, parent_id, doc_id, level, seq, text, n_tokens, is_leaf, siblings).
+    Output: (node_id, parent_id, doc_id, level, seq, text, n_tokens, is_leaf, siblings);
+    without ``texts`` the same nodes less their text, which then is not cut.
     """
     sizes = list(sizes)
     toks = docs.select(F.col(id_col).alias("doc_id"), tokenize(text_col).alias("_t")).withColumn("_n", F.size("_t"))
@@ -102,7 +104,8 @@ def chunk_tree(
                 (path(s, lvl, lvl - 1) if lvl > 0 else F.lit(None).cast("string")).alias("parent_id"),
                 F.lit(lvl).alias("level"),
                 s.alias("seq"),
-                F.array_join(F.slice(F.col("_t"), s * size + 1, F.lit(size)), " ").alias("text"),
+                *([F.array_join(F.slice(F.col("_t"), s * size + 1, F.lit(size)), " ").alias("text")] if texts else []),
+                F.least(F.lit(size), F.col("_n") - s * size).alias("n_tokens"),
                 (siblings(s, lvl) if lvl > 0 else F.lit(None).cast("bigint")).alias("siblings"),
             )
 
@@ -113,11 +116,10 @@ def chunk_tree(
     out = (
         toks.select("doc_id", F.explode_outer(F.when(F.col("_n") > 0, F.concat(*per_level))).alias("n"))
         .filter(F.col("n").isNotNull())
-        .select("n.node_id", "n.parent_id", "doc_id", "n.level", "n.seq", "n.text", "n.siblings")
+        .select("n.node_id", "n.parent_id", "doc_id", "n.level", "n.seq", *(["n.text"] if texts else []), "n.n_tokens", "n.siblings")
     )
     return out.select(
-        "node_id", "parent_id", "doc_id", "level", "seq", "text",
-        F.size(F.split("text", " ")).alias("n_tokens"),
+        "node_id", "parent_id", "doc_id", "level", "seq", *(["text"] if texts else []), "n_tokens",
         (F.col("level") == len(sizes) - 1).alias("is_leaf"),
         "siblings",
     )

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.topk import rank_by_score, store
+from quarry.operators.topk import materialize, rank_by_score, store
 
 # Fixed value: merge when retrieved/total children is strictly above this.
 MERGE_RATIO = 0.5
@@ -26,14 +26,17 @@ def child_counts(nodes: DataFrame) -> DataFrame:
 def merge_ratio(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """H1: per (query, parent) retrieved children, total children, ratio, mean score.
 
-    ``hits`` needs (query_id, node_id, score, parent_id).
+    ``hits`` needs (query_id, node_id, score, parent_id).  Only the children of
+    retrieved parents are counted.
     """
+    hits = materialize(hits)
+    retrieved = hits.select("parent_id").distinct()
     g = (
         hits.filter(F.col("parent_id").isNotNull())
         .groupBy("query_id", "parent_id")
         .agg(F.count(F.lit(1)).alias("n_hit"), F.avg("score").alias("mean_score"))
     )
-    return g.join(child_counts(nodes), "parent_id").withColumn(
+    return g.join(child_counts(nodes.select("parent_id").join(retrieved, "parent_id", "left_semi")), "parent_id").withColumn(
         "ratio", F.col("n_hit").cast("double") / F.col("n_children")
     )
 
@@ -71,7 +74,19 @@ def merge_once(hits: DataFrame, info: DataFrame, threshold: float = MERGE_RATIO)
     return kept.unionByName(ups)
 
 
+def hit_documents(hits: DataFrame, nodes: DataFrame, null_safe: bool = False) -> DataFrame:
+    """The nodes of the documents that ``hits`` names, without their texts; all nodes if
+    they name no document.  ``hits`` is small and written, so the nodes are not shuffled."""
+    nodes = nodes.drop("text")
+    if "doc_id" in nodes.columns:
+        found = store(hits.select("node_id").join(nodes.select("node_id", "doc_id"), "node_id").select(F.col("doc_id").alias("_doc")).distinct(), "merge-docs")
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) if null_safe else F.col("doc_id") == F.col("_doc")
+        nodes = nodes.join(found, same, "left_semi")
+    return store(nodes, "merge-nodes")
+
+
 def with_parents(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    hits = materialize(hits)  # k rows per query: known to be small, so the nodes are not shuffled
     return hits.select("query_id", "node_id", "score").join(nodes.select("node_id", "parent_id"), "node_id")
 
 
@@ -87,12 +102,8 @@ def automerge(
     # The hit list is bounded (k per query); it is written once so the
     # retrieval behind it is not re-run by each reader.
     hits = store(hits.select("query_id", "node_id", "score"), "merge-hits")
-    nodes = nodes.drop("text")
-    if "doc_id" in nodes.columns:
-        # merging stays inside documents: look up only the nodes of the hits' documents
-        docs = hits.select("node_id").join(nodes.select("node_id", "doc_id"), "node_id").select("doc_id").distinct()
-        nodes = nodes.join(docs, "doc_id", "left_semi")
-    nodes = store(nodes, "merge-nodes")
+    # merging stays inside documents: look up only the nodes of the hits' documents
+    nodes = hit_documents(hits, nodes)
     info = node_info(nodes)
     cur = hits.join(info, "node_id")
     for _ in range(depth - 1):
@@ -110,7 +121,9 @@ def fill_gaps(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     mean score.  ``hits`` needs (query_id, node_id, score, rank).
     """
     pos = nodes.select("node_id", "doc_id", "level", "seq")
-    b = hits.select("query_id", "node_id", "score", "rank").join(pos, "node_id")
+    # a few rows per query, read several times; written, so that they go to the nodes and not the nodes to them
+    b = store(materialize(hits.select("query_id", "node_id", "score", "rank")).join(pos, "node_id"), "gap-hits")
+    pos = pos.join(store(b.select("doc_id").distinct(), "gap-docs"), "doc_id", "left_semi")
     w = Window.partitionBy("query_id").orderBy("rank")
     nx = b.select(
         "query_id", "doc_id", "level", "seq", "score",

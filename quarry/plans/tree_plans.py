@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import bm25, chunking, dense, hierarchy
+from quarry.operators.topk import materialize
 from quarry.plans.common import as_bigint, bench_queries, dense_sql, round6, sql_tokens, text_vectors, text_vectors_sql
 from quarry.plans.sparse import bm25_sql
 from quarry.sources.tables import table
@@ -25,8 +26,8 @@ def chunk_fixed_1024(spark: SparkSession, sf: str):
     return as_bigint(chunking.chunk_fixed(_docs(spark, sf), *chunking.DEFAULT_CHUNK), "chunk_no", "n_tokens")
 
 
-def _tree(spark, sf):
-    return chunking.chunk_tree(_docs(spark, sf))
+def _tree(spark, sf, texts=True):
+    return chunking.chunk_tree(_docs(spark, sf), texts=texts)
 
 
 def hier_nodes(spark: SparkSession, sf: str):
@@ -42,9 +43,9 @@ def hier_leaf_root_counts(spark: SparkSession, sf: str):
     return as_bigint(out, "level", "n_nodes", "n_leaves", "n_roots")
 
 
-def _leaf_hits(spark, sf, nodes):
+def _leaf_hits(spark, sf):
     """V5: BM25 restricted to leaf nodes, top 6 per query."""
-    leaves = chunking.leaf_nodes(nodes).select("node_id", "text")
+    leaves = chunking.leaf_nodes(_tree(spark, sf)).select("node_id", "text")
     return bm25.bm25_topk(bench_queries(spark, sf), leaves, k=LEAF_K)
 
 
@@ -57,40 +58,41 @@ def dense_leaf_topk(spark: SparkSession, sf: str):
 
 def automerge_filled(spark: SparkSession, sf: str):
     """H3 and H4 as the library runs them: each pass fills gaps, then merges."""
-    nodes = _tree(spark, sf)
-    out = hierarchy.automerge(_leaf_hits(spark, sf, nodes), nodes, fill=True)
+    nodes = _tree(spark, sf, texts=False)  # merging reads no texts
+    out = hierarchy.automerge(_leaf_hits(spark, sf), nodes, fill=True)
     return as_bigint(round6(out, "score"), "rank")
 
 
 def automerge_ratio(spark: SparkSession, sf: str):
-    nodes = _tree(spark, sf)
-    hits = hierarchy.with_parents(_leaf_hits(spark, sf, nodes), nodes)
+    nodes = _tree(spark, sf, texts=False)  # merging reads no texts
+    hits = hierarchy.with_parents(_leaf_hits(spark, sf), nodes)
     out = hierarchy.merge_ratio(hits, nodes)
     return as_bigint(round6(out, "mean_score", "ratio"), "n_hit", "n_children")
 
 
 def automerge_once(spark: SparkSession, sf: str):
-    nodes = _tree(spark, sf)
-    info = hierarchy.node_info(nodes)
-    hits = _leaf_hits(spark, sf, nodes).select("query_id", "node_id", "score").join(info, "node_id")
+    nodes = _tree(spark, sf, texts=False)  # merging reads no texts
+    hits = materialize(_leaf_hits(spark, sf).select("query_id", "node_id", "score"))
+    info = hierarchy.node_info(hierarchy.hit_documents(hits, nodes, null_safe=True))
+    hits = hits.join(info, "node_id")
     return round6(hierarchy.merge_once(hits, info).drop("pn"), "score")
 
 
 def automerge_full(spark: SparkSession, sf: str):
-    nodes = _tree(spark, sf)
-    out = hierarchy.automerge(_leaf_hits(spark, sf, nodes), nodes)
+    nodes = _tree(spark, sf, texts=False)  # merging reads no texts
+    out = hierarchy.automerge(_leaf_hits(spark, sf), nodes)
     return as_bigint(round6(out, "score"), "rank")
 
 
 def automerge_fill_gap(spark: SparkSession, sf: str):
-    nodes = _tree(spark, sf)
-    out = hierarchy.fill_gaps(_leaf_hits(spark, sf, nodes), nodes)
+    nodes = _tree(spark, sf, texts=False)  # merging reads no texts
+    out = hierarchy.fill_gaps(_leaf_hits(spark, sf), nodes)
     return as_bigint(round6(out, "score"), "rank")
 
 
 def automerge_diff(spark: SparkSession, sf: str):
-    nodes = _tree(spark, sf)
-    base = _leaf_hits(spark, sf, nodes)
+    nodes = _tree(spark, sf, texts=False)  # merging reads no texts
+    base = materialize(_leaf_hits(spark, sf))
     out = hierarchy.diff_lists(base, hierarchy.automerge(base, nodes))
     return round6(out, "base_score", "merged_score")
 

@@ -159,3 +159,13 @@ def test_chunk_sentences_of_a_very_long_text_take_linear_time(spark):
     seconds(20_000)  # warm-up
     short, long = seconds(55_000), seconds(220_000)  # 2.5 and 10 MB
     assert long < 8 * short + 3  # four times the text
+
+
+def test_tree_without_texts_has_the_same_nodes(spark):
+    from quarry.operators import chunking
+
+    docs = spark.createDataFrame([(1, "w " * 700), (2, "a b"), (3, ""), (4, None)], "doc_id long, text string")
+    whole = chunking.chunk_tree(docs)
+    bare = chunking.chunk_tree(docs, texts=False)
+    assert "text" not in bare.columns
+    assert sorted(map(str, whole.drop("text").collect())) == sorted(map(str, bare.collect()))
