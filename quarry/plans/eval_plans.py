@@ -28,8 +28,8 @@ def _sparse_eval(spark, sf):
     q = bench_queries(spark, sf)
     docs = corpus(spark, sf)
     # the hit list (k per query) feeds several metrics: materialise it once,
-    # with the hit texts (late lookup on node_id)
-    hits = bm25.bm25_topk(q, docs, k=5)
+    # with the hit texts (late lookup on node_id: the hits go to the documents)
+    hits = materialize(bm25.bm25_topk(q, docs, k=5))
     texts = materialize(
         hits.join(doc_texts(spark, sf), "node_id").join(q.select("query_id", F.col("text").alias("qtext")), "query_id")
     )
