@@ -60,10 +60,24 @@ def counted(docs: DataFrame, segment: int, node_id: str, text: str, stopwords: l
     once = top_k(rows, ["node_id"], [F.desc("_n"), F.asc("_h")], 1, "_r")
     tokens = tokens_of("text")
     words = once.select("node_id", (F.filter(tokens, lambda w: ~w.isin(stopwords)) if stopwords else tokens).alias("t"))
-    occurrences = words.select("node_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
-    per_term = occurrences.groupBy("node_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    # a document's terms are bounded by its own text
-    listed = per_term.groupBy("node_id", "dl").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "n"))).alias("tf"))
+    node = words.schema["node_id"].dataType.simpleString()
+
+    def count(batches) -> Iterator:
+        """A document's terms are bounded by its own text: they are counted in its row, and no word is exchanged."""
+        import pyarrow as pa
+
+        for b in batches:
+            lists = b.column(1)
+            dl = lists.value_lengths().to_numpy(zero_copy_only=False)
+            encoded = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(dl)), dl)
+            terms = max(1, len(encoded.dictionary))
+            found, n = np.unique(row * terms + encoded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            ends = np.searchsorted(found, np.arange(len(dl) + 1) * terms)
+            tf = pa.StructArray.from_arrays([encoded.dictionary.take(pa.array(found % terms)), pa.array(n, pa.int32())], names=["term", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dl, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tf)], names=["node_id", "dl", "tf"])
+
+    listed = words.mapInArrow(count, f"node_id {node}, dl int, tf array<struct<term:string,n:int>>")
     return listed.select(F.lit(segment).alias("segment"), "node_id", "dl", "tf")
 
 

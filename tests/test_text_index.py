@@ -152,3 +152,12 @@ def test_ingest_store_newest_row_wins(spark):
     st = IngestStore(spark, work_path(spark, "store"))
     rows = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, "x", None)], "doc_id long, text string, modified_at int")
     assert [t[2] for t in texts(st, st.run(rows, ingest.chunker_256, "t"))] == ["new", "x"]
+
+
+def test_words_are_counted_in_their_row(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "a the"), (4, "a")], "node_id long, text string")
+    out = tix.counted(docs, 7, "node_id", "text", ["the"])
+    got = {r.node_id: (r.segment, r.dl, sorted((t.term, t.n) for t in r.tf)) for r in out.collect()}
+    assert got == {1: (7, 3, [("a", 1), ("b", 2)]), 2: (7, 0, []), 3: (7, 0, []), 4: (7, 1, [("a", 1)])}
+    # one exchange, of whole rows by node_id; before, words were exchanged twice more
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
