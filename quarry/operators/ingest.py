@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 
 from quarry.functions.text import SOURCE_TAG, category, document_name, stable_doc_id
 from quarry.operators import chunking
-from quarry.operators.topk import top_k
+from quarry.operators.topk import store, top_k
 
 DOC_STATE_SCHEMA = StructType(
     [
@@ -92,9 +92,11 @@ def upsert(
     order = [F.col("modified_at").desc_nulls_last()] if "modified_at" in incoming.columns else []
     hashed = incoming.withColumn("doc_hash", F.sha2(F.col("text"), 256))
     # versions are chosen and compared without their texts; only those of
-    # new and changed documents are fetched
+    # new and changed documents are fetched.  These are stored without texts, so the joins
+    # below know how few they are and send them to texts and chunks, which then stay in place.
     newest = top_k(hashed.drop("text"), ["doc_id"], [*order, F.col("doc_hash").desc_nulls_last()], 1, "_n").drop("_n")
     todo = with_status(newest, state).filter(F.col("status") != "unchanged")
+    todo = store(todo.select(*[c for c in todo.columns if c in {"doc_id", "doc_hash", *state.columns}]), "upsert-todo")
     wanted = todo.select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"))
     same = (F.col("doc_id") == F.col("_id")) & F.col("doc_hash").eqNullSafe(F.col("_hash"))
     texts = hashed.select("doc_id", "doc_hash", "text").join(wanted, same, "left_semi").dropDuplicates(["doc_id"])

@@ -26,6 +26,15 @@ def test_noop_ingest_has_empty_delta(spark):
     assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, chunks0.collect()))
 
 
+def test_noop_ingest_exchanges_no_texts(spark):
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in range(40)], "doc_id long, text string")
+    state = docs.select("doc_id", F.sha2("text", 256).alias("doc_hash"))
+    chunks, _, _ = ingest.upsert(ingest.chunker_256(docs), state, docs, ingest.chunker_256)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert chunks.count() == 40
+
+
 def test_cache_hits_and_misses(spark):
     prev = spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string").withColumn("input_hash", F.sha2("text", 256))
     cache = ingest.chunker_256(prev).select("input_hash", F.lit("t").alias("transform_id"), "chunk_no", "text")
