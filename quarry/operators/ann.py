@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.dense import _matrix, id_type, score_batch
+from quarry.operators.dense import Nearest, _matrix, id_type
 from quarry.operators.topk import rank_by_score
 
 SLICE_ROWS = 50_000
@@ -106,8 +106,10 @@ def ivf_topk(
 
     def score(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         ids = qpdf["query_id"].to_numpy(object)
-        top = score_batch(ids, _matrix(qpdf["qv"]), np.arange(len(ids)), cpdf["node_id"].to_numpy(object), _matrix(cpdf["nv"]), k, exclude_self)
-        return pd.DataFrame({"query_id": ids[top["q"].to_numpy(np.int64)], "node_id": top["node_id"].to_numpy(object), "score": top["score"].to_numpy(float)})
+        best = Nearest(ids, _matrix(qpdf["qv"]), k, exclude_self)
+        best.add(np.arange(len(ids)), cpdf["node_id"].to_numpy(), _matrix(cpdf["nv"]))
+        at, node, score = best.rows()
+        return pd.DataFrame({"query_id": ids[at], "node_id": node, "score": score})
 
     keys = ["cell", "cslice", "qslice"]
     cands = (
@@ -119,7 +121,6 @@ def ivf_topk(
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
-    """Per query |approx top-k  intersect  exact top-k| / k."""
-    inter = approx.select("query_id", "node_id").join(exact.select("query_id", "node_id"), ["query_id", "node_id"])
-    per = inter.groupBy("query_id").agg((F.count(F.lit(1)) / F.lit(float(k))).alias("recall"))
-    return exact.select("query_id").distinct().join(per, "query_id", "left").fillna(0.0, ["recall"])
+    """Per query |approx top-k  intersect  exact top-k| / k; either list is computed once."""
+    hits = exact.select("query_id", "node_id").join(approx.select("query_id", "node_id", F.lit(1).alias("_hit")), ["query_id", "node_id"], "left")
+    return hits.groupBy("query_id").agg((F.count("_hit") / F.lit(float(k))).alias("recall"))

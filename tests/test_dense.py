@@ -49,6 +49,47 @@ def test_exactly_k_rows_whatever_the_ties(spark):
     assert [(r.node_id, r["rank"]) for r in dense.dense_topk(q, v, 5).orderBy("rank").collect()] == [(i, i + 1) for i in range(5)]
 
 
+@pytest.mark.parametrize("names", [False, True])
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_nearest_agrees_with_float64_on_ties_copies_and_repeated_ids(monkeypatch, names, tile):
+    monkeypatch.setattr(dense, "TILE_NODES", tile)
+    monkeypatch.setattr(dense, "MAX_CELLS", 50)
+    monkeypatch.setattr(dense, "MAX_FOUND", 20)
+    rng = np.random.default_rng(4)
+    M = rng.normal(size=(60, 8))
+    M[20:35] = M[3]  # copies
+    M[35:45] = M[4] + 1e-6 * rng.normal(size=(10, 8))  # apart in float64 only
+    M /= np.linalg.norm(M, axis=1, keepdims=True)
+    M[50] = np.nan  # a zero vector
+    ids = np.arange(60) % 57
+    ids = np.array([f"n{i}" for i in ids], object) if names else ids
+    best = dense.Nearest(ids.astype(object), M, 4, True)
+    for i in range(0, 60, 25):
+        best.add(np.arange(60), ids[i : i + 25], M[i : i + 25])
+    got = sorted(zip(*(x.tolist() for x in best.rows())), key=lambda r: (r[0], -round(r[2], 9), r[1]))
+    S, want = M @ M.T, []
+    for q in range(60):
+        hits = [(-round(S[q, n], 9), ids[n]) for n in range(60) if ids[n] != ids[q] and np.isfinite(S[q, n])]
+        want += [(q, n, -score) for score, n in sorted(hits)[:4]]
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want], atol=2e-9)
+
+
+def test_recall_computes_either_list_once(spark):
+    from quarry.operators import ann
+
+    v = vecs(spark)
+    q = v.withColumnRenamed("node_id", "query_id")
+    approx = spark.createDataFrame([(0, 1), (0, 2), (5, 7)], "query_id long, node_id long")
+    exact = dense.dense_topk(q, v, 4, exclude_self=True)
+    got = ann.recall_at_k(approx, exact, 4)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    want = {i: 0.0 for i in range(60)}
+    for r in exact.collect():
+        want[r.query_id] += ((r.query_id, r.node_id) in {(0, 1), (0, 2), (5, 7)}) / 4
+    assert {r.query_id: r.recall for r in got.collect()} == want
+
+
 def test_string_ids_null_and_zero_vectors(spark):
     nodes = spark.createDataFrame([("12/3", [1.0, 1.0]), ("12/10", [1.0, 1.0]), ("a", [0.0, 0.0]), ("b", None), ("c", [-1.0, 0.0])], "node_id string, embedding array<double>")
     q = spark.createDataFrame([("q1", [1.0, 1.0]), ("q2", None), ("q3", [0.0, 0.0])], "query_id string, embedding array<double>")
